@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import crc_mod, staged
+from .storage import crc_mod, hash_sample, staged
 from .wordhash import hashed_slices, window_hashes
 
 MAX_TRAIN_ROWS = 20_000
@@ -197,7 +197,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, hold_modulus: int = 3, ho
     stats = staged(document_statistics(docs), "quality-statistics")
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     usable = usable.filter(crc_mod(F.col("doc_id"), hold_modulus) != hold_remainder).groupBy("doc_id").agg(F.max("quality").alias("y"))
-    sample = stats.join(usable, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("stats")).limit(max_train_rows).select("stats", "y").toPandas()
+    # At most max_train_rows rows of two dozen numbers go to the driver.
+    chosen = hash_sample(usable, "doc_id", max_train_rows)
+    sample = stats.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("stats").alias("stats"), F.max("y").alias("y")).toPandas().sort_values("doc_id", ignore_index=True)
     x = np.array(sample["stats"].tolist(), dtype=float).reshape(len(sample), len(FEATURES))
     forest = fit(x, sample["y"].to_numpy(dtype=float))
 

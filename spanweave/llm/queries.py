@@ -6,21 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_gbt, quality_rules
+from . import html_density, ngram_join, quality_gbt, quality_rules, toxicity_cnn, unigram
 from .oracle import ORACLE
-from .storage import table
+from .storage import table, tokenizer_path
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_cnn.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = unigram.shared_vocabulary(spark, tokenizer_path("piece_bpe_32k.model"))
+    return unigram.piece_digest(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_ALL = (op5_quality_classifier, op8_quality_rules)
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract_text(table(spark, sf_dir, "pages"))
+
+
+_ALL = (
+    op2_ngram_jaccard_join, op4_toxicity, op5_quality_classifier, op7_sentencepiece, op8_quality_rules, op10_html_extraction,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
