@@ -48,4 +48,24 @@ FROM counts c LEFT JOIN levels v ON c.lang IS NOT DISTINCT FROM v.lang AND c.sou
 GROUP BY rid, doc_id, {counts}"""
 
 
-ORACLE = {"op8_quality_rules": _op8()}
+def _op9() -> str:
+    draw = "('0x' || substr(md5('17:' || pass || ':' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT"
+    return rf"""
+WITH counted AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+sources AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS n_docs FROM counted GROUP BY source),
+shares AS (SELECT tokens / (SELECT sum(tokens) FROM sources) AS p FROM sources WHERE tokens > 0),
+grid AS (SELECT k, ln(sum(pow(p, k / 1e6))) - sum(pow(p, k / 1e6) * (k / 1e6) * ln(p)) / sum(pow(p, k / 1e6)) AS h,
+         max(pow(p, k / 1e6) / p) / sum(pow(p, k / 1e6)) AS r FROM shares, range(0, 1000001) g(k) GROUP BY k),
+target AS (SELECT max(k) AS k FROM grid WHERE h >= 0.5 * (SELECT h FROM grid WHERE k = 0) + 0.5 * (SELECT h FROM grid WHERE k = 1000000)),
+chosen AS (SELECT CASE WHEN (SELECT r FROM grid WHERE k = t.k) <= 4 THEN t.k ELSE least(1000000, (SELECT max(k) FROM grid WHERE r > 4) + 1) END AS k FROM target t),
+weights AS (SELECT s.*, CASE WHEN tokens > 0 THEN pow(tokens / (SELECT sum(tokens) FROM sources), (SELECT k FROM chosen) / 1e6) ELSE 0 END AS w FROM sources s),
+allotted AS (SELECT *, floor(w / (SELECT sum(w) FROM weights) * (SELECT sum(tokens) FROM sources))::BIGINT AS allotment FROM weights),
+plan AS (SELECT source, CASE WHEN tokens > 0 THEN allotment // tokens ELSE 1 END AS whole, CASE WHEN tokens > 0 THEN allotment % tokens ELSE 0 END AS rest, greatest(n_docs // 2048, 1) AS blocks FROM allotted),
+passes AS (SELECT c.*, p.whole, p.rest, p.blocks, unnest(range(0, p.whole + 1)) AS pass FROM counted c JOIN plan p ON c.source IS NOT DISTINCT FROM p.source),
+dealt AS (SELECT *, draw % blocks AS block FROM (SELECT *, {draw} AS draw FROM passes WHERE pass < whole OR rest > 0)),
+slots AS (SELECT *, row_number() OVER (PARTITION BY source, pass, block ORDER BY draw, doc_id, n_tokens) AS slot,
+          sum(n_tokens) OVER (PARTITION BY source, pass ORDER BY block, draw, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM dealt)
+SELECT doc_id, source, pass::INTEGER AS pass, block::INTEGER AS block, slot::INTEGER AS slot, n_tokens FROM slots WHERE pass < whole OR upto <= rest"""
+
+
+ORACLE = {"op8_quality_rules": _op8(), "op9_source_mixing": _op9()}

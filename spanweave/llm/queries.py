@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_density, ngram_join, quality_gbt, quality_rules, toxicity_cnn, unigram
+from . import html_density, mixing, ngram_join, quality_gbt, quality_rules, token_counts, toxicity_cnn, unigram
 from .oracle import ORACLE
 from .storage import table, tokenizer_path
 
@@ -23,6 +23,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("edits", token_counts.derived_edits())
+    return token_counts.edited_counts(docs, token_counts.shared_ranks(spark, tokenizer_path("byte_bpe_50k.tiktoken")))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = unigram.shared_vocabulary(spark, tokenizer_path("piece_bpe_32k.model"))
     return unigram.piece_digest(table(spark, sf_dir, "documents"), vocabulary)
@@ -33,12 +38,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract_text(table(spark, sf_dir, "pages"))
 
 
 _ALL = (
-    op2_ngram_jaccard_join, op4_toxicity, op5_quality_classifier, op7_sentencepiece, op8_quality_rules, op10_html_extraction,
+    op2_ngram_jaccard_join, op4_toxicity, op5_quality_classifier,
+    op6_edit_aware_token_counts, op7_sentencepiece, op8_quality_rules,
+    op9_source_mixing, op10_html_extraction,
 )
 
 
