@@ -68,4 +68,21 @@ slots AS (SELECT *, row_number() OVER (PARTITION BY source, pass, block ORDER BY
 SELECT doc_id, source, pass::INTEGER AS pass, block::INTEGER AS block, slot::INTEGER AS slot, n_tokens FROM slots WHERE pass < whole OR upto <= rest"""
 
 
-ORACLE = {"op8_quality_rules": _op8(), "op9_source_mixing": _op9()}
+_OP1 = """
+WITH RECURSIVE calls AS (SELECT conv_id, turn, text, conv_id || '-' || turn AS call_id, conv_id || '-' || (turn - 2) AS need FROM conversations WHERE role = 'user'),
+results AS (SELECT conv_id, turn, text, conv_id || '-' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'),
+chain AS (SELECT call_id, 0 AS level FROM calls WHERE turn < 2 OR need NOT IN (SELECT call_id FROM calls)
+  UNION ALL SELECT c.call_id, k.level + 1 FROM calls c JOIN chain k ON c.need = k.call_id WHERE c.turn >= 2),
+linked AS (SELECT c.conv_id, c.call_id, c.turn, c.text, r.turn AS result_turn, r.text AS result, k.level,
+    CASE WHEN c.turn >= 2 THEN '[' || to_json(c.need) || ']' ELSE '[]' END AS needs,
+    concat_ws('; ', CASE WHEN c.text IS NULL THEN 'missing n_chars' END, CASE WHEN c.text IS NULL THEN 'missing text' END,
+      CASE WHEN c.turn >= 2 AND c.need NOT IN (SELECT call_id FROM calls) THEN 'unknown need' END, CASE WHEN r.turn IS NULL THEN 'no result' END) AS errors
+  FROM calls c JOIN chain k USING (call_id) LEFT JOIN results r USING (call_id)),
+canon AS (SELECT *, '{"arguments":{' || concat_ws(',', CASE WHEN text IS NOT NULL THEN '"n_chars":' || length(text) END, CASE WHEN length(text) > 200 THEN '"style":"long"' END,
+    CASE WHEN text IS NOT NULL THEN '"text":' || to_json(text) END) || '},"id":' || to_json(call_id) || ',"name":"reply","needs":' || needs || ',"result":' || coalesce(to_json(result), 'null') || '}' AS canonical FROM linked)
+SELECT conv_id, call_id, 'reply' AS name, turn AS call_turn, coalesce(result_turn, -1) AS result_turn, level::INTEGER AS level, errors = '' AS valid, errors, md5(canonical) AS canonical_md5 FROM canon
+UNION ALL SELECT conv_id, call_id, NULL, -1, turn, -1, false, 'no call', md5('{"id":' || to_json(call_id) || ',"result":' || coalesce(to_json(text), 'null') || '}')
+FROM results WHERE call_id NOT IN (SELECT call_id FROM calls)"""
+
+
+ORACLE = {"op1_tool_call_linking": _OP1, "op8_quality_rules": _op8(), "op9_source_mixing": _op9()}

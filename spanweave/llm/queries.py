@@ -5,16 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_density, mixing, ngram_join, quality_gbt, quality_rules, token_counts, toxicity_cnn, unigram
+from . import html_density, mixing, ngram_join, nn_descent, quality_gbt, quality_rules, token_counts, tool_calls, toxicity_cnn, unigram
 from .oracle import ORACLE
 from .storage import table, tokenizer_path
 
 
+def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.calls_of_messages(table(spark, sf_dir, "conversations"))
+    linked = tool_calls.linked_calls(calls, results, tool_calls.REPLY_TOOL)
+    # The digest of the canonical text stands for it, and -1 for a turn or level that isn't there.
+    filled = {c: F.coalesce(c, F.lit(-1)) for c in ("call_turn", "result_turn", "level")}
+    return linked.withColumns(filled | {"canonical_md5": F.md5(F.col("canonical").cast("binary"))}).drop("canonical")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_cnn.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +60,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op2_ngram_jaccard_join, op4_toxicity, op5_quality_classifier,
+    op1_tool_call_linking, op2_ngram_jaccard_join, op3_nearest_neighbours, op4_toxicity, op5_quality_classifier,
     op6_edit_aware_token_counts, op7_sentencepiece, op8_quality_rules,
     op9_source_mixing, op10_html_extraction,
 )

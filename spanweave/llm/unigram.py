@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARKER = "▁"
 #: The unknown penalty and Zipf offset of the scores.
@@ -241,7 +242,7 @@ def with_pieces(docs: DataFrame, vocabulary: Broadcast) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*names, "pieces"])
 
-    return rows.mapInArrow(encode, rows.schema.add("pieces", "array<int>"))
+    return rows.mapInArrow(encode, T.StructType([*rows.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType()))]))
 
 
 def decoded(rows: DataFrame, vocabulary: Broadcast) -> DataFrame:
