@@ -1,19 +1,487 @@
-"""Queries over the driver tables, each with the SQL that gives the same rows."""
+"""Queries over the driver tables, each with the SQL that gives the same rows.
+
+Features are derived from the star schema: short ones (1 to 50 days) and
+medium ones (up to 2000 days) from lineitem, long ones from orders, points
+from events, and a few windows from nation.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import json_docs, natural_order, nucleotides, range_text
+from ..operators import intervals as iv
+from ..operators import overlap_join as oj
+from ..operators import refseq
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+#: The derived features in SQL that both engines read ({day} is the day number of a timestamp).
+_FEATURES = {
+    "short": "SELECT l_returnflag AS rid, {day} AS beg, {day} + CAST(l_quantity AS BIGINT) AS stop, l_orderkey, l_linenumber, l_suppkey FROM lineitem",
+    "medium": "SELECT l_linestatus AS rid, {day} AS beg, {day} + l_partkey AS stop, l_orderkey, l_linenumber FROM lineitem",
+    "long": "SELECT CAST(o_custkey % 24 AS BIGINT) AS rid, o_orderkey * 100 AS beg, o_orderkey * 100 + CAST(floor(o_totalprice) AS BIGINT) AS stop, o_orderkey FROM orders",
+    "sparse": "SELECT CAST(o_custkey % 24 AS BIGINT) AS rid, o_orderkey * 100 AS beg, o_orderkey * 100 + o_custkey AS stop, o_orderkey FROM orders WHERE o_orderkey % 7 = 0",
+    "points": "SELECT CAST(user_id % 24 AS BIGINT) AS rid, event_id * 150 AS beg, event_id * 150 AS stop, event_id FROM events",
+    "windows": "SELECT CASE n_nationkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS rid, CAST(9200 + n_nationkey * 97 AS BIGINT) AS beg, CAST(9200 + n_nationkey * 97 + n_nationkey * 2 AS BIGINT) AS stop, CAST(n_nationkey AS BIGINT) AS window_id FROM nation",
+}
+_DAY = {"spark": "CAST(datediff(l_shipdate, DATE'1970-01-01') AS BIGINT)", "duck": "CAST(l_shipdate::DATE - DATE '1970-01-01' AS BIGINT)"}
+
+
+def _level_sql(length: str, floor: int = 0) -> str:
+    return f"CASE WHEN {length} < 0 THEN NULL " + " ".join(f"WHEN {length} <= {16**k} THEN {k}" for k in range(floor, 16)) + " END"
+
+
+def _with(body: str, *names: str) -> str:
+    return "WITH " + ", ".join(f"{n} AS ({_FEATURES[n].format(day=_DAY['duck'])})" for n in names) + " " + body
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+
+def _features(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived feature table, projected from its source (no view is left behind)."""
+    text = _FEATURES[name].format(day=_DAY["spark"])
+    columns, source = text.removeprefix("SELECT ").split(" FROM ")
+    source, _, where = source.partition(" WHERE ")
+    df = _table(spark, sf_dir, source)
+    return (df.filter(where) if where else df).selectExpr(*_split(columns))
+
+
+def _split(columns: str) -> list[str]:
+    out, depth, last = [], 0, 0
+    for i, c in enumerate(columns):
+        depth += (c == "(") - (c == ")")
+        if c == "," and depth == 0:
+            out.append(columns[last:i])
+            last = i + 1
+    return [*out, columns[last:]]
+
+
+def _indexed(spark: SparkSession, sf_dir: str, name: str, floor: int | None = None) -> DataFrame:
+    return iv.with_range_columns(_features(spark, sf_dir, name), "rid", "beg", "stop", floor)
+
+
+def _query(sql: str | None, *features: str):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = _with(sql, *features) if features else sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join_pairs_agg(spark, sf_dir)
+
+
+
+
+def _count() -> Column:
+    return F.count(F.lit(1)).alias("n")
+
+
+_RANGE_ARGS = {"query": ("rid", "beg", "stop"), "feature": ("rid", "beg", "stop")}
+
+# --- range columns and levels ----------------------------------------------------------------------------------------
+
+
+@_query(f"SELECT -({_level_sql('stop - beg')}) AS lvl, count(*) AS n, CAST(sum(stop - beg) AS BIGINT) AS total FROM medium GROUP BY 1", "medium")
+def gri_levels_hist(spark, sf_dir):
+    df = _indexed(spark, sf_dir, "medium")
+    return df.groupBy(F.col(iv.LVL).alias("lvl")).agg(_count(), F.sum(iv.LEN).alias("total"))
+
+
+@_query(f"SELECT -({_level_sql('stop - beg', 2)}) AS lvl, count(*) AS n FROM medium GROUP BY 1", "medium")
+def gri_levels_floor2(spark, sf_dir):
+    return _indexed(spark, sf_dir, "medium", 2).groupBy(F.col(iv.LVL).alias("lvl")).agg(_count())
+
+
+@_query(f"SELECT max({_level_sql('stop - beg')}) AS _gri_ceiling, min({_level_sql('stop - beg')}) AS _gri_floor FROM long WHERE rid IS NOT NULL", "long")
+def gri_index_levels(spark, sf_dir):
+    return iv.occupied_levels(_indexed(spark, sf_dir, "long"))
+
+
+@_query(f"SELECT coalesce(max({_level_sql('stop - beg')}), 15) AS _gri_ceiling, coalesce(min({_level_sql('stop - beg')}), 0) AS _gri_floor FROM long WHERE beg < 0", "long")
+def gri_index_levels_empty(spark, sf_dir):
+    return iv.occupied_levels(_indexed(spark, sf_dir, "long").filter("beg < 0"))
+
+
+# --- lookups ---------------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT l_orderkey, l_linenumber, beg, stop FROM short WHERE rid = 'A' AND beg <= 9510 AND stop >= 9500", "short")
+def gri_lookup_const(spark, sf_dir):
+    return iv.lookup(_indexed(spark, sf_dir, "short"), "A", 9500, 9510, 15, 0).select("l_orderkey", "l_linenumber", "beg", "stop")
+
+
+@_query("SELECT count(*) AS n, count(CASE WHEN stop = e THEN 1 END) AS touching FROM short, (SELECT max(stop) AS e FROM short WHERE rid = 'R' AND beg < 9500) WHERE rid = 'R' AND beg <= e + 3 AND stop >= e", "short")
+def gri_lookup_abutting(spark, sf_dir):
+    df = _indexed(spark, sf_dir, "short")
+    last = df.filter("rid = 'R' and beg < 9500").agg(F.max("stop").alias("e"))
+    joined = df.crossJoin(F.broadcast(last))  # one row
+    return joined.filter(iv.overlaps(F.lit("R"), F.col("e"), F.col("e") + 3)).agg(_count(), F.count(F.when(F.col("stop") == F.col("e"), 1)).alias("touching"))
+
+
+@_query("SELECT rid, count(*) AS n FROM medium WHERE rid = 'O' AND beg <= 10000 AND stop >= 9900 AND stop - beg <= 16 GROUP BY rid", "medium")
+def gri_lookup_bounded(spark, sf_dir):
+    return iv.lookup(_indexed(spark, sf_dir, "medium"), "O", 9900, 10000, 1, 0).groupBy("rid").agg(_count())
+
+
+@_query("SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM medium WHERE rid = 'F' AND beg <= 9500 AND stop >= 9490", "medium")
+def gri_lookup_sql(spark, sf_dir):
+    df = _indexed(spark, sf_dir, "medium")
+    df.withColumn("_rowid_", F.xxhash64("l_orderkey", "l_linenumber", "beg", "stop")).createOrReplaceTempView("medium_features")
+    ids = iv.rowids_sql("medium_features", spark=spark)
+    return spark.sql(f"SELECT count(*) AS n, sum(l_orderkey) AS keys FROM medium_features WHERE _rowid_ IN {ids}", args={"qrid": "F", "qbeg": 9490, "qend": 9500})
+
+
+@_query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM long WHERE rid = 5 AND beg <= 600000 AND stop >= 500000", "long")
+def gri_lookup_tvf(spark, sf_dir):
+    _indexed(spark, sf_dir, "long").withColumn("_rowid_", F.col("o_orderkey")).createOrReplaceTempView("long_features")
+    iv.register_lookup(spark, "long_rowids", "long_features", "BIGINT")
+    return spark.sql("SELECT count(*) AS n, sum(_rowid_) AS keys FROM long_rowids(5, 500000, 600000)")
+
+
+@_query("SELECT o_orderkey AS _rowid_ FROM long WHERE rid = 7 AND beg <= 900000 AND stop >= 800000", "long")
+def gri_rowids(spark, sf_dir):
+    return iv.rowids(_indexed(spark, sf_dir, "long"), 7, 800000, 900000, rowid="o_orderkey").withColumnRenamed("o_orderkey", "_rowid_")
+
+
+@_query("SELECT count(*) AS n FROM short WHERE rid = 'N' AND beg <= 9700 AND stop >= 9650 AND beg >= 9650 AND stop <= 9700", "short")
+def gri_contained(spark, sf_dir):
+    return iv.lookup(_indexed(spark, sf_dir, "short"), "N", 9650, 9700, 15, 0).filter(iv.contained(9650, 9700)).agg(_count())
+
+
+@_query("SELECT count(*) AS n FROM short WHERE rid = 'N' AND beg < 9700 AND stop > 9650", "short")
+def gri_strict(spark, sf_dir):
+    return iv.lookup(_indexed(spark, sf_dir, "short"), "N", 9650, 9700, 15, 0).filter(iv.strictly_overlaps(9650, 9700)).agg(_count())
+
+
+@_query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM long WHERE nullif(rid, 0) IS NULL", "long")
+def gri_null_rid(spark, sf_dir):
+    df = iv.with_range_columns(_features(spark, sf_dir, "long"), "nullif(rid, 0)", "beg", "stop")
+    return df.filter(F.col(iv.RID).isNull()).agg(_count(), F.sum("o_orderkey").alias("keys"))
+
+
+@_query("SELECT rid, beg, stop - beg AS len, l_orderkey, l_linenumber FROM short ORDER BY rid, beg, len, l_orderkey, l_linenumber, l_suppkey LIMIT 100", "short")
+def gri_genomic_order_topk(spark, sf_dir):
+    df = _indexed(spark, sf_dir, "short").orderBy(iv.RID, iv.BEG, iv.LEN, "l_orderkey", "l_linenumber", "l_suppkey").limit(100)
+    return df.select("rid", "beg", F.col(iv.LEN).alias("len"), "l_orderkey", "l_linenumber")
+
+
+@_query("SELECT o_orderkey FROM long WHERE rid = 3 AND (beg <= 20000 AND stop >= 1000 OR beg <= 1520000 AND stop >= 1501000)", "long")
+def gri_circular(spark, sf_dir):
+    return iv.circular_lookup(_indexed(spark, sf_dir, "long"), 3, 1000, 20000, 1_500_000).select("o_orderkey")
+
+
+@_query("SELECT count(*) AS n FROM long, (SELECT min(o_orderkey) AS k FROM long WHERE rid = 4 AND beg <= 400000 AND stop >= 300000) WHERE o_orderkey >= k", "long")
+def gri_first_rowid_scan(spark, sf_dir):
+    df = _indexed(spark, sf_dir, "long").withColumn("_rowid_", F.col("o_orderkey"))
+    return iv.scan_from_first(df, 4, 300000, 400000).agg(_count())
+
+
+# --- overlap joins ---------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT p.rid, count(*) AS n, CAST(sum(l.o_orderkey) AS BIGINT) AS keys FROM points p JOIN long l ON p.rid = l.rid AND l.beg <= p.stop AND l.stop >= p.beg GROUP BY p.rid", "points", "long")
+def range_join_count(spark, sf_dir):
+    pairs = oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "long"), strategy="bins", **_RANGE_ARGS)
+    return pairs.groupBy("rid").agg(_count(), F.sum("o_orderkey").alias("keys"))
+
+
+@_query(
+    f"SELECT {_level_sql('a.stop - a.beg')} AS lvl, count(*) AS n, CAST(sum(least(a.stop, b.stop) - greatest(a.beg, b.beg)) AS BIGINT) AS overlap FROM long a JOIN long b ON a.rid = b.rid AND b.beg <= a.stop AND b.stop >= a.beg GROUP BY 1",
+    "long",
+)
+def range_join_pairs_agg(spark, sf_dir):
+    df = _features(spark, sf_dir, "long")
+    pairs = oj.range_join(df, df, strategy="bins", **_RANGE_ARGS)
+    shared = F.least("stop", "stop_f") - F.greatest("beg", "beg_f")
+    return pairs.groupBy(iv.level_of(F.col("stop") - F.col("beg")).alias("lvl")).agg(_count(), F.sum(shared).alias("overlap"))
+
+
+@_query("SELECT w.window_id, count(*) AS n, CAST(sum(s.l_orderkey) AS BIGINT) AS keys FROM short s JOIN windows w ON s.rid = w.rid AND w.beg <= s.stop AND w.stop >= s.beg GROUP BY 1", "short", "windows")
+def range_join_broadcast(spark, sf_dir):
+    pairs = oj.range_join(_features(spark, sf_dir, "short"), _features(spark, sf_dir, "windows"), strategy="broadcast", **_RANGE_ARGS)
+    return pairs.groupBy("window_id").agg(_count(), F.sum("l_orderkey").alias("keys"))
+
+
+@_query("SELECT p.event_id, s.o_orderkey FROM points p LEFT JOIN sparse s ON p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg", "points", "sparse")
+def range_left_join(spark, sf_dir):
+    pairs = oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "sparse"), how="left", strategy="bins", **_RANGE_ARGS)
+    return pairs.select("event_id", "o_orderkey")
+
+
+@_query("SELECT a.o_orderkey, count(b.o_orderkey) AS n FROM sparse a LEFT JOIN sparse b ON a.rid = b.rid AND b.beg <= a.stop AND b.stop >= a.beg AND a.o_orderkey <> b.o_orderkey GROUP BY 1", "sparse")
+def range_self_join_residual(spark, sf_dir):
+    df = _features(spark, sf_dir, "sparse")
+    pairs = oj.range_join(df, df, how="left", residual="o_orderkey <> o_orderkey_f", strategy="bins", **_RANGE_ARGS)
+    return pairs.groupBy("o_orderkey").agg(F.count("o_orderkey_f").alias("n"))
+
+
+@_query("SELECT event_id FROM points p WHERE EXISTS (SELECT 1 FROM sparse s WHERE p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg)", "points", "sparse")
+def range_semi(spark, sf_dir):
+    return oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "sparse"), how="left_semi", strategy="bins", **_RANGE_ARGS).select("event_id")
+
+
+@_query("SELECT event_id FROM points p WHERE NOT EXISTS (SELECT 1 FROM sparse s WHERE p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg)", "points", "sparse")
+def range_anti(spark, sf_dir):
+    return oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "sparse"), how="left_anti", strategy="bins", **_RANGE_ARGS).select("event_id")
+
+
+@_query(
+    "SELECT n_overlaps, count(*) AS n_queries FROM (SELECT p.event_id, count(s.o_orderkey) AS n_overlaps FROM points p LEFT JOIN long s ON p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg GROUP BY 1) GROUP BY 1",
+    "points", "long",
+)
+def range_hist(spark, sf_dir):
+    return oj.overlap_histogram(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "long"), ["event_id"], strategy="bins", **_RANGE_ARGS)
+
+
+@_query("SELECT w.window_id, count(s.o_orderkey) AS n FROM (SELECT window_id, window_id % 24 AS rid, window_id * 5000 AS b FROM windows) w LEFT JOIN long s ON w.rid = s.rid AND s.beg <= w.b + 20000 AND s.stop >= w.b GROUP BY 1", "windows", "long")
+def range_lateral_tvf(spark, sf_dir):
+    _indexed(spark, sf_dir, "long").withColumn("_rowid_", F.col("o_orderkey")).createOrReplaceTempView("long_features")
+    iv.register_lookup(spark, "long_rowids", "long_features", "BIGINT")
+    _features(spark, sf_dir, "windows").createOrReplaceTempView("query_windows")
+    return spark.sql(
+        "SELECT w.window_id, count(t._rowid_) AS n FROM (SELECT window_id, window_id % 24 AS rid, window_id * 5000 AS b FROM query_windows) w "
+        "LEFT JOIN LATERAL long_rowids(w.rid, w.b, w.b + 20000) AS t GROUP BY w.window_id"
+    )
+
+
+# --- reference sequences ---------------------------------------------------------------------------------------------
+
+
+@_query("SELECT 195 AS n, 17 AS chr17, 83257441 AS chr17_length, 196 AS next_rid, 3 AS chr3")
+def refseq_put_get(spark, sf_dir):
+    table = refseq.put_sequence(refseq.put_assembly(refseq.empty(spark)), "extra", 1000)
+    own = table.filter("gri_assembly is not null")
+    pick = lambda name, column: F.max(F.when(F.col("gri_refseq_name") == name, F.col(column)))
+    counts = own.agg(F.count(F.lit(1)).cast("int").alias("n"), pick("chr17", "_gri_rid").cast("int").alias("chr17"), pick("chr17", "gri_refseq_length").cast("int").alias("chr17_length"), pick("chr3", "_gri_rid").cast("int").alias("chr3"))
+    return counts.crossJoin(F.broadcast(table.filter("gri_refseq_name = 'extra'").select(F.col("_gri_rid").cast("int").alias("next_rid")))).select("n", "chr17", "chr17_length", "next_rid", "chr3")  # one row each
+
+
+@_query("SELECT 'chr' || k AS gri_refseq_name, count(*) AS n FROM (SELECT n_nationkey AS k FROM nation JOIN customer ON c_nationkey = n_nationkey) WHERE k BETWEEN 1 AND 22 GROUP BY 1")
+def refseq_join_name(spark, sf_dir):
+    table = refseq.put_assembly(refseq.empty(spark))
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("_gri_rid"))
+    return refseq.with_names(rows, table).filter("_gri_rid <= 22").groupBy("gri_refseq_name").agg(_count())
+
+
+@_query("SELECT 'chr' || (1 + l_suppkey % 20) AS chrom, min(1 + l_suppkey % 20) AS _gri_rid, count(*) AS n FROM lineitem GROUP BY 1")
+def refseq_join_rid(spark, sf_dir):
+    table = refseq.put_assembly(refseq.empty(spark))
+    rows = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("chr"), (1 + F.col("l_suppkey") % 20).cast("string")).alias("chrom"))
+    return refseq.with_rids(rows, table, "chrom").groupBy("chrom").agg(F.min("_gri_rid").alias("_gri_rid"), _count())
+
+
+# --- nucleotides, range text, natural order --------------------------------------------------------------------------
+
+_DNA_SQL = "translate(md5(coalesce(text, '')), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+def _dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty-two nucleotides for each document, cut to 1 to 32 of them by doc_id."""
+    text = F.translate(F.md5(F.coalesce("text", F.lit("")).cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    df = _table(spark, sf_dir, "documents").select("doc_id", text.alias("dna"))
+    return df.withColumn("dna", F.substr("dna", F.lit(1), (1 + F.col("doc_id") % 32).cast("int")))
+
+
+_DNA_CTE = f"WITH d AS (SELECT doc_id, substr({_DNA_SQL}, 1, (1 + doc_id % 32)::INTEGER) AS dna FROM documents) "
+
+
+@_query(_DNA_CTE + "SELECT doc_id, translate(reverse(dna), 'ACGT', 'TGCA') AS rc FROM d")
+def dna_revcomp(spark, sf_dir):
+    return _dna(spark, sf_dir).select("doc_id", nucleotides.dna_revcomp("dna").alias("rc"))
+
+
+@_query("SELECT n_nationkey, 'chr' || n_nationkey AS sequence, CAST(1000 + n_nationkey * 1000 - 1 AS BIGINT) AS beg, CAST(1234567 + n_nationkey AS BIGINT) AS stop FROM nation")
+def parse_range_parts(spark, sf_dir):
+    nation = _table(spark, sf_dir, "nation")
+    text = F.concat(F.lit("chr"), "n_nationkey", F.lit(":"), F.format_number(1000 + F.col("n_nationkey") * 1000, 0), F.lit("-"), F.format_number(1234567 + F.col("n_nationkey"), 0))
+    parts = nation.select("n_nationkey", range_text.parse_range(text).alias("r"))
+    return parts.select("n_nationkey", F.col("r.sequence").alias("sequence"), F.col("r.begin").alias("beg"), F.col("r.end").alias("stop"))
+
+
+@_query(_DNA_CTE + "SELECT doc_id, CASE WHEN length(dna) = 1 THEN 1 ELSE (length(dna) + 3) // 4 + 1 END::INTEGER AS bytes, length(dna)::INTEGER AS nucleotides FROM d")
+def twobit_size(spark, sf_dir):
+    coded = _dna(spark, sf_dir).select("doc_id", nucleotides.nucleotides_twobit("dna").alias("x"))
+    return coded.select("doc_id", F.octet_length("x.bits").alias("bytes"), nucleotides.twobit_length("x").alias("nucleotides"))
+
+
+@_query(_DNA_CTE + "SELECT doc_id, dna FROM d")
+def twobit_roundtrip_dna(spark, sf_dir):
+    return _dna(spark, sf_dir).select("doc_id", nucleotides.twobit_dna(nucleotides.nucleotides_twobit(F.lower("dna"))).alias("dna"))
+
+
+@_query(_DNA_CTE + "SELECT doc_id, replace(dna, 'T', 'U') AS rna FROM d")
+def twobit_roundtrip_rna(spark, sf_dir):
+    return _dna(spark, sf_dir).select("doc_id", nucleotides.twobit_rna(nucleotides.nucleotides_twobit("dna")).alias("rna"))
+
+
+_SLICE = """, p AS (SELECT doc_id, dna, length(dna) AS n, (doc_id % 19 - 9)::INTEGER AS y, (doc_id % 17 - 8)::INTEGER AS z FROM d),
+o AS (SELECT *, CASE WHEN y > 0 THEN y - 1 WHEN y < 0 THEN greatest(0, y + n) ELSE 0 END AS ofs FROM p),
+c AS (SELECT *, CASE WHEN z < 0 THEN ofs - least(ofs, -z) ELSE ofs END AS start,
+  CASE WHEN z < 0 THEN least(ofs, -z) ELSE greatest(0, z - CASE WHEN y = 0 THEN 1 WHEN y < 0 AND -y > n THEN -y - n ELSE 0 END) END AS k FROM o)
+SELECT doc_id, substr(dna, (start + 1)::INTEGER, k::INTEGER) AS part FROM c"""
+
+
+@_query(_DNA_CTE.rstrip() + _SLICE)
+def twobit_substr(spark, sf_dir):
+    coded = _dna(spark, sf_dir).select("doc_id", nucleotides.nucleotides_twobit("dna").alias("x"))
+    y, z = (F.col("doc_id") % 19 - 9).cast("int"), (F.col("doc_id") % 17 - 8).cast("int")
+    return coded.select("doc_id", nucleotides.twobit_dna("x", y, z).alias("part"))
+
+
+@_query("SELECT p_partkey, p_name AS kept, false AS coded FROM part")
+def twobit_passthrough(spark, sf_dir):
+    coded = _table(spark, sf_dir, "part").select("p_partkey", nucleotides.nucleotides_twobit("p_name").alias("x"))
+    return coded.select("p_partkey", nucleotides.twobit_dna("x").alias("kept"), F.col("x.bits").isNotNull().alias("coded"))
+
+
+@_query("SELECT 'chr' || n_nationkey AS name, CAST(row_number() OVER (ORDER BY n_nationkey) AS INTEGER) AS place FROM nation")
+def uint_sort_rank(spark, sf_dir):
+    names = _table(spark, sf_dir, "nation").select(F.concat(F.lit("chr"), "n_nationkey").alias("name"))
+    return names.select("name", F.row_number().over(Window.orderBy(natural_order.natural_key("name"))).alias("place"))
+
+
+# --- JSON documents --------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
+def json_extract_agg(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select("event_type", json_docs.json_extract("props", "$.k").cast("bigint").alias("k"))
+    return events.groupBy("event_type").agg(_count(), F.sum("k").alias("total"))
+
+
+@_query("SELECT n_nationkey, '[' || n_nationkey || ',' || n_regionkey || ']' AS pair FROM nation")
+def json_extract_paths(spark, sf_dir):
+    doc = F.to_json(F.struct("n_nationkey", F.array("n_regionkey").alias("r")))
+    return _table(spark, sf_dir, "nation").select("n_nationkey", json_docs.json_extract(doc, "$.n_nationkey", "$.r[0]").alias("pair"))
+
+
+@_query("SELECT n_nationkey, 3 AS whole, 0 AS object, -1 AS absent FROM nation")
+def json_array_length(spark, sf_dir):
+    doc = F.to_json(F.struct(F.array("n_nationkey", "n_regionkey", F.lit(7)).alias("a"), F.struct("n_name").alias("o")))
+    return _table(spark, sf_dir, "nation").select("n_nationkey", json_docs.json_array_length(doc, "$.a").alias("whole"), json_docs.json_array_length(doc, "$.o").alias("object"), F.coalesce(json_docs.json_array_length(doc, "$.x"), F.lit(-1)).alias("absent"))
+
+
+@_query("SELECT n_nationkey, 'object' AS root, 'integer' AS i, 'text' AS s, 'real' AS r, 'true' AS t, 'array' AS a FROM nation")
+def json_type(spark, sf_dir):
+    doc = F.to_json(F.struct(F.col("n_nationkey").alias("i"), F.col("n_name").alias("s"), F.lit(2.5).alias("r"), F.lit(True).alias("t"), F.array("n_regionkey").alias("a")))
+    return _table(spark, sf_dir, "nation").select("n_nationkey", json_docs.json_type(doc).alias("root"), *[json_docs.json_type(doc, f"$.{k}").alias(k) for k in "isrta"])
+
+
+@_query("SELECT event_id % 5 AS g, count(*) AS n, CAST(sum(CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS valid FROM events GROUP BY 1")
+def json_valid(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").withColumn("g", F.col("event_id") % 5)
+    text = F.when(F.col("g") == 0, F.concat(F.col("props"), F.lit("}"))).otherwise(F.col("props"))
+    return events.groupBy("g").agg(_count(), F.sum(json_docs.json_valid(text)).alias("valid"))
+
+
+@_query("""SELECT n_nationkey, '{"key":' || n_nationkey || ',"name":"' || n_name || '","none":null}' AS doc FROM nation""")
+def json_object_build(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select("n_nationkey", json_docs.json_object(("key", "n_nationkey"), ("name", "n_name"), ("none", F.lit(None).cast("int"))).alias("doc"))
+
+
+@_query("""SELECT n_nationkey, '["' || n_name || '",' || n_regionkey || ',null]' AS doc, '"' || n_name || '"' AS quoted FROM nation""")
+def json_array_build(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select("n_nationkey", json_docs.json_array("n_name", "n_regionkey", F.lit(None).cast("int")).alias("doc"), json_docs.json_quote("n_name").alias("quoted"))
+
+
+@_query("SELECT n_regionkey, '[' || string_agg(CASE WHEN n_nationkey % 4 = 0 THEN 'null' ELSE n_nationkey::VARCHAR END, ',' ORDER BY n_nationkey) || ']' AS doc FROM nation GROUP BY 1")
+def json_group_array(spark, sf_dir):
+    value = F.when(F.col("n_nationkey") % 4 != 0, F.col("n_nationkey"))
+    return _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(json_docs.json_group_array(value, "n_nationkey").alias("doc"))
+
+
+@_query("""SELECT n_regionkey, '{' || string_agg('"' || n_name || '":' || n_nationkey, ',' ORDER BY n_nationkey) || '}' AS doc FROM nation GROUP BY 1""")
+def json_group_object(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(json_docs.json_group_object("n_name", "n_nationkey", "n_nationkey").alias("doc"))
+
+
+@_query("SELECT n_nationkey, '[' || array_to_string(list(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), ',') || ']' AS doc FROM nation")
+def json_group_array_window(spark, sf_dir):
+    frame = Window.partitionBy("n_regionkey").orderBy("n_nationkey").rowsBetween(-1, 0)
+    return _table(spark, sf_dir, "nation").select("n_nationkey", json_docs.json_group_array_over("n_nationkey", frame).alias("doc"))
+
+
+@_query("SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value, 'integer' AS type, json_extract_string(props, '$.k') AS atom, '$.k' AS fullkey, '$' AS path FROM events")
+def json_each(spark, sf_dir):
+    return json_docs.json_each(_table(spark, sf_dir, "events").select("event_id", "props"), "props").drop("props")
+
+
+@_query(
+    """SELECT n_nationkey, id, key, value, type, parent, fullkey FROM (
+    SELECT n_nationkey, 0 AS id, NULL AS key, '{"a":[' || n_nationkey || '],"n":"' || n_name || '"}' AS value, 'object' AS type, -1 AS parent, '$' AS fullkey FROM nation
+    UNION ALL SELECT n_nationkey, 1, 'a', '[' || n_nationkey || ']', 'array', 0, '$.a' FROM nation
+    UNION ALL SELECT n_nationkey, 2, '0', n_nationkey::VARCHAR, 'integer', 1, '$.a[0]' FROM nation
+    UNION ALL SELECT n_nationkey, 3, 'n', n_name, 'text', 0, '$.n' FROM nation)"""
+)
+def json_tree(spark, sf_dir):
+    docs = _table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct(F.array("n_nationkey").alias("a"), F.col("n_name").alias("n"))).alias("doc"))
+    rows = docs.lateralJoin(json_docs.json_tree()(F.col("doc").outer()))
+    return rows.select("n_nationkey", "id", "key", "value", "type", F.coalesce("parent", F.lit(-1)).alias("parent"), "fullkey")
+
+
+@_query("""SELECT event_id, '{"k":0}' AS replaced, '{"k":' || json_extract_string(props, '$.k') || ',"new":["x"]}' AS added, props = props AS same FROM events""")
+def json_set(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    return events.select("event_id", json_docs.json_set("props", "$.k", F.lit(0)).alias("replaced"), json_docs.json_set("props", "$.new[0]", F.lit("x")).alias("added"), (json_docs.json_minify("props") == json_docs.json_replace("props", "$.no", F.lit(1))).alias("same"))
+
+
+@_query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || '}' AS kept, '{"k":' || json_extract_string(props, '$.k') || ',"id":' || event_id || '}' AS added FROM events""")
+def json_insert(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", json_docs.json_insert("props", "$.k", F.lit(0)).alias("kept"), json_docs.json_insert("props", "$.id", "event_id").alias("added"))
+
+
+@_query("""SELECT event_id, '{"k":' || event_id || '}' AS put, '{"k":' || json_extract_string(props, '$.k') || '}' AS kept FROM events""")
+def json_replace(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", json_docs.json_replace("props", "$.k", "event_id").alias("put"), json_docs.json_replace("props", "$.x", "event_id").alias("kept"))
+
+
+@_query("""SELECT event_id, '{}' AS gone, '{"k":' || json_extract_string(props, '$.k') || '}' AS kept FROM events""")
+def json_remove(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", json_docs.json_remove("props", "$.k").alias("gone"), json_docs.json_remove("props", "$.x").alias("kept"))
+
+
+@_query("""SELECT event_id, '{"type":"' || event_type || '"}' AS patched FROM events""")
+def json_patch(spark, sf_dir):
+    patch = F.concat(F.lit('{"k":null,"type":"'), "event_type", F.lit('"}'))
+    return _table(spark, sf_dir, "events").select("event_id", json_docs.json_patch("props", patch).alias("patched"))
+
+
+# --- relational surface ----------------------------------------------------------------------------------------------
+
+
+@_query(
+    """SELECT r_name, count(*) AS n, count(DISTINCT c_custkey) AS customers, CAST(max(o_orderkey) AS BIGINT) AS last_order
+    FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey
+    WHERE c_acctbal > 0 AND NOT (o_orderpriority = '1-URGENT') GROUP BY r_name HAVING count(*) > 1"""
+)
+def relational_surface(spark, sf_dir):
+    region, nation, customer, orders = (_table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
+    joined = region.join(nation, F.col("n_regionkey") == F.col("r_regionkey")).join(customer.filter("c_acctbal > 0"), F.col("c_nationkey") == F.col("n_nationkey")).join(orders, F.col("o_custkey") == F.col("c_custkey"), "left")
+    kept = joined.filter(~(F.col("o_orderpriority") == "1-URGENT"))
+    return kept.groupBy("r_name").agg(_count(), F.countDistinct("c_custkey").alias("customers"), F.max("o_orderkey").alias("last_order")).filter("n > 1")
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50")
+def anti_join_topk(spark, sf_dir):
+    returned = _table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    left = _table(spark, sf_dir, "orders").join(returned, "o_orderkey", "left_anti")
+    return left.orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "o_totalprice")
