@@ -99,7 +99,7 @@ def json_extract(x: Column | str, *paths: str) -> Column:
         if back:
             return found
         kind = F.schema_of_variant(_variant_at(x, paths[0]))
-        return F.when(kind == "BOOLEAN", F.when(found == "true", "1").otherwise("0")).otherwise(found)
+        return F.when(kind == "VOID", F.lit(None).cast("string")).when(kind == "BOOLEAN", F.when(found == "true", "1").otherwise("0")).otherwise(found)
     pieces = [F.coalesce(F.to_json(_variant_at(x, p)), F.lit("null")) for p in paths]
     return F.when(x.isNotNull(), F.concat(F.lit("["), F.concat_ws(",", *pieces), F.lit("]")))
 
