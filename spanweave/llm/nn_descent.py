@@ -92,6 +92,27 @@ def _packed(owner: np.ndarray, other: np.ndarray, score: np.ndarray) -> pa.Recor
 
 
 _GRAPH = "id long, nbrs array<long>, scores array<float>"
+_FLAT = "part int, owner array<long>, other array<long>, score array<float>"
+
+
+def _parts(blocks: int) -> int:
+    """Into how many parts the nodes are dealt for merging: a prime, so that ids in steps spread too."""
+    n = max(3, blocks) | 1
+    while any(n % k == 0 for k in range(3, int(n**0.5) + 1, 2)):
+        n += 2
+    return n
+
+
+def _dealt(owner: np.ndarray, other: np.ndarray, score: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Flat proposals, a row for each part that any of them is for."""
+    part = owner % parts
+    order = np.argsort(part, kind="stable")
+    found, counts = np.unique(part, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), _lists(counts, owner[order].astype(np.int64)), _lists(counts, other[order].astype(np.int64)), _lists(counts, score[order].astype(np.float32))], ["part", "owner", "other", "score"])
+
+
+def _flat(graph: DataFrame, parts: int) -> DataFrame:
+    return graph.select(F.pmod("id", F.lit(parts)).cast("int").alias("part"), F.array_repeat("id", F.size("nbrs")).alias("owner"), F.col("nbrs").alias("other"), F.col("scores").alias("score"))
 
 
 def first_graph(vectors: DataFrame, degree: int, seed: int, bits: int = 24) -> DataFrame:
@@ -122,21 +143,21 @@ def first_graph(vectors: DataFrame, degree: int, seed: int, bits: int = 24) -> D
 
 
 def merged_graph(lists: DataFrame, degree: int) -> DataFrame:
-    """One row per id with the best of all its lists; each task merges whole partitions of ids."""
+    """One row per id with the best of all flat lists; each task merges whole parts."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, other, score = [], [], []
         for batch in batches:
             if batch.num_rows:
-                owner.append(np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()))
-                other.append(batch.column(1).flatten().to_numpy())
-                score.append(batch.column(2).flatten().to_numpy())
+                owner.append(batch.column(1).flatten().to_numpy())
+                other.append(batch.column(2).flatten().to_numpy())
+                score.append(batch.column(3).flatten().to_numpy())
                 if sum(map(len, owner)) > 4_000_000:
                     owner, other, score = ([x] for x in best_of(np.concatenate(owner), np.concatenate(other), np.concatenate(score), degree))
         if owner:
             yield _packed(*best_of(np.concatenate(owner), np.concatenate(other), np.concatenate(score), degree))
 
-    return lists.repartition("id").mapInArrow(merge, _GRAPH)
+    return lists.repartition("part").mapInArrow(merge, _GRAPH)
 
 
 def _blocks(rows: int) -> int:
@@ -144,7 +165,8 @@ def _blocks(rows: int) -> int:
 
 
 def descent_round(graph: DataFrame, vectors: DataFrame, degree: int, blocks: int, salt: int) -> DataFrame:
-    """Proposals (id, nbrs, scores) from the local joins of all nodes."""
+    """Flat proposals from the local joins of all nodes: a block gives a row for each part, not for each node."""
+    parts = _parts(blocks)
     edges = graph.select(F.col("id").alias("v"), F.explode("nbrs").alias("u"))
     named = edges.groupBy("u").agg(F.count("v").alias("indegree"))
     share = F.pmod(F.xxhash64("v", "u", F.lit(salt)), F.lit(1 << 20)) < F.lit(degree * (1 << 20)) / F.col("indegree")
@@ -182,20 +204,22 @@ def descent_round(graph: DataFrame, vectors: DataFrame, degree: int, blocks: int
         if owner or kept:
             kept = settle(kept)
         if not kept or not len(kept[0]):
-            return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.float32()))], ["id", "nbrs", "scores"])
-        return pa.Table.from_batches([_packed(ids[kept[0]], ids[kept[1]], kept[2])])
+            kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        return pa.Table.from_batches([_dealt(ids[kept[0]], ids[kept[1]], kept[2], parts)])
 
-    return seats.groupBy("block").applyInArrow(local_joins, _GRAPH)
+    return seats.groupBy("block").applyInArrow(local_joins, _FLAT)
 
 
 def neighbour_graph(vectors: DataFrame, degree: int = DEGREE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Staged (id, nbrs, scores): about the `degree` best neighbours of each vector, best first."""
     count = vectors.count()
     blocks = _blocks(count)
-    graph = staged(merged_graph(first_graph(vectors, degree, 1).union(first_graph(vectors, degree, 2)), degree), "nn-graph")
+    parts = _parts(blocks)
+    first = _flat(first_graph(vectors, degree, 1).union(first_graph(vectors, degree, 2)), parts)
+    graph = staged(merged_graph(first, degree), "nn-graph")
     for step in range(max_rounds):
         proposals = descent_round(graph, vectors, degree, blocks, step)
-        following = staged(merged_graph(graph.union(proposals), degree), "nn-graph")
+        following = staged(merged_graph(_flat(graph, parts).union(proposals), degree), "nn-graph")
         was = graph.select("id", F.col("nbrs").alias("was"))
         changed = following.join(was, "id", "left").agg(F.sum(F.size(F.array_except("nbrs", F.coalesce("was", F.array().cast("array<bigint>")))))).first()[0] or 0
         graph = following
