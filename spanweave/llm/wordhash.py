@@ -85,7 +85,7 @@ def hash_words(data: np.ndarray, row_at: np.ndarray, separators: np.ndarray = WH
     if lengths.max() <= _POSITIONS:
         factor = _MULTIPLIERS[position]
     else:
-        factor = _MULTIPLIERS[position % _POSITIONS] * mix((position // _POSITIONS).astype(np.uint64) + np.uint64(1))
+        factor = _MULTIPLIERS[position % _POSITIONS] * (mix((position // _POSITIONS).astype(np.uint64)) | np.uint64(1))
     value = (letters.astype(np.uint64) + np.uint64(1)) * factor
     hashes = mix(np.add.reduceat(value, firsts) + lengths.astype(np.uint64))
     return hashes, np.searchsorted(starts, row_at).astype(np.int64)
