@@ -19,6 +19,7 @@ def test_word_hashes_follow_words():
     got = [s.hashes[a:b] for s in wordhash.hashed_slices(pa.array(texts)) for a, b in zip(s.word_at, s.word_at[1:], strict=False)]
     assert [len(x) for x in got] == [3, 0, 0, 1, 2, 0, 2, 1]
     assert got[0][0] == got[0][2] and got[0][1] == got[3][0] == got[7][0] and got[4][0] == got[4][1] and got[6][0] != got[6][1]
+    assert got[0][1] == [s.hashes[-1] for s in wordhash.hashed_slices(pa.array(["y" * 9000 + " cd"]))][0]
     assert sum(s.rows for s in wordhash.hashed_slices(pa.array(["word " * 100] * 50).slice(7, 40))) == 40
 
 
