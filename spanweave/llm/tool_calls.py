@@ -1,15 +1,16 @@
 """Chat formatting: tool calls linked to their results, ordered, validated and serialised.
 
 Calls and results meet in a hash join on (conversation, identifier).  Calls
-are ordered topologically by the calls they need: each round resolves the
-calls whose needs are all resolved, so that `level` is the length of the
-longest chain below a call, and (level, call_turn, call_id) orders a
+are ordered topologically by the calls they need, in rounds of joins that
+halve the open chains: `level` is the length of the longest chain below a
+call, and (level, call_turn, call_id) orders a
 conversation so that no call comes before one that it needs.  Arguments are
 checked against the tool's parameters, and each exchange is written as
 canonical JSON: no white space, keys in order.  SQL functions only.
 
-Rounds are as many as the longest chain has calls; a round joins only the
-calls that are still open.  Identifiers are grouped by partial aggregates,
+Rounds grow with the logarithm of the longest chain, and with the depth of
+calls that need several open ones; a round joins only the calls that are
+still open.  Identifiers are grouped by partial aggregates,
 never gathered, so one identifier or conversation may hold any share of rows.
 
 Edge cases: calls and results with a null conversation or identifier link
@@ -94,23 +95,36 @@ def argument_errors(name: Column, arguments: Column, tools: dict[str, dict[str,
 
 
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of every call that no circle holds up; needs: (conv_id, call_id, need), all resolvable."""
-    done = staged(calls.join(needs, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level")), "chat-levels")
-    reached, open_needs = done, needs
-    level = 0
+    """(conv_id, call_id, level) of every call that no circle holds up; needs: (conv_id, call_id, need), all resolvable.
+
+    The level of an open call is the largest of its ways: `weight` where need
+    is null, else the level of `need` and `weight` more.  In a round each way
+    to a call with at most one open need goes on to where that call leads, so
+    chains halve; a way as long as there are calls lies on a circle.
+    """
+    key = ["conv_id", "call_id"]
+    longest = calls.count()
+    done = staged(calls.join(needs, key, "left_anti").select(*key, F.lit(0).alias("level")), "chat-levels")
+    ways = needs.select(*key, "need", F.lit(1).alias("weight"))
     while True:
-        # `done` holds the calls of this level; a call whose last open need is among them is of the next.
-        level += 1
-        met = done.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("met"))
-        marked = staged(open_needs.join(met, ["conv_id", "need"], "left"), "chat-needs")
-        still = marked.filter("met is null").select("conv_id", "need", "call_id")
-        done = marked.filter("met").select("conv_id", "call_id").distinct().join(still.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-        done = staged(done.withColumn("level", F.lit(level)), "chat-levels")
-        if marked.filter("met").isEmpty():
-            break
-        open_needs = still
-        reached = reached.union(done)
-    return reached
+        leads = ways.groupBy(*key).agg(
+            F.count("need").alias("open"), F.max(F.when(F.col("need").isNull(), F.col("weight"))).alias("base"),
+            F.max("need").alias("next"), F.max(F.when(F.col("need").isNotNull(), F.col("weight"))).alias("more"),
+        ).filter((F.col("open") == 1) & (F.col("more") < longest))
+        leads = leads.select("conv_id", F.col("call_id").alias("need"), "base", "next", "more")
+        leads = leads.unionByName(done.select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("base")), allowMissingColumns=True)
+        met = ways.join(leads.withColumn("met", F.lit(True)), ["conv_id", "need"], "left").withColumn("met", F.col("met").isNotNull() & (F.col("weight") < longest))
+        way = lambda need, weight, met: F.struct(need.alias("need"), weight.alias("weight"), F.lit(met).alias("met"))
+        none = F.lit(None).cast("string")
+        further = F.array(F.when(F.col("base").isNotNull(), way(none, F.col("base") + F.col("weight"), True)), F.when(F.col("next").isNotNull(), way(F.col("next"), F.col("more") + F.col("weight"), True)))
+        same = F.array(way(F.col("need"), F.col("weight"), False))
+        gone = met.select(*key, F.explode(F.filter(F.when(F.col("met"), further).otherwise(same), lambda x: x.isNotNull())).alias("w")).select(*key, "w.*")
+        gone = staged(gone.groupBy(*key, "need").agg(F.max("weight").alias("weight"), F.max("met").alias("met")), "chat-ways")
+        if gone.filter("met").isEmpty():
+            return done
+        over = gone.groupBy(*key).agg(F.count("need").alias("open"), F.max("weight").alias("level")).filter("open = 0").select(*key, "level")
+        over = staged(over, "chat-levels")
+        done, ways = done.union(over), gone.join(over, key, "left_anti").drop("met")
 
 
 def linked_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:

@@ -145,3 +145,22 @@ def test_tool_call_faults(spark):
     assert got["f", 0].errors.startswith("unknown tool") and got["g", 0].errors.startswith("x is not number; unknown z") and got["h", 0].errors.startswith("missing x")
     assert got["q", None].errors == "no call" and len(got) == 10
     assert tool_calls.linked_calls(*tool_calls.calls_of_json(talk.filter("false")), tools).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_levels_of_long_chains_branches_and_circles(spark, seed):
+    rng = random.Random(seed)
+    needs = {f"a{i}": [f"a{i - 1}"] if i else [] for i in range(40)} | {f"b{i}": [] for i in range(3)}
+    for i in range(30):
+        needs[f"c{i}"] = rng.sample(sorted(needs), rng.choice([1, 1, 2, 4]))
+    needs |= {"x": ["y"], "y": ["z"], "z": ["x"], "over": ["x", "a5"], "p": ["q", "r"], "q": ["p", "r"], "r": ["p", "q"], "self": ["self"], "after": ["over", "p"], "m": ["n", "a3"], "n": ["m", "a4"]}
+
+    def level(c, below=()):
+        found = [None if n in (*below, c) else level(n, (*below, c)) for n in needs[c]]
+        return None if None in found else max(found, default=-1) + 1
+
+    expected = {c: level(c) for c in needs if level(c) is not None}
+    calls = spark.createDataFrame([(1, c) for c in needs], "conv_id bigint, call_id string")
+    open_needs = spark.createDataFrame([(1, c, n) for c, ns in needs.items() for n in ns], "conv_id bigint, call_id string, need string")
+    got = tool_calls.levels(calls, open_needs).collect()
+    assert len(got) == len(expected) and {r.call_id: r.level for r in got} == expected
