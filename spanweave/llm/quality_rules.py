@@ -5,6 +5,9 @@ four ratios; a mergeable quantile sketch of each ratio is kept per
 (lang, source), and a document is rejected when a ratio lies outside the
 fences of its group.  Thresholds follow the data, so no cutoff is fixed but
 the slack that keeps a uniform group from rejecting its own members.
+Where a ratio is 0 in three quarters of a group, its quartile fence is that
+slack.  With `tails`, the upper fence of such a sparse ratio is the smaller of
+the quartile fence and the group's TAIL quantile with one bucket more.
 
 The sketch is a histogram with integer buckets (width 1 up to 64, then 64
 buckets per power of two: relative error below 1/64).  Two sketches merge by
@@ -35,6 +38,9 @@ RATIOS = {
     "repeat_permille": ("1000 * n_repeat_words div greatest(n_words, 1)", 3, None, 300),
     "word_length_tenths": ("10 * word_chars div greatest(n_words, 1)", 6, 15, 60),
 }
+#: The upper quantile (permille) that bounds the sparse ratios with `tails`.
+TAIL = 990
+SPARSE = ("symbol_permille", "dup_line_permille", "repeat_permille")
 MIN_GROUP = 200
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -84,9 +90,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def _shift(value: Column) -> Column:
+    return F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
+
+
 def bucket(value: Column) -> Column:
     """The lower end of the sketch bucket of a non-negative long."""
-    shift = F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
+    shift = _shift(value)
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 
@@ -101,22 +111,22 @@ def merged(sketches: DataFrame, *keys: str) -> DataFrame:
 
 
 def quartiles(sketches: DataFrame, *keys: str) -> DataFrame:
-    """Rows (keys, ratio, size, q1, q3) read off the sketches."""
+    """Rows (keys, ratio, size, q1, q3, tail) read off the sketches."""
     by = Window.partitionBy(*keys, "ratio")
     upto = F.sum("n").over(by.orderBy("bucket"))
     ranked = sketches.select(*keys, "ratio", "bucket", upto.alias("upto"), F.sum("n").over(by).alias("size"))
-    first = lambda share: F.min(F.when(4 * F.col("upto") >= share * F.col("size"), F.col("bucket")))
-    return ranked.groupBy(*keys, "ratio").agg(F.max("size").alias("size"), first(1).alias("q1"), first(3).alias("q3"))
+    first = lambda share: F.min(F.when(1000 * F.col("upto") >= share * F.col("size"), F.col("bucket")))
+    return ranked.groupBy(*keys, "ratio").agg(F.max("size").alias("size"), first(250).alias("q1"), first(750).alias("q3"), first(TAIL).alias("tail"))
 
 
-def adaptive_fences(sketches: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def adaptive_fences(sketches: DataFrame, min_group: int = MIN_GROUP, tails: bool = False) -> DataFrame:
     """Rows (lang, source, <ratio>_low, <ratio>_high) for every group that has sketches."""
     own = quartiles(sketches, "lang", "source")
-    by_lang = quartiles(merged(sketches, "lang"), "lang").select(F.col("lang").alias("l"), F.col("ratio").alias("lr"), F.col("size").alias("l_size"), F.col("q1").alias("l_q1"), F.col("q3").alias("l_q3"))
-    overall = quartiles(merged(sketches)).select(F.col("ratio").alias("ar"), F.col("q1").alias("a_q1"), F.col("q3").alias("a_q3"))
+    by_lang = quartiles(merged(sketches, "lang"), "lang").select(F.col("lang").alias("l"), F.col("ratio").alias("lr"), F.col("size").alias("l_size"), F.col("q1").alias("l_q1"), F.col("q3").alias("l_q3"), F.col("tail").alias("l_tail"))
+    overall = quartiles(merged(sketches)).select(F.col("ratio").alias("ar"), F.col("q1").alias("a_q1"), F.col("q3").alias("a_q3"), F.col("tail").alias("a_tail"))
     levels = own.join(by_lang, (own.lang.eqNullSafe(by_lang.l)) & (own.ratio == by_lang.lr)).join(overall, F.col("ratio") == F.col("ar"))
     pick = lambda q: F.when(F.col("size") >= min_group, F.col(q)).when(F.col("l_size") >= min_group, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    levels = levels.select("lang", "source", "ratio", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    levels = levels.select("lang", "source", "ratio", pick("q1").alias("q1"), pick("q3").alias("q3"), pick("tail").alias("tail"))
     fences = []
     for name, (_, reach, below, above) in RATIOS.items():
         own_ratio = F.col("ratio") == name
@@ -124,11 +134,14 @@ def adaptive_fences(sketches: DataFrame, min_group: int = MIN_GROUP) -> DataFram
         if below is not None:
             fences.append(F.max(F.when(own_ratio, F.col("q1") - spread - below)).alias(f"{name}_low"))
         if above is not None:
-            fences.append(F.max(F.when(own_ratio, F.col("q3") + spread + above)).alias(f"{name}_high"))
+            high = F.col("q3") + spread + above
+            if tails and name in SPARSE:
+                high = F.least(high, F.col("tail") + F.call_function("shiftleft", F.lit(1).cast("long"), _shift(F.col("tail"))))
+            fences.append(F.max(F.when(own_ratio, high)).alias(f"{name}_high"))
     return levels.groupBy("lang", "source").agg(*fences)
 
 
-def quality_verdicts(docs: DataFrame, min_group: int = MIN_GROUP, salts: int = 16) -> DataFrame:
+def quality_verdicts(docs: DataFrame, min_group: int = MIN_GROUP, salts: int = 16, tails: bool = False) -> DataFrame:
     """`docs` with the base counts, base_failed and kept.
 
     The text is read once: the counts are staged without it.  The fences
@@ -138,7 +151,7 @@ def quality_verdicts(docs: DataFrame, min_group: int = MIN_GROUP, salts: int = 1
     """
     carried = [c for c in docs.columns if c not in {"text", "base_failed", "kept", *_COUNTS}]
     counts = staged(base_counts(docs.select("text", *carried)).drop("text"), "quality-counts")
-    fences = adaptive_fences(ratio_sketches(counts), min_group)
+    fences = adaptive_fences(ratio_sketches(counts), min_group, tails)
     fences = fences.withColumnsRenamed({"lang": "_lang", "source": "_source"}).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = counts.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in ("doc_id", "n_words", "word_chars") if c in counts.columns]), F.lit(salts)).cast("int"))
     on = salted.lang.eqNullSafe(fences._lang) & salted.source.eqNullSafe(fences._source) & (F.col("_salt") == F.col("_part"))

@@ -51,6 +51,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_quality_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with fences that follow the upper quantiles of sparse ratios; held against brute force."""
+    verdicts = quality_rules.quality_verdicts(table(spark, sf_dir, "documents"), tails=True)
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -61,7 +67,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_tool_call_linking, op2_ngram_jaccard_join, op3_nearest_neighbours, op4_toxicity, op5_quality_classifier,
-    op6_edit_aware_token_counts, op7_sentencepiece, op8_quality_rules,
+    op6_edit_aware_token_counts, op7_sentencepiece, op8_quality_rules, op8_quality_tails,
     op9_source_mixing, op10_html_extraction,
 )
 
