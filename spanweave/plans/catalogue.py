@@ -26,6 +26,7 @@ _FEATURES = {
     "medium": "SELECT l_linestatus AS rid, {day} AS beg, {day} + l_partkey AS stop, l_orderkey, l_linenumber FROM lineitem",
     "long": "SELECT CAST(o_custkey % 24 AS BIGINT) AS rid, o_orderkey * 100 AS beg, o_orderkey * 100 + CAST(floor(o_totalprice) AS BIGINT) AS stop, o_orderkey FROM orders",
     "sparse": "SELECT CAST(o_custkey % 24 AS BIGINT) AS rid, o_orderkey * 100 AS beg, o_orderkey * 100 + o_custkey AS stop, o_orderkey FROM orders WHERE o_orderkey % 7 = 0",
+    "thin": "SELECT CAST(o_custkey % 24 AS BIGINT) AS rid, o_orderkey * 100 AS beg, o_orderkey * 100 + o_custkey AS stop, o_orderkey FROM orders",
     "points": "SELECT CAST(user_id % 24 AS BIGINT) AS rid, event_id * 150 AS beg, event_id * 150 AS stop, event_id FROM events",
     "windows": "SELECT CASE n_nationkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS rid, CAST(9200 + n_nationkey * 97 AS BIGINT) AS beg, CAST(9200 + n_nationkey * 97 + n_nationkey * 2 AS BIGINT) AS stop, CAST(n_nationkey AS BIGINT) AS window_id FROM nation",
 }
@@ -244,6 +245,32 @@ def range_anti(spark, sf_dir):
     return oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "sparse"), how="left_anti", strategy="bins", **_RANGE_ARGS).select("event_id")
 
 
+# The four kinds over all orders; the queries on `sparse` above take a seventh of them.
+
+
+@_query("SELECT p.event_id, s.o_orderkey FROM points p LEFT JOIN thin s ON p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg", "points", "thin")
+def range_left_join_whole(spark, sf_dir):
+    pairs = oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "thin"), how="left", strategy="bins", **_RANGE_ARGS)
+    return pairs.select("event_id", "o_orderkey")
+
+
+@_query("SELECT a.o_orderkey, count(b.o_orderkey) AS n FROM thin a LEFT JOIN thin b ON a.rid = b.rid AND b.beg <= a.stop AND b.stop >= a.beg AND a.o_orderkey <> b.o_orderkey GROUP BY 1", "thin")
+def range_self_join_whole(spark, sf_dir):
+    df = _features(spark, sf_dir, "thin")
+    pairs = oj.range_join(df, df, how="left", residual="o_orderkey <> o_orderkey_f", strategy="bins", **_RANGE_ARGS)
+    return pairs.groupBy("o_orderkey").agg(F.count("o_orderkey_f").alias("n"))
+
+
+@_query("SELECT event_id FROM points p WHERE EXISTS (SELECT 1 FROM thin s WHERE p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg)", "points", "thin")
+def range_semi_whole(spark, sf_dir):
+    return oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "thin"), how="left_semi", strategy="bins", **_RANGE_ARGS).select("event_id")
+
+
+@_query("SELECT event_id FROM points p WHERE NOT EXISTS (SELECT 1 FROM thin s WHERE p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg)", "points", "thin")
+def range_anti_whole(spark, sf_dir):
+    return oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "thin"), how="left_anti", strategy="bins", **_RANGE_ARGS).select("event_id")
+
+
 @_query(
     "SELECT n_overlaps, count(*) AS n_queries FROM (SELECT p.event_id, count(s.o_orderkey) AS n_overlaps FROM points p LEFT JOIN long s ON p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg GROUP BY 1) GROUP BY 1",
     "points", "long",
@@ -282,6 +309,14 @@ def refseq_join_name(spark, sf_dir):
     return refseq.with_names(rows, table).filter("_gri_rid <= 22").groupBy("gri_refseq_name").agg(_count())
 
 
+@_query("SELECT CASE k WHEN 23 THEN 'chrX' WHEN 24 THEN 'chrY' ELSE 'chr' || k END AS gri_refseq_name, count(*) AS n FROM (SELECT n_nationkey AS k FROM nation JOIN customer ON c_nationkey = n_nationkey) WHERE k >= 1 GROUP BY 1")
+def refseq_join_name_whole(spark, sf_dir):
+    """Nation key 0 names no sequence."""
+    table = refseq.put_assembly(refseq.empty(spark))
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("_gri_rid"))
+    return refseq.with_names(rows, table).groupBy("gri_refseq_name").agg(_count())
+
+
 @_query("SELECT 'chr' || (1 + l_suppkey % 20) AS chrom, min(1 + l_suppkey % 20) AS _gri_rid, count(*) AS n FROM lineitem GROUP BY 1")
 def refseq_join_rid(spark, sf_dir):
     table = refseq.put_assembly(refseq.empty(spark))
