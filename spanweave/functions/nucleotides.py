@@ -32,13 +32,13 @@ def nucleotides_twobit(s: Column | str) -> Column:
     n = F.length(s)
     digits = F.translate(F.upper(s), "TUCAG", "00123")
 
-    def chunk(i: Column) -> Column:
-        held = F.least(F.lit(32), n - i * 32)
-        places = (F.ceil(held / 4) * 4).cast("int")
-        number = F.conv(F.call_function("rpad", F.substr(digits, (i * 32 + 1).cast("int"), F.lit(32)), places, F.lit("0")), 4, 16)
+    def chunk(c: Column) -> Column:
+        places = (F.ceil(F.length(c) / 4) * 4).cast("int")
+        number = F.conv(F.call_function("rpad", c, places, F.lit("0")), 4, 16)
         return F.call_function("lpad", number, (places / 2).cast("int"), F.lit("0"))
 
-    body = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 32).cast("int")), chunk), "")
+    # Cut once: a substr for each chunk would read the whole text again.
+    body = F.array_join(F.transform(F.regexp_extract_all(digits, F.lit(".{1,32}"), F.lit(0)), chunk), "")
     head = F.lpad(F.hex(F.pmod(4 - n % 4, F.lit(4))), 2, "0")
     bits = F.unhex(F.when(n == 1, F.lpad(digits, 2, "0")).otherwise(F.concat(head, body)))
     code, kept = (lambda v: F.struct(v.alias("bits"), F.lit(None).cast("string").alias("txt"))), F.struct(F.lit(None).cast("binary").alias("bits"), s.alias("txt"))
@@ -57,15 +57,12 @@ def twobit_length(x: Column | str) -> Column:
 
 def _decoded(bits: Column, letters: str) -> Column:
     size = F.octet_length(bits)
-    last = F.floor((size - 2) / 8).cast("int")
 
-    def chunk(i: Column) -> Column:
-        places = (4 * F.least(F.lit(8), size - 1 - i * 8)).cast("int")
-        number = F.conv(F.hex(F.substr(bits, 2 + i * 8, F.lit(8))), 16, 4)
-        return F.translate(F.call_function("lpad", number, places, F.lit("0")), "0123", letters)
+    def chunk(c: Column) -> Column:
+        return F.translate(F.call_function("lpad", F.conv(c, 16, 4), 2 * F.length(c), F.lit("0")), "0123", letters)
 
     pad = F.conv(F.hex(F.substring(bits, 1, 1)), 16, 10).cast("int")
-    full = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), chunk), "")
+    full = F.array_join(F.transform(F.regexp_extract_all(F.substr(F.hex(bits), F.lit(3)), F.lit(".{1,16}"), F.lit(0)), chunk), "")
     single = F.translate(F.conv(F.hex(bits), 16, 10), "0123", letters)
     return F.when(size < 2, single).otherwise(F.substr(full, F.lit(1), 4 * (size - 1) - pad))
 

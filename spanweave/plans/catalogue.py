@@ -382,6 +382,49 @@ def twobit_substr(spark, sf_dir):
     return coded.select("doc_id", nucleotides.twobit_dna("x", y, z).alias("part"))
 
 
+# Whole texts: every letter gives a nucleotide, all else goes.
+_LETTERS, _AS_DNA = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGT" * 13
+_WHOLE_DNA_CTE = f"WITH d AS (SELECT doc_id, translate(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'), '{_LETTERS}', '{_AS_DNA}') AS dna FROM documents) "
+
+
+def _whole_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", "")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.translate(letters, _LETTERS, _AS_DNA).alias("dna"))
+
+
+@_query(_WHOLE_DNA_CTE + "SELECT doc_id, translate(reverse(dna), 'ACGT', 'TGCA') AS rc FROM d")
+def dna_revcomp_whole(spark, sf_dir):
+    return _whole_dna(spark, sf_dir).select("doc_id", nucleotides.dna_revcomp("dna").alias("rc"))
+
+
+@_query(_WHOLE_DNA_CTE + "SELECT doc_id, CASE length(dna) WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE (length(dna) + 3) // 4 + 1 END::INTEGER AS bytes, length(dna)::INTEGER AS nucleotides FROM d")
+def twobit_size_whole(spark, sf_dir):
+    coded = _whole_dna(spark, sf_dir).select("doc_id", nucleotides.nucleotides_twobit("dna").alias("x"))
+    return coded.select("doc_id", F.octet_length("x.bits").alias("bytes"), nucleotides.twobit_length("x").alias("nucleotides"))
+
+
+@_query(_WHOLE_DNA_CTE + "SELECT doc_id, dna FROM d")
+def twobit_roundtrip_dna_whole(spark, sf_dir):
+    return _whole_dna(spark, sf_dir).select("doc_id", nucleotides.twobit_dna(nucleotides.nucleotides_twobit(F.lower("dna"))).alias("dna"))
+
+
+@_query(_WHOLE_DNA_CTE + "SELECT doc_id, replace(dna, 'T', 'U') AS rna FROM d")
+def twobit_roundtrip_rna_whole(spark, sf_dir):
+    return _whole_dna(spark, sf_dir).select("doc_id", nucleotides.twobit_rna(nucleotides.nucleotides_twobit("dna")).alias("rna"))
+
+
+#: Starts and counts anywhere in the text, from both ends.
+_ANYWHERE = ("doc_id * 7919 % (2 * length(dna) + 1) - length(dna)", "doc_id * 104729 % (2 * length(dna) + 1) - length(dna)")
+_SLICE_WHOLE = _SLICE.replace("doc_id % 19 - 9", _ANYWHERE[0]).replace("doc_id % 17 - 8", _ANYWHERE[1])
+
+
+@_query(_WHOLE_DNA_CTE.rstrip() + _SLICE_WHOLE)
+def twobit_substr_whole(spark, sf_dir):
+    y, z = (F.expr(x).cast("int") for x in _ANYWHERE)
+    coded = _whole_dna(spark, sf_dir).select("doc_id", y.alias("y"), z.alias("z"), nucleotides.nucleotides_twobit("dna").alias("x"))
+    return coded.select("doc_id", nucleotides.twobit_dna("x", F.col("y"), F.col("z")).alias("part"))
+
+
 @_query("SELECT p_partkey, p_name AS kept, false AS coded FROM part")
 def twobit_passthrough(spark, sf_dir):
     coded = _table(spark, sf_dir, "part").select("p_partkey", nucleotides.nucleotides_twobit("p_name").alias("x"))
