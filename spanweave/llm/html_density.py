@@ -4,8 +4,8 @@ A page becomes a tree of elements.  For every node, characters per tag are
 adjusted by the share of characters and tags inside links, relative to the
 body's own share; a node's density sum adds up the densities of the blocks next below it.  The
 node of the largest sum is the content, together with what lies beside the
-path from body to it and is at least as dense as the sparsest node on that
-path.  Elements that never hold article text (navigation, forms, scripts,
+path from body to it, elements and loose text alike, and is at least as dense
+as the sparsest node on that path.  Elements that never hold article text (navigation, forms, scripts,
 boxes whose class, id or role names an advert, a sidebar, comments ...) are
 cut from the tree before anything is counted.
 
@@ -94,6 +94,11 @@ def parse(page: str) -> Node:
         if name is None:
             continue
         name = name.lower()
+        if skipping and skipping[0] == "p":
+            # A dropped paragraph ends where a kept one would.
+            opened = not token[2] and name in CLOSES_P
+            if opened or (token[2] and name != "p" and name in BLOCKS and any(x.tag == name for x in stack)):
+                skipping.clear()
         if skipping:
             # Inside a dropped element only its own kind counts.
             if name == skipping[-1]:
@@ -174,8 +179,8 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def content_nodes(root: Node) -> list[Node]:
-    """The subtree of the largest density sum, and its equals beside the path to it, in page order."""
+def content_nodes(root: Node) -> list[Node | str | None]:
+    """The subtree of the largest density sum, and its equals beside the path to it, in page order; None ends a block."""
     order = measure(root)
     best = max((x for x in order if x.tag in BLOCKS), key=lambda x: x.total)
     if best.total <= 0:
@@ -189,28 +194,34 @@ def content_nodes(root: Node) -> list[Node]:
     while path[-1] is not root:
         path.append(above[id(path[-1])])
     threshold = min(x.density for x in path)
-    chosen = []
-    on_path = {id(x) for x in path}
-
-    def gather(node: Node) -> None:
-        for x in node.children:
-            if isinstance(x, Node):
-                if x is best:
-                    chosen.append(x)
-                elif id(x) in on_path:
-                    gather(x)
-                elif x.density >= threshold and x.tag != "a":
-                    chosen.append(x)
-
     if best is root:
         return [root]
-    if len(path) > 400:
-        return [best]
-    gather(root)
+    on_path = {id(x) for x in path}
+    # Loose text of a path's node has no tags of its own: all of it together against the fewest characters per tag.
+    least = min(x.chars / max(x.tags, 1) for x in path)
+    chosen: list = []
+    within: set[int] = set()
+    stack: list = [root]
+    while stack:
+        x = stack.pop()
+        if x is None or x is best or isinstance(x, str):
+            chosen.append(x)
+        elif id(x) in on_path:
+            loose = sum(len("".join(s.split())) for s in x.children if isinstance(s, str)) >= least
+            if loose:  # with the inline elements in it
+                within |= {id(s) for s in x.children if isinstance(s, Node) and s.tag not in BLOCKS}
+            ends = [None] if x.tag in BLOCKS else []
+            chosen.extend(ends)
+            # White space stays in any case: it keeps words apart.
+            stack.extend(ends + [s for s in reversed(x.children) if loose or not isinstance(s, str) or s.isspace()])
+        elif (x.density >= threshold and x.tag != "a") or id(x) in within:
+            chosen.append(x)
+        elif x.tag in BLOCKS:
+            chosen.append(None)
     return chosen
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def blocks(nodes: list[Node | str | None]) -> list[str]:
     """The text of the nodes, a string for each block with any."""
     out: list[str] = []
     run: list[str] = []
