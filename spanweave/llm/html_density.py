@@ -14,7 +14,7 @@ nothing is gathered between pages, so no key can be hot.
 
 Edge cases: null, empty or tagless html gives its plain text (empty if none);
 unclosed, misnested and stray tags are closed as browsers close them, and a
-page that breaks off ends where it breaks off; ties go to the outermost node;
+page that breaks off inside a tag ends before it; ties go to the outermost node;
 repeated rows give repeated results; an empty table an empty result; columns
 besides page_id, url and html are not read.
 """
@@ -24,7 +24,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,13 +42,15 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure fo
 BESIDE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead banner cookie cookies consent notice notices alert comment comments disqus reply replies share sharing social related recommended newsletter subscribe signup login popup modal overlay widget toolbar pagination pager search complementary contentinfo dialog".split())
 _BOXES = frozenset("div section ul ol dl table header span p details figure center".split())
 
+#: No part can be tried in two ways, so a broken tag costs one pass over what it spans.
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)"
-    r"|<(script|style|textarea|noscript|title|template|iframe|svg|xmp)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*>|.*\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*+)>"
-    r"|<[!?/][^>]*>",
+    r"<!--(?:.*?-->|(?P<open_comment>.*+)\Z)"
+    r"|<(?P<raw>script|style|textarea|noscript|title|template|iframe|svg|xmp)\b(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</(?P=raw)\s*+>|(?P<open_raw>.*+)\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/><]*+)(?P<attributes>(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
+    r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
+_BROKEN = re.compile(r"<[a-zA-Z/!?]")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -70,58 +72,74 @@ class Node:
         self.density = self.total = 0.0
 
 
+class _Open:
+    """The open elements, outermost first, and where each kind of them stands."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {root.tag: [0]}
+
+    def last(self, kinds: Iterable[str]) -> int:
+        """Where the innermost open element of these kinds stands, -1 without one."""
+        return max((self.at[k][-1] for k in kinds if self.at.get(k)), default=-1)
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, k: int) -> None:
+        while len(self.stack) > k:
+            self.at[self.stack.pop().tag].pop()
+
+
 def parse(page: str) -> Node:
     """The tree below body, without dropped elements; text is decoded, white space still as written."""
     root = Node("body")
-    stack, skipping, at = [root], [], 0
+    opened, skipping, at = _Open(root), [], 0
+    # Behind the last > nothing but a comment can be a whole token.
+    ends = page.rfind(">") + 1
 
     def text(piece: str) -> None:
         if piece and not skipping:
-            stack[-1].children.append(entities.unescape(piece) if "&" in piece else piece)
+            opened.stack[-1].children.append(entities.unescape(piece) if "&" in piece else piece)
 
-    def close(kinds: set | frozenset, barrier: set | frozenset) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in kinds:
-                del stack[k:]
-                return
-            if stack[k].tag in barrier:
-                return
+    def close(kinds: Iterable[str], barrier: Iterable[str]) -> None:
+        k = opened.last(kinds)
+        if k > max(0, opened.last(barrier)):
+            opened.cut(k)
 
-    for token in _TOKEN.finditer(page):
+    for token in _TOKEN.finditer(page, 0, ends):
         text(page[at : token.start()])
         at = token.end()
-        name = token[3]
+        if token["open_comment"] is not None or token["open_raw"] is not None:
+            at = len(page)
+        name = token["name"]
         if name is None:
             continue
-        name = name.lower()
+        name, is_end, attributes = name.lower(), token["end"], token["attributes"]
         if skipping and skipping[0] == "p":
             # A dropped paragraph ends where a kept one would.
-            opened = not token[2] and name in CLOSES_P
-            if opened or (token[2] and name != "p" and name in BLOCKS and any(x.tag == name for x in stack)):
+            opens = not is_end and name in CLOSES_P
+            if opens or (is_end and name != "p" and name in BLOCKS and opened.at.get(name)):
                 skipping.clear()
         if skipping:
             # Inside a dropped element only its own kind counts.
             if name == skipping[-1]:
-                if token[2]:
+                if is_end:
                     skipping.pop()
-                elif not token[4].rstrip().endswith("/"):
+                elif not attributes.rstrip().endswith("/"):
                     skipping.append(name)
-            elif name in {"body", "article", "main"} and not token[2] and skipping[0] == "head":
+            elif name in {"body", "article", "main"} and not is_end and skipping[0] == "head":
                 skipping.clear()
-            if skipping or token[2] or name in DROPPED:
+            if skipping or is_end or name in DROPPED:
                 continue
-        if token[2]:
+        if is_end:
             if name in {"body", "html"}:
                 continue
-            if name == "p" and not any(x.tag == "p" for x in stack):
-                stack[-1].children.append(Node("p"))
+            if name == "p" and not opened.at.get("p"):
+                opened.stack[-1].children.append(Node("p"))
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
-                if stack[k].tag in _SCOPE and name not in BLOCKS:
-                    break
+            # A block's end closes what stands open in it; other ends don't reach beyond their scope.
+            close({name}, () if name in BLOCKS else _SCOPE - {name})
             continue
         if name in {"html", "body"}:
             continue
@@ -129,16 +147,18 @@ def parse(page: str) -> Node:
             close({"p"}, _SCOPE)
         if name in CLOSES:
             close(*CLOSES[name])
-        own_article = any(x.tag in {"article", "main"} for x in stack)
-        if name in DROPPED or (name == "header" and not own_article) or (name in _BOXES and token[4] and _beside(token[4])):
-            if name not in VOID and not token[4].rstrip().endswith("/"):
+        own_article = opened.at.get("article") or opened.at.get("main")
+        if name in DROPPED or (name == "header" and not own_article) or (name in _BOXES and attributes and _beside(attributes)):
+            if name not in VOID and not attributes.rstrip().endswith("/"):
                 skipping.append(name)
             continue
         node = Node(name)
-        stack[-1].children.append(node)
+        opened.stack[-1].children.append(node)
         if name not in VOID:
-            stack.append(node)
-    text(page[at:])
+            opened.push(node)
+    rest = page[at:]
+    cut = _BROKEN.search(rest, max(0, ends - at))
+    text(rest[: cut.start()] if cut else rest)
     return root
 
 
