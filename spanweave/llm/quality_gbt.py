@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .storage import crc_mod, hash_sample, staged
 from .wordhash import hashed_slices, window_hashes
@@ -176,25 +177,28 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     return Forest(base, np.array(features), np.array(thresholds), np.array(values), depth)
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, stats array<double>) for every row of `docs`."""
+def document_statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, carried columns, stats array<double>) for every row of `docs`."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text"))
+    kept = rows.drop("text")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = statistics(batch.column(1))
+            x = statistics(batch.column(batch.num_columns - 1))
             stats = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), stats], ["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], stats], [*batch.schema.names[:-1], "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(compute, "doc_id long, stats array<double>")
+    return rows.mapInArrow(compute, StructType([*kept.schema.fields, StructField("stats", ArrayType(DoubleType()))]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, hold_modulus: int = 3, hold_remainder: int = 1, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted), one per row of `docs`.
+def quality_scores(docs: DataFrame, labels: DataFrame, hold_modulus: int = 3, hold_remainder: int = 1, max_train_rows: int = MAX_TRAIN_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, carried columns, held_out, score, predicted), one per row of `docs`.
 
     Labels are learnt only from rows whose crc32 of doc_id modulo
-    `hold_modulus` is not `hold_remainder`.
+    `hold_modulus` is not `hold_remainder`.  `carry` names columns of `docs`
+    that are returned as they are and never looked at.
     """
-    stats = staged(document_statistics(docs), "quality-statistics")
+    stats = staged(document_statistics(docs, carry), "quality-statistics")
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     usable = usable.filter(crc_mod(F.col("doc_id"), hold_modulus) != hold_remainder).groupBy("doc_id").agg(F.max("quality").alias("y"))
     # At most max_train_rows rows of two dozen numbers go to the driver.
@@ -205,9 +209,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, hold_modulus: int = 3, ho
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forest.score(x))], ["doc_id", "score"])
+            x = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(forest.score(x))], [*batch.schema.names[:-1], "score"])
 
-    scored = stats.mapInArrow(score, "doc_id long, score double")
+    scored = stats.mapInArrow(score, StructType([*stats.drop("stats").schema.fields, StructField("score", DoubleType())]))
     held = F.coalesce(crc_mod(F.col("doc_id"), hold_modulus) == hold_remainder, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", *carry, held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

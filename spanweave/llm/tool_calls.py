@@ -14,13 +14,16 @@ still open.  Identifiers are grouped by partial aggregates,
 never gathered, so one identifier or conversation may hold any share of rows.
 
 Edge cases: calls and results with a null conversation or identifier link
-with nothing; of repeated calls with one identifier the first turn counts and
-the others carry the error "repeated id"; a call takes the earliest result at
-a later turn; results without such a call are rows of their own with a null
-call_turn and the error "no call"; needs that name no call of the
+with nothing; of repeated calls with one identifier the first turn counts (of
+several at that turn the smaller argument text, then name) and the others carry
+the error "repeated id"; of calls equal in all columns one counts, whichever;
+a call takes the earliest result at a later turn, of several at that turn the
+smaller text; further results are rows of their own with a null call_turn and
+the error "repeated result", and results without such a call with the error
+"no call"; needs that name no call of the
 conversation are ignored but reported; calls that need each other in a circle
-have a null level and the error "circular"; ties of turn go to the smaller
-JSON text; empty tables give an empty result.
+have a null level and the error "circular"; other columns are not read; empty
+tables give an empty result.
 """
 
 from __future__ import annotations
@@ -127,30 +130,43 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
         done, ways = done.union(over), gone.join(over, key, "left_anti").drop("met")
 
 
+def _ranked(rows: DataFrame, names: list[str], cell: Column, label: str) -> DataFrame:
+    """Staged `rows` with `cell`, and `first`: whether it is the row of the smallest cell for its names, one of equal rows.
+
+    Rows that share their names and cell are told apart by a number drawn when
+    they are staged; a least cell per name is a partial aggregate, so no name
+    is gathered.
+    """
+    drawn = staged(rows.withColumn("_cell", cell).withColumn("_draw", F.monotonically_increasing_id()), label)
+    least = drawn.filter(" and ".join(f"{n} is not null" for n in names)).groupBy(*names).agg(F.min(F.struct("_cell", "_draw")).alias("_least"))
+    marked = drawn.join(least, names, "left")
+    return marked.withColumn("first", F.coalesce(F.struct("_cell", "_draw") == F.col("_least"), F.lit(False))).drop("_least", "_draw")
+
+
 def linked_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
     """Rows (conv_id, call_id, name, call_turn, result_turn, level, valid, errors, canonical)."""
     key = ["conv_id", "call_id"]
-    cells = F.struct("turn", F.coalesce("arguments", F.lit("")).alias("arguments"), F.coalesce("name", F.lit("")).alias("name"))
-    calls = staged(calls.withColumn("cell", cells), "chat-calls")
-    results = staged(results, "chat-results")
-    named = calls.filter("conv_id is not null and call_id is not null")
-    firsts = named.groupBy(*key).agg(F.min(F.struct("cell", "needs")).alias("head"))
-    heads = staged(firsts.select(*key, F.col("head.cell.turn").alias("call_turn"), F.col("head.needs").alias("needs")), "chat-heads")
+    cells = F.struct("turn", F.coalesce("arguments", F.lit("")).alias("arguments"), F.coalesce("name", F.lit("")).alias("name"), F.array_sort("needs").alias("needs"))
+    calls = staged(_ranked(calls.select(*key, "turn", "name", "arguments", "needs"), key, cells, "chat-calls"), "chat-calls")
+    heads = staged(calls.filter("first").select(*key, F.col("turn").alias("call_turn"), "needs"), "chat-heads")
     # The earliest result after the call.
-    answers = results.filter("conv_id is not null and call_id is not null").join(heads.select(*key, "call_turn"), key)
-    answers = answers.filter("turn > call_turn").groupBy(*key).agg(F.min(F.struct("turn", F.coalesce("content", F.lit("")).alias("content"), F.col("content").isNull().alias("none"))).alias("answer"))
+    met = results.select(*key, "turn", "content").join(heads.select(*key, F.col("call_turn").alias("asked")), key, "left").withColumn("late", F.coalesce(F.col("turn") > F.col("asked"), F.lit(False)))
+    # A result that isn't after its call is none for it: its name is left out of the ranking.
+    met = met.withColumn("_for", F.when(F.col("late"), F.col("call_id")))
+    results = staged(_ranked(met, ["conv_id", "_for"], F.struct("turn", F.coalesce("content", F.lit("")).alias("content"), F.col("content").isNull().alias("none")), "chat-results"), "chat-results")
+    answers = results.filter("first").select(*key, F.struct("turn", "content", F.col("_cell.none").alias("none")).alias("answer"))
     wanted = heads.select(*key, F.explode(F.array_distinct("needs")).alias("need")).filter("need is not null")
     known = heads.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("known"))
     resolved = staged(wanted.join(known, ["conv_id", "need"], "left"), "chat-resolved")
     order = levels(heads.select(*key), resolved.filter("known").select(*key, "need"))
     lost = resolved.filter("known is null").groupBy(*key).agg(F.count("need").alias("lost"))
     kinds, errors = argument_errors(F.col("name"), F.col("arguments"), tools)
-    rows = calls.withColumn("_kinds", kinds).withColumn("errors", errors).drop("_kinds")
+    rows = calls.withColumnRenamed("first", "is_first").withColumn("_kinds", kinds).withColumn("errors", errors).drop("_kinds")
     rows = rows.join(heads.select(*key, "call_turn", F.lit(True).alias("linkable")), key, "left").join(answers, key, "left").join(order, key, "left").join(lost, key, "left")
-    first = F.col("linkable") & (F.col("turn") == F.col("call_turn"))
+    first = F.col("is_first")
     notes = F.array(
         F.when(F.col("linkable").isNull(), F.lit("no id")),
-        F.when(~first, F.lit("repeated id")),
+        F.when(F.col("linkable") & ~first, F.lit("repeated id")),
         F.when(F.col("linkable") & F.col("level").isNull(), F.lit("circular")),
         F.when(F.col("lost") > 0, F.lit("unknown need")),
         F.when(first & F.col("answer").isNull(), F.lit("no result")),
@@ -165,8 +181,9 @@ def linked_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str
         *key, "name", F.col("turn").alias("call_turn"), F.when(first, F.col("answer.turn")).alias("result_turn"), F.when(first, F.col("level")).alias("level"),
         (F.size("errors") == 0).alias("valid"), F.array_join("errors", "; ").alias("errors"), F.to_json(body, {"ignoreNullFields": "false"}).alias("canonical"),
     )
-    orphans = results.join(heads.select(*key, F.col("call_turn").alias("t")), key, "left").filter("t is null or turn <= t")
+    orphans = results.filter("not first")
     lone = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result")), {"ignoreNullFields": "false"})
     none = lambda kind: F.lit(None).cast(kind)
-    orphans = orphans.select(*key, none("string").alias("name"), none("bigint").alias("call_turn"), F.col("turn").alias("result_turn"), none("int").alias("level"), F.lit(False).alias("valid"), F.lit("no call").alias("errors"), lone.alias("canonical"))
+    fault = F.when(F.col("late"), F.lit("repeated result")).otherwise(F.lit("no call"))
+    orphans = orphans.select(*key, none("string").alias("name"), none("bigint").alias("call_turn"), F.col("turn").alias("result_turn"), none("int").alias("level"), F.lit(False).alias("valid"), fault.alias("errors"), lone.alias("canonical"))
     return out.unionByName(orphans)

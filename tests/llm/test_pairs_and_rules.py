@@ -33,7 +33,7 @@ def sets_of(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)]) if words else frozenset()
 
 
-def brute_components(rows):
+def brute_components(rows, percent=75):
     sets, parent = {r.doc_id: sets_of(r.text) for r in rows}, {r.doc_id: r.doc_id for r in rows}
 
     def root(x):
@@ -43,7 +43,7 @@ def brute_components(rows):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {d: (len(s), root(d)) for d, s in sets.items()}
@@ -66,6 +66,28 @@ def test_jaccard_edge_cases(spark):
     assert all(r.component_id is None if r.doc_id is None else (r.n_shingles, r.component_id) == expected[r.doc_id] for r in rows)
 
 
+@pytest.mark.parametrize("percent", [60, 75, 90])
+def test_jaccard_large_group_and_common_shingle(spark, monkeypatch, percent):
+    """A large near-copy group on several rounds, a shingle in all documents, few names sent to all."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(ngram_join, "POSTING", 4)
+    monkeypatch.setattr(ngram_join, "CENTRES", 1)
+    monkeypatch.setattr(ngram_join, "BUNDLE", 8)
+    monkeypatch.setattr(ngram_join, "GROUP_SETS", 16)
+    rng, licence = random.Random(percent), "all rights of this work are reserved by its authors"
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            words[rng.randrange(60)] = f"x{rng.randrange(10_000)}"
+        texts.append(" ".join(words))
+    texts += [licence + " " + " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(40))) for _ in range(80)] + [licence] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, percent=percent).collect()}
+    assert got == brute_components(docs.collect(), percent)
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3)]
     got = dict(connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
@@ -147,6 +169,28 @@ def test_tool_call_faults(spark):
     assert tool_calls.linked_calls(*tool_calls.calls_of_json(talk.filter("false")), tools).count() == 0
 
 
+def test_no_call_or_result_is_lost(spark):
+    calls = spark.createDataFrame(
+        [(1, 0, "a", "add", '{"x":2}', []), (1, 0, "a", "add", '{"x":1}', []), (1, 0, "b", "add", '{"x":1}', ["a"]), (1, 0, "b", "add", '{"x":1}', ["a"]), (None, 0, "a", "add", '{"x":1}', []), (1, 0, None, "add", None, None), (2, None, "a", "add", "{}", [None])],
+        "conv_id bigint, turn bigint, call_id string, name string, arguments string, needs array<string>",
+    ).withColumns({"level": F.lit("clash"), "first": F.lit(7), "call_turn": F.lit("clash")})
+    results = spark.createDataFrame(
+        [(1, 1, "a", "one"), (1, 2, "a", "two"), (1, 2, "a", "two"), (1, 0, "a", "early"), (1, 3, "b", None), (1, 3, "b", ""), (None, 1, "a", "x"), (1, 1, None, "y"), (2, 1, "a", "z")],
+        "conv_id bigint, turn bigint, call_id string, content string",
+    ).withColumn("late", F.lit("clash"))
+    rows = tool_calls.linked_calls(calls, results, {"add": {"x": ("integer", True)}}).collect()
+    asked = [r for r in rows if r.call_turn is not None or r.name is not None]
+    assert len(asked) == 7
+    a = [(r.valid, r.errors, r.result_turn) for r in asked if (r.conv_id, r.call_id) == (1, "a")]
+    assert sorted(a, key=repr) == [(False, "repeated id", None), (True, "", 1)]
+    assert next(r.canonical for r in asked if r.valid and r.call_id == "a").startswith('{"arguments":{"x":1}')
+    assert sorted(r.errors for r in asked if r.call_id == "b") == ["", "repeated id"]
+    assert sorted(r.errors for r in asked if r.conv_id is None or r.call_id is None) == ["malformed arguments; no id", "no id"]
+    assert sorted((r.conv_id or 0, r.call_id or "", r.result_turn, r.errors) for r in rows if r.name is None) == sorted(
+        [(1, "a", 2, "repeated result"), (1, "a", 2, "repeated result"), (1, "a", 0, "no call"), (1, "b", 3, "repeated result"), (0, "a", 1, "no call"), (1, "", 1, "no call"), (2, "a", 1, "no call")]
+    )
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_levels_of_long_chains_branches_and_circles(spark, seed):
     rng = random.Random(seed)
