@@ -1,8 +1,9 @@
 """The corpus pipeline: quality rules, quality classifier, near duplicates, mixing, pieces.
 
 Each stage takes what its predecessor kept (the columns of documents) and the
-last returns the pieces of each text.  Rows with a null doc_id can't be named
-by a verdict and pass through the filters.
+last returns the pieces of each text.  A stage names rows by a hash of all
+their columns, so null and repeated doc_ids are judged by their own texts, and
+rows that are equal in every column share their verdict.
 """
 
 from __future__ import annotations
@@ -24,34 +25,57 @@ def _named(verdicts: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with a name for each distinct row."""
+    return docs.withColumn("_row", F.xxhash64(*DOCUMENT))
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """`docs` less the rows whose doc_id is in `rejected`."""
-    return docs.join(_named(rejected.select("doc_id").distinct()), "doc_id", "left_anti").select(*DOCUMENT)
+    """The keyed `docs` less the rows named in `rejected`."""
+    return docs.join(_named(rejected.select("_row").distinct()), "_row", "left_anti").select(*DOCUMENT)
+
+
+def _once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The keyed `docs`, with one row for each name in `repeated`; only such rows are shuffled."""
+    single = docs.join(repeated, "_row", "left_anti")
+    return single.unionByName(docs.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules reject go."""
+    docs = _keyed(docs)
     return _without(docs, quality_rules.quality_verdicts(docs).filter(~F.col("kept")))
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the boosted trees predict to be of low quality go."""
-    return _without(docs, quality_gbt.quality_scores(docs, table(spark, sf_dir, "labels")).filter("predicted = 0"))
+    docs = _keyed(docs)
+    return _without(docs, quality_gbt.quality_scores(docs, table(spark, sf_dir, "labels"), carry=("_row",)).filter("predicted = 0"))
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return _without(docs, ngram_join.jaccard_components(docs).filter("doc_id <> component_id"))
+    """Of each group of near copies one row stays: that of the smallest doc_id, a row with a null one only where no other is.
+
+    Texts without words are no copies of each other and all stay.
+    """
+    docs = _keyed(docs)
+    groups = ngram_join.jaccard_components(docs.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id", "n_shingles")
+    groups = staged(groups.filter("n_shingles > 0").groupBy("_row").agg(F.max("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")), "pipeline-groups")
+    named = groups.join(docs.select("_row", F.col("doc_id").alias("id")).distinct(), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("first"))
+    rest = groups.join(first, "component_id").filter("_row <> first._row")
+    left = _keyed(_without(docs, rest))
+    return _once(left, _named(groups.filter("rows > 1").select("_row"))).select(*DOCUMENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are there as often as the mix reads them: not at all, once or several times."""
-    reads = _named(mixing.mix(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("reads")))
-    # Rows that share a doc_id share its reads.
-    rows = _named(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
-    mixed = docs.join(reads, "doc_id").join(rows, "doc_id", "left")
-    times = F.greatest(F.expr("cast(ceil(reads / coalesce(rows, 1)) as int)"), F.lit(1))
-    return mixed.withColumn("_time", F.explode(F.sequence(F.lit(1), times))).select(*DOCUMENT)
+    docs = _keyed(docs)
+    reads = _named(mixing.mix(docs.withColumn("doc_id", F.col("_row"))).groupBy(F.col("doc_id").alias("_row")).agg(F.count(F.lit(1)).cast("int").alias("reads")))
+    # Rows equal in every column are read together: one of them stands for all their reads.
+    repeated = _named(docs.groupBy("_row").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("_row"))
+    mixed = _once(docs, repeated).join(reads, "_row")
+    return mixed.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("reads")))).select(*DOCUMENT)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
