@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.intervals import BEG, LEN, LVL, RID
+from .staging import staged
 
 
 def write_indexed(indexed: DataFrame, path: str, partitions: int | None = None, mode: str = "errorifexists") -> None:
@@ -37,16 +38,16 @@ def compact(spark: SparkSession, source: str, target: str, order: list[str] | No
 
 
 def with_rowids(df: DataFrame, *order: str, name: str = "_rowid_") -> DataFrame:
-    """Row ids from 1 in the order of `order`, without bringing all rows together.
+    """Row ids from 1 in the order of `order` (as the rows lie without one), without bringing all rows together.
 
-    Rows are dealt out by range of the order; the counts of earlier partitions
-    (one row per partition) give each partition's offset.
+    Rows are dealt out by range of the order, numbered within their partition
+    and staged with those numbers, so that they hold whatever is read later; the
+    counts of earlier partitions (one row each) give each partition's offset.
     """
-    from pyspark.sql import Window
-
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    numbered = dealt.withColumn("_rank", rank).join(offsets, F.col("_part") == F.col("_p"))
-    return numbered.withColumn(name, F.col("_rank") + F.col("_before")).drop("_part", "_p", "_rank", "_before")
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    numbered = staged(dealt.withColumn("_at", F.monotonically_increasing_id()), "rowids")
+    part, within = F.expr("shiftright(_at, 33)"), F.expr(f"_at & {(1 << 33) - 1}")
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    met = numbered.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # a row for each partition of the write
+    return met.withColumn(name, within + F.col("_before") + 1).select(*df.columns, name)

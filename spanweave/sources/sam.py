@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import refseq
 from ..operators.intervals import with_range_columns
+from ..plans.layout import with_rowids
 from .headers import header_lines, text_lines
 
 #: Tags of a read group that are kept (fixed values).
@@ -35,7 +36,7 @@ def _aligned(cigar: Column) -> Column:
 
 
 def read_sam(spark: SparkSession, path: str, assembly: str | None = None, gri: bool = True) -> Sam:
-    """Tables of a SAM file.
+    """Tables of a SAM file, or of a folder of files that share the header of the first.
 
     readgroups: (rg_id, rg_name, rg_tags_json); reads: (rowid, flag, rid, pos
     zero-based, endpos, mapq, cigar, rnext, pnext, tlen, rg_id); seqs: (rowid,
@@ -43,7 +44,7 @@ def read_sam(spark: SparkSession, path: str, assembly: str | None = None, gri: b
     is null.
     """
     lines = text_lines(spark, path)
-    head = header_lines(lines, "@")
+    head = header_lines(spark, path, "@")
     groups = [_fields(x) for x in head if x.startswith("@RG\t")]
     if any("ID" not in g for g in groups):
         raise ValueError("a read group lacks ID")
@@ -57,11 +58,11 @@ def read_sam(spark: SparkSession, path: str, assembly: str | None = None, gri: b
     f = lambda i: F.get("f", F.lit(i))
     known = lambda i: F.when(f(i) != "*", f(i))
     body = lines.filter(~F.col("line").startswith("@") & (F.col("line") != ""))
-    # A number that follows from the line and its file, not from the order of tasks.
-    body = body.select(F.split("line", "\t").alias("f"), F.xxhash64(F.input_file_name(), "line").alias("rowid"))
+    # Staged with their numbers, so that reads, sequences and tags name the same lines, equal lines too.
+    body = with_rowids(body.select("line"), name="rowid").select(F.split("line", "\t").alias("f"), "rowid")
     rids = F.create_map(*[x for i, s in enumerate(sequences) for x in (F.lit(s["SN"]), F.lit(i).cast("bigint"))]) if sequences else F.create_map().cast("map<string,bigint>")
     rg_ids = F.create_map(*[x for i, g in enumerate(groups) for x in (F.lit(g["ID"]), F.lit(i).cast("bigint"))]) if groups else F.create_map().cast("map<string,bigint>")
-    aux = F.transform(F.filter(F.slice("f", 12, 1000), lambda x: x.contains(":")), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).alias("k"), F.split_part(x, F.lit(":"), F.lit(2)).alias("t"), F.regexp_replace(x, "^[^:]*:[^:]*:", "").alias("v")))
+    aux = F.transform(F.filter(F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0))), lambda x: x.contains(":")), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).alias("k"), F.split_part(x, F.lit(":"), F.lit(2)).alias("t"), F.regexp_replace(x, "^[^:]*:[^:]*:", "").alias("v")))
     body = body.withColumn("_aux", aux).withColumn("_rg", F.get(F.filter("_aux", lambda x: x["k"] == "RG"), F.lit(0))["v"])
     number = lambda i: f(i).cast("bigint")
     pos = F.when(number(3) >= 1, number(3) - 1)

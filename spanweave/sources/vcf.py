@@ -1,18 +1,21 @@
 """Variant call text: exploded into variants, samples and genotypes, or kept by line.
 
 Files are read as text (gzip included), so their splits are Spark's; the
-header is parsed by the driver and decides the columns.
+header is parsed by the driver and decides the columns.  The files of a folder
+share the header of the first; a line of a contig that it doesn't name, or with
+calls of more samples than it names, is an error.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import refseq
 from ..operators.intervals import with_range_columns
+from ..plans.layout import with_rowids
 from .headers import header_lines, structured, text_lines
 
 _FIXED = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
@@ -62,10 +65,12 @@ def read_vcf(spark: SparkSession, path: str, ploidy: int = 2, assembly: str | No
     the header, from 0.
     """
     lines = text_lines(spark, path)
-    head = header_lines(lines, "#")
+    head = header_lines(spark, path, "#")
     contigs = structured(head, "contig", ("ID", "length"))
     if not contigs:
         raise ValueError("the header has no contig lines")
+    if len({c["ID"] for c in contigs}) < len(contigs):
+        raise ValueError("the header names a contig twice")
     named = {c.get("assembly") for c in contigs} - {None}
     if len(named) > 1:
         raise ValueError(f"contigs of several assemblies: {sorted(named)}")
@@ -82,17 +87,17 @@ def read_vcf(spark: SparkSession, path: str, ploidy: int = 2, assembly: str | No
     rows = parts.select(
         at(0).alias("CHROM"), (at(1).cast("bigint") - 1).alias("POS"), at(2).alias("_id"), at(3).alias("REF"), at(4).alias("_alt"),
         at(5).try_cast("double").alias("QUAL"), at(6).alias("_filter"), pairs.alias("_info"), F.split(at(8), ":").alias("_keys"),
-        F.slice("f", 10, max(1, len(sample_names))).alias("_calls"),
+        F.when(F.size("f") > 9 + max(len(sample_names), 0 if len(titles) > 8 else 10**9), F.raise_error(F.lit("a line has more calls than the header has samples")).cast("array<string>"))
+        .otherwise(F.slice("f", 10, max(1, len(sample_names)))).alias("_calls"),
     )
-    ids = refseqs.select(F.col("_gri_rid").alias("rid"), F.col("gri_refseq_name").alias("CHROM"))
-    rows = rows.join(F.broadcast(ids), "CHROM")  # as many rows as the header has contigs
+    ids = refseqs.select(F.col("_gri_rid").alias("_rid"), F.col("gri_refseq_name").alias("CHROM"))
+    rows = rows.join(F.broadcast(ids), "CHROM", "left")  # as many rows as the header has contigs
+    unknown = F.raise_error(F.concat(F.lit("contig not in the header: "), "CHROM")).cast("bigint")
+    rows = rows.withColumn("rid", F.coalesce("_rid", unknown))
     end = F.element_at("_info", "END").try_cast("bigint")
     rows = rows.withColumn("rlen", F.when(end > F.col("POS"), end - F.col("POS")).otherwise(F.length("REF")).cast("bigint"))
-    # One number per row without a global sort: offsets by sequence, then ranks within.
-    within = Window.partitionBy("rid").orderBy("POS", "REF", "_alt", "_id", "QUAL")
-    sizes = rows.groupBy("rid").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("rid", (F.sum("_n").over(Window.orderBy("rid")) - F.col("_n")).alias("_before"))
-    rows = rows.join(F.broadcast(before), "rid").withColumn("variant_rowid", F.row_number().over(within) + F.col("_before"))
+    # Staged with their numbers, so that variants and genotypes name the same rows.
+    rows = with_rowids(rows.drop("_rid", "CHROM"), "rid", "POS", "REF", "_alt", "_id", "QUAL", name="variant_rowid")
     columns = [
         "variant_rowid", "rid", "POS", "rlen", _json_list(F.split("_id", ";")).alias("ID_jsarray"), "REF",
         F.coalesce(_json_list(F.split("_alt", ",")), F.lit("[]")).alias("ALT_jsarray"), "QUAL", _json_list(F.split("_filter", ";")).alias("FILTER_jsarray"),
@@ -123,7 +128,7 @@ def read_vcf(spark: SparkSession, path: str, ploidy: int = 2, assembly: str | No
 def read_vcf_lines(spark: SparkSession, path: str, gri: bool = True) -> DataFrame:
     """(CHROM, POS zero-based, rlen, line); the header is one row with null coordinates."""
     lines = text_lines(spark, path)
-    head = "\n".join(header_lines(lines, "#"))
+    head = "\n".join(header_lines(spark, path, "#"))
     body = lines.filter(~F.col("line").startswith("#")).withColumn("f", F.split("line", "\t"))
     bad = lambda what: F.raise_error(F.concat(F.lit(f"{what}: "), "line")).cast("bigint")
     pos = F.when(F.size("f") < 8, bad("fewer than 8 fields")).otherwise(F.get("f", F.lit(1)).cast("bigint"))

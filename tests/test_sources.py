@@ -1,3 +1,5 @@
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,29 @@ def test_sam_tables(spark, tmp_path):
         read_sam(spark, str(tmp_path / "b.sam")).reads.collect()
 
 
+def test_folder_of_files_and_unknown_contig(spark, tmp_path):
+    folder = tmp_path / "vcf"
+    folder.mkdir()
+    (folder / "a.vcf").write_text(VCF)
+    (folder / "b.vcf").write_text(VCF)
+    vcf = read_vcf(spark, str(folder))
+    assert sorted(r.variant_rowid for r in vcf.variants.collect()) == [1, 2, 3, 4]
+    assert vcf.genotypes.join(vcf.variants, "variant_rowid").count() == 8 and vcf.refseqs.count() == 2
+    with gzip.open(tmp_path / "c.vcf.gz", "wt") as f:
+        f.write(VCF + "chrX\t1\t.\tA\tC\t.\t.\t.\tGT\t0/0\t0/1\n")
+    with pytest.raises(Exception, match="contig not in the header"):
+        read_vcf(spark, str(tmp_path / "c.vcf.gz")).variants.collect()
+
+
+def test_equal_reads_and_many_tags(spark, tmp_path):
+    read = SAM.splitlines()[2] + "".join(f"\tX{i}:i:{i}" for i in range(1500))
+    (tmp_path / "a.sam").write_text("\n".join(SAM.splitlines()[:2] + [read] * 3) + "\n")
+    sam = read_sam(spark, str(tmp_path / "a.sam"))
+    assert sorted(r.rowid for r in sam.reads.collect()) == [1, 2, 3]
+    assert sam.reads.join(sam.seqs, "rowid").join(sam.tags, "rowid").count() == 3
+    assert '"X1499":1499' in sam.tags.first().tags_json
+
+
 def test_bed(spark, tmp_path):
     (tmp_path / "a.bed").write_text("chrA\t11\t20\tx\t0\t+\n")
     assert read_bed(spark, str(tmp_path / "a.bed"), one_based=True).select(F.col("beg")).first()[0] == 10
