@@ -4,8 +4,10 @@ A document is cut into leaves at places where pre-tokens surely part: before
 a single blank between two visible characters.  A tree over the leaves keeps
 characters and tokens of every subtree.  An edit finds its leaves by walking
 down the tree, takes in one leaf more on either side (a cut is only sure
-while its surroundings stand), cuts and encodes that region anew and corrects
-the sums on the way up; the rest of the document isn't encoded again.
+while its surroundings stand), cuts and encodes those leaves anew and corrects
+the sums on the way up; the rest of the document isn't encoded again.  Where
+leaves crowd at one place, or most are gone, the tree is laid out again over
+the leaves as they are, without encoding anything.
 
 Edits are rows of an array column, applied in order; positions count code
 points of the text as it then is.  A position beyond the end means the end, a
@@ -28,7 +30,9 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAF_CHARS = 512
+LEAF_CHARS = 96
+#: Leaves that one slot of the tree holds at most before the tree is laid out again.
+CROWDED = 8
 EDITS = "array<struct<pos: int, removed: int, added: string>>"
 
 #: How the public byte-level vocabulary splits text into pre-tokens (fixed value).
@@ -66,6 +70,7 @@ class SegmentTree:
         self.width = 1
         while self.width < len(leaves):
             self.width *= 2
+        self.held = len(leaves)
         # Each leaf slot holds a run of leaves, so that an edit never renumbers its neighbours.
         self.slots: list[list[tuple[str, int]]] = [[x] for x in leaves] + [[] for _ in range(self.width - len(leaves))]
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
@@ -92,41 +97,45 @@ class SegmentTree:
                 i += 1
         return i - self.width, before
 
-    def _beside(self, slot: int, step: int) -> int:
-        """The next slot with text in the direction of `step`, or -1."""
-        slot += step
-        while 0 <= slot < self.width:
-            if self.chars[self.width + slot]:
-                return slot
-            slot += step
-        return -1
-
     def edit(self, pos: int, removed: int, added: str) -> None:
         length = self.chars[1]
         pos = min(max(pos, 0), length)
         removed = min(max(removed, 0), length - pos)
         if not removed and not added:
             return
+        # The slots of the edit, and the next with text on either side.
         first, before = self._find(pos)
-        last = self._find(pos + removed)[0] if removed else first
-        left, right = self._beside(first, -1), self._beside(last, 1)
-        if left >= 0:
-            before -= self.chars[self.width + left]
-            first = left
-        if right >= 0:
-            last = right
-        region = "".join(x for s in range(first, last + 1) for x, _ in self.slots[s])
-        at = pos - before
+        if before:
+            first, before = self._find(before - 1)
+        last, start = self._find(min(pos + removed, max(length - 1, 0)))
+        if start + self.chars[self.width + last] < length:
+            last = self._find(start + self.chars[self.width + last])[0]
+        leaves = [(s, leaf) for s in range(first, last + 1) for leaf in self.slots[s]]
+        starts = [before]
+        for _, (text, _) in leaves:
+            starts.append(starts[-1] + len(text))
+        # Leaves that the edit touches or borders on, and one more on either side.
+        i = max(next(k for k in range(len(leaves)) if starts[k + 1] >= pos) - 1, 0)
+        j = min(next(k for k in reversed(range(len(leaves))) if starts[k] <= pos + removed) + 1, len(leaves) - 1)
+        region, at = "".join(text for _, (text, _) in leaves[i : j + 1]), pos - starts[i]
         fresh = self._counted(leaves_of(region[:at] + added + region[at + removed :], self.size))
-        for s in range(first + 1, last + 1):
-            if self.slots[s]:
-                self._put(s, [])
-        if len(fresh) > 64:
-            # Much new text: the tree is laid out again, without encoding anything again.
-            self.slots[first] = fresh
+        home = leaves[i][0]
+        runs: dict[int, list[tuple[str, int]]] = {s: [] for s, _ in leaves[i : j + 1]}
+        for s, leaf in leaves[:i]:
+            if s in runs:
+                runs[s].append(leaf)
+        runs[home] += fresh
+        for s, leaf in leaves[j + 1 :]:
+            if s in runs:
+                runs[s].append(leaf)
+        self.held += len(fresh) - (j + 1 - i)
+        for s, run in runs.items():
+            if len(run) <= CROWDED and 4 * self.held >= self.width:
+                self._put(s, run)
+            else:
+                self.slots[s] = run
+        if any(len(run) > CROWDED for run in runs.values()) or 4 * self.held < self.width:
             self._build([x for run in self.slots for x in run])
-        else:
-            self._put(first, fresh)
 
     @property
     def total(self) -> int:

@@ -89,10 +89,26 @@ def test_edits_count_like_a_full_encoding(count):
 
 
 def test_edits_touch_little(count):
+    """A hundred edits, scattered, at one place, after a large insertion and after a large deletion."""
+    rng = random.Random(4)
     tree = token_counts.SegmentTree("some plain words follow " * 4000, count)
+    for place in (lambda: rng.randrange(tree.chars[1]), lambda: 50_000):
+        for _ in range(100):
+            before, added = tree.encoded, rng.choice(["other", " x y", "\n", ""])
+            tree.edit(place(), 3, added)
+            assert tree.encoded - before < 600
+        tree.edit(50_000, 0, " much new text" * 3000)
+    tree.edit(1000, tree.chars[1] - 2000, "")
     before = tree.encoded
-    tree.edit(50_000, 3, "other")
-    assert tree.encoded - before < 5 * token_counts.LEAF_CHARS
+    tree.edit(500, 1, "y")
+    assert tree.encoded - before < 600 and tree.total == count([tree.text])[0]
+
+
+def test_edited_counts_of_tables(spark):
+    ranks = token_counts.shared_ranks(spark, tokenizer_path("byte_bpe_50k.tiktoken"))
+    docs = spark.createDataFrame([(1, "a b", [(0, 0, "c ")], "clash", 7)] * 2, f"doc_id bigint, text string, edits {token_counts.EDITS}, n_tokens string, n_edits int")
+    assert [tuple(r)[:4] for r in token_counts.edited_counts(docs, ranks).collect()] == [(1, 2, 3, 5)] * 2
+    assert token_counts.edited_counts(docs.filter("false"), ranks).count() == 0
 
 
 def test_edited_counts_edge_cases(spark):
