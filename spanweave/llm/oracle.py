@@ -13,15 +13,17 @@ _RATIOS = (
 
 def _quartiles(keys: str, name: str) -> str:
     by = f"{keys}, ratio" if keys else "ratio"
-    return f"""{name} AS (SELECT {by}, max(size) AS size, min(CASE WHEN 4 * upto >= size THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 3 * size THEN bucket END) AS q3
-  FROM (SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS size FROM (SELECT {by}, bucket, sum(n) AS n FROM sketches GROUP BY ALL)) GROUP BY {by})"""
+    return f"""{name} AS (SELECT {by}, max(size) AS size, min(CASE WHEN 4 * upto >= size THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 3 * size THEN bucket END) AS q3, min(CASE WHEN 1000 * upto >= 990 * size THEN bucket END) AS tail
+  FROM (SELECT {by}, bucket, (sum(n) OVER (PARTITION BY {by} ORDER BY bucket))::BIGINT AS upto, (sum(n) OVER (PARTITION BY {by}))::BIGINT AS size FROM (SELECT {by}, bucket, sum(n) AS n FROM sketches GROUP BY ALL)) GROUP BY {by})"""
 
 
 def _op8() -> str:
     sketches = " UNION ALL ".join(f"SELECT lang, source, '{name}' AS ratio, {rule} AS v FROM counts WHERE NOT base_failed" for name, rule, *_ in _RATIOS)
-    picked = ", ".join(f"CASE WHEN o.size >= 200 THEN o.{q} WHEN l.size >= 200 THEN l.{q} ELSE a.{q} END AS {q}" for q in ("q1", "q3"))
+    drawn = ", ".join(f"(o.size * o.{q} + 200 * ((l.size * l.{q} + 200 * a.{q}) // (l.size + 200))) // (o.size + 200) AS {q}" for q in ("q1", "q3", "tail"))
+    tail = "tail + (1::BIGINT << greatest(length(bin(tail)) - 7, 0)::INTEGER)"
+    upper = lambda name, reach, above: f"least(q3 + {reach} * (q3 - q1) + {above}, {tail})" if name != "word_length_tenths" else f"q3 + {reach} * (q3 - q1) + {above}"
     low = [f"coalesce({rule} >= max(CASE WHEN ratio = '{name}' THEN q1 - {reach} * (q3 - q1) - {below} END), true)" for name, rule, reach, below, _ in _RATIOS if below is not None]
-    high = [f"coalesce({rule} <= max(CASE WHEN ratio = '{name}' THEN q3 + {reach} * (q3 - q1) + {above} END), true)" for name, rule, reach, _, above in _RATIOS if above is not None]
+    high = [f"coalesce({rule} <= max(CASE WHEN ratio = '{name}' THEN {upper(name, reach, above)} END), true)" for name, rule, reach, _, above in _RATIOS if above is not None]
     counts = "n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed"
     return rf"""
 WITH parts AS (
@@ -41,7 +43,7 @@ counts AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base
 sketches AS (SELECT lang, source, ratio, (v >> s) << s AS bucket, count(*) AS n
   FROM (SELECT *, greatest(length(bin(v)) - 7, 0)::INTEGER AS s FROM ({sketches})) GROUP BY ALL),
 {_quartiles("lang, source", "own")}, {_quartiles("lang", "langs")}, {_quartiles("", "overall")},
-levels AS (SELECT o.lang, o.source, o.ratio, {picked} FROM own o JOIN langs l ON o.lang IS NOT DISTINCT FROM l.lang AND o.ratio = l.ratio JOIN overall a ON o.ratio = a.ratio)
+levels AS (SELECT o.lang, o.source, o.ratio, {drawn} FROM own o JOIN langs l ON o.lang IS NOT DISTINCT FROM l.lang AND o.ratio = l.ratio JOIN overall a ON o.ratio = a.ratio)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND {" AND ".join(low + high)} AS kept
 FROM counts c LEFT JOIN levels v ON c.lang IS NOT DISTINCT FROM v.lang AND c.source IS NOT DISTINCT FROM v.source

@@ -3,18 +3,19 @@
 Base counts of every text come from SQL functions alone.  From them follow
 four ratios; a mergeable quantile sketch of each ratio is kept per
 (lang, source), and a document is rejected when a ratio lies outside the
-fences of its group.  Thresholds follow the data, so no cutoff is fixed but
-the slack that keeps a uniform group from rejecting its own members.
-Where a ratio is 0 in three quarters of a group, its quartile fence is that
-slack.  With `tails`, the upper fence of such a sparse ratio is the smaller of
-the quartile fence and the group's TAIL quantile with one bucket more.
+fences of its group.  A fence is the quartile by so many interquartile ranges
+and a slack that keeps a uniform group from rejecting its own members.  Ratios
+that are 0 in most documents have quartiles of 0, so their upper fence is the
+group's TAIL quantile with one bucket more, where that is less; without `tails`
+it is the quartile fence alone.
 
 The sketch is a histogram with integer buckets (width 1 up to 64, then 64
 buckets per power of two: relative error below 1/64).  Two sketches merge by
 adding counts, in any order, so partial aggregation builds them before the
-shuffle and results don't depend on how rows were dealt out.  Groups with
-fewer than `min_group` documents take the merged sketch of their language,
-and languages with fewer the merged sketch of all.
+shuffle and results don't depend on how rows were dealt out.  A group's
+quantiles are drawn towards those of its language, and these towards those of
+all documents, by the weight of `prior` documents: small groups borrow, and
+nothing jumps as a group grows.
 
 Edge cases: a null or empty text has zero counts and fails the base rule;
 null lang or source form a group of their own; repeated rows are judged each
@@ -41,7 +42,8 @@ RATIOS = {
 #: The upper quantile (permille) that bounds the sparse ratios with `tails`.
 TAIL = 990
 SPARSE = ("symbol_permille", "dup_line_permille", "repeat_permille")
-MIN_GROUP = 200
+#: How many documents the wider group counts for in a group's quantiles.
+PRIOR = 200
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -119,14 +121,15 @@ def quartiles(sketches: DataFrame, *keys: str) -> DataFrame:
     return ranked.groupBy(*keys, "ratio").agg(F.max("size").alias("size"), first(250).alias("q1"), first(750).alias("q3"), first(TAIL).alias("tail"))
 
 
-def adaptive_fences(sketches: DataFrame, min_group: int = MIN_GROUP, tails: bool = False) -> DataFrame:
+def adaptive_fences(sketches: DataFrame, prior: int = PRIOR, tails: bool = True) -> DataFrame:
     """Rows (lang, source, <ratio>_low, <ratio>_high) for every group that has sketches."""
+    marks = ("q1", "q3", "tail")
     own = quartiles(sketches, "lang", "source")
-    by_lang = quartiles(merged(sketches, "lang"), "lang").select(F.col("lang").alias("l"), F.col("ratio").alias("lr"), F.col("size").alias("l_size"), F.col("q1").alias("l_q1"), F.col("q3").alias("l_q3"), F.col("tail").alias("l_tail"))
-    overall = quartiles(merged(sketches)).select(F.col("ratio").alias("ar"), F.col("q1").alias("a_q1"), F.col("q3").alias("a_q3"), F.col("tail").alias("a_tail"))
+    by_lang = quartiles(merged(sketches, "lang"), "lang").select(F.col("lang").alias("l"), F.col("ratio").alias("lr"), F.col("size").alias("l_size"), *[F.col(q).alias(f"l_{q}") for q in marks])
+    overall = quartiles(merged(sketches)).select(F.col("ratio").alias("ar"), *[F.col(q).alias(f"a_{q}") for q in marks])
     levels = own.join(by_lang, (own.lang.eqNullSafe(by_lang.l)) & (own.ratio == by_lang.lr)).join(overall, F.col("ratio") == F.col("ar"))
-    pick = lambda q: F.when(F.col("size") >= min_group, F.col(q)).when(F.col("l_size") >= min_group, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    levels = levels.select("lang", "source", "ratio", pick("q1").alias("q1"), pick("q3").alias("q3"), pick("tail").alias("tail"))
+    levels = levels.withColumns({f"l_{q}": F.expr(f"(l_size * l_{q} + {prior} * a_{q}) div (l_size + {prior})") for q in marks})
+    levels = levels.select("lang", "source", "ratio", *[F.expr(f"(size * {q} + {prior} * l_{q}) div (size + {prior})").alias(q) for q in marks])
     fences = []
     for name, (_, reach, below, above) in RATIOS.items():
         own_ratio = F.col("ratio") == name
@@ -141,7 +144,7 @@ def adaptive_fences(sketches: DataFrame, min_group: int = MIN_GROUP, tails: bool
     return levels.groupBy("lang", "source").agg(*fences)
 
 
-def quality_verdicts(docs: DataFrame, min_group: int = MIN_GROUP, salts: int = 16, tails: bool = False) -> DataFrame:
+def quality_verdicts(docs: DataFrame, prior: int = PRIOR, salts: int = 16, tails: bool = True) -> DataFrame:
     """`docs` with the base counts, base_failed and kept.
 
     The text is read once: the counts are staged without it.  The fences
@@ -151,7 +154,7 @@ def quality_verdicts(docs: DataFrame, min_group: int = MIN_GROUP, salts: int = 1
     """
     carried = [c for c in docs.columns if c not in {"text", "base_failed", "kept", *_COUNTS}]
     counts = staged(base_counts(docs.select("text", *carried)).drop("text"), "quality-counts")
-    fences = adaptive_fences(ratio_sketches(counts), min_group, tails)
+    fences = adaptive_fences(ratio_sketches(counts), prior, tails)
     fences = fences.withColumnsRenamed({"lang": "_lang", "source": "_source"}).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = counts.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in ("doc_id", "n_words", "word_chars") if c in counts.columns]), F.lit(salts)).cast("int"))
     on = salted.lang.eqNullSafe(fences._lang) & salted.source.eqNullSafe(fences._source) & (F.col("_salt") == F.col("_part"))
