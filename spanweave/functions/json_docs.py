@@ -2,7 +2,11 @@
 
 What SQL functions can say stays in the JVM; edits, which have no built-in
 counterpart, are Arrow UDFs; the tree walk is a table function.  Null JSON
-gives null, malformed JSON an error unless stated otherwise.
+gives null, malformed JSON an error unless stated otherwise.  Edits keep the
+text of numbers and repeated keys as they are written; where values are read,
+a document that repeats a key in one object is malformed unless the session
+sets spark.sql.variant.allowDuplicateKeys, as Engine does, and then the last
+one counts.
 """
 
 from __future__ import annotations
@@ -51,21 +55,40 @@ def checked(x: Column | str) -> Column:
 
 
 def _at(x: Column, path: str) -> Column:
-    """JSON text at a path, through get_json_object; positions from the end by the length of the array."""
-    spelled, value = "$", x
+    """JSON text at a path without positions from the end, through get_json_object."""
+    spelled = "$" + "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in path_steps(path))
+    return x if spelled == "$" else F.get_json_object(x, spelled)
+
+
+def _from_end(path: str) -> bool:
+    return any(isinstance(s, tuple) for s in path_steps(path))
+
+
+def _variant_at(x: Column, path: str) -> Column:
+    """The variant at a path; positions from the end by the array that they stand in."""
+    value, spelled = F.parse_json(x), "$"
     for step in path_steps(path):
         if isinstance(step, tuple):
-            value = value if spelled == "$" else F.get_json_object(value, spelled)
-            items = F.from_json(value, "array<string>")
-            value, spelled = F.element_at(items, -step[0]) if step[0] else F.lit(None).cast("string"), "$"
+            items = F.try_variant_get(value, spelled, "array<variant>")
+            value, spelled = F.try_element_at(items, F.lit(-step[0])) if step[0] else F.lit(None).cast("variant"), "$"
         else:
             spelled += f"[{step}]" if isinstance(step, int) else f"['{step}']"
-    return value if spelled == "$" else F.get_json_object(value, spelled)
+    return value if spelled == "$" else F.try_variant_get(value, spelled, "variant")
 
 
-def _variant_at(x: Column, path: str) -> Column:
-    spelled = "$" + "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in path_steps(path))
-    return F.try_variant_get(F.parse_json(x), spelled, "variant")
+def _kind_of(value: Column) -> Column:
+    """null, true, false, integer, real, text, array or object of a variant."""
+    kind = F.schema_of_variant(value)
+    return (
+        F.when(value.isNull(), F.lit(None).cast("string")).when(kind == "VOID", "null").when(kind == "BOOLEAN", F.to_json(value)).when(kind == "BIGINT", "integer")
+        .when(kind.rlike(r"^DECIMAL\(\d+,0\)"), "integer").when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "real").when(kind == "STRING", "text").when(kind.startswith("ARRAY"), "array").otherwise("object")
+    )
+
+
+def _shown(value: Column) -> Column:
+    """A variant as a SQL value: text bare, true and false as 1 and 0, containers as JSON."""
+    kind, text = F.schema_of_variant(value), F.to_json(value)
+    return F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(kind == "VOID", F.lit(None).cast("string")).when(kind == "BOOLEAN", F.when(text == "true", "1").otherwise("0")).otherwise(text)
 
 
 def json_valid(x: Column | str) -> Column:
@@ -76,29 +99,23 @@ def json_valid(x: Column | str) -> Column:
 def json_array_length(x: Column | str, path: str = "$") -> Column:
     """0 for what is no array, null if there is nothing at the path."""
     x = checked(x)
-    value = x if path == "$" else _at(x, path)
+    value = F.to_json(_variant_at(x, path)) if _from_end(path) else _at(x, path)
     return F.when(value.isNotNull(), F.coalesce(F.json_array_length(value), F.lit(0)))
 
 
 def json_type(x: Column | str, path: str = "$") -> Column:
     """null, true, false, integer, real, text, array or object; null column value if nothing is there."""
-    value = F.parse_json(_col(x)) if path == "$" else _variant_at(_col(x), path)
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string")).when(kind == "VOID", "null").when(kind == "BOOLEAN", F.to_json(value)).when(kind == "BIGINT", "integer")
-        .when(kind.rlike(r"^DECIMAL\(\d+,0\)"), "integer").when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "real").when(kind == "STRING", "text").when(kind.startswith("ARRAY"), "array").otherwise("object")
-    )
+    return _kind_of(_variant_at(_col(x), path))
 
 
 def json_extract(x: Column | str, *paths: str) -> Column:
     """One path: the value as text (true and false as 1 and 0, containers as JSON); several: a JSON array."""
     x = checked(x)
     if len(paths) == 1:
-        back = any(isinstance(s, tuple) for s in path_steps(paths[0]))
-        found = _at(x, paths[0])
-        if back:
-            return found
-        kind = F.schema_of_variant(_variant_at(x, paths[0]))
+        value = _variant_at(x, paths[0])
+        if _from_end(paths[0]):
+            return _shown(value)
+        kind, found = F.schema_of_variant(value), _at(x, paths[0])
         return F.when(kind == "VOID", F.lit(None).cast("string")).when(kind == "BOOLEAN", F.when(found == "true", "1").otherwise("0")).otherwise(found)
     pieces = [F.coalesce(F.to_json(_variant_at(x, p)), F.lit("null")) for p in paths]
     return F.when(x.isNotNull(), F.concat(F.lit("["), F.concat_ws(",", *pieces), F.lit("]")))
@@ -149,9 +166,20 @@ def json_group_object_over(k: Column | str, v: Column | str, window: Window) ->
 _ABSENT = object()
 
 
+class _Number(str):
+    """A number as it is written."""
+
+
+class _Object(list):
+    """[key, value] pairs in their order, keys repeated or not; an edit takes the first of a key."""
+
+    def at(self, key: str) -> int:
+        return next((i for i, (k, _) in enumerate(self) if k == key), -1)
+
+
 def _load(text: str):
     try:
-        return json.loads(text, parse_constant=_refuse)
+        return json.loads(text, parse_constant=_refuse, parse_int=_Number, parse_float=_Number, object_pairs_hook=lambda pairs: _Object(map(list, pairs)))
     except ValueError as e:
         raise ValueError("malformed JSON") from e
 
@@ -160,8 +188,16 @@ def _refuse(word: str):
     raise ValueError(word)
 
 
+def _text(value: str) -> str:
+    return json.dumps(value, ensure_ascii=False)
+
+
 def _dump(value) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    if isinstance(value, _Object):
+        return "{" + ",".join(f"{_text(k)}:{_dump(v)}" for k, v in value) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_dump, value)) + "]"
+    return str(value) if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
 
 
 def _put(node, steps: list, value, create: bool, replace: bool):
@@ -172,13 +208,16 @@ def _put(node, steps: list, value, create: bool, replace: bool):
     if node is _ABSENT:
         if not create or isinstance(step, int) and step != 0 or isinstance(step, tuple) and step[0]:
             return _ABSENT
-        node = {} if isinstance(step, str) else []
+        node = _Object() if isinstance(step, str) else []
     if isinstance(step, str):
-        if isinstance(node, dict):
-            child = _put(node.get(step, _ABSENT), rest, value, create, replace)
-            if child is not _ABSENT:
-                node[step] = child
-    elif isinstance(node, list):
+        if isinstance(node, _Object):
+            at = node.at(step)
+            child = _put(node[at][1] if at >= 0 else _ABSENT, rest, value, create, replace)
+            if child is not _ABSENT and at >= 0:
+                node[at][1] = child
+            elif child is not _ABSENT:
+                node.append([step, child])
+    elif isinstance(node, list) and not isinstance(node, _Object):
         at = len(node) - step[0] if isinstance(step, tuple) else step
         if 0 <= at <= len(node):
             child = _put(node[at] if at < len(node) else _ABSENT, rest, value, create, replace)
@@ -187,26 +226,32 @@ def _put(node, steps: list, value, create: bool, replace: bool):
     return node
 
 
-def _drop(node, steps: list):
-    step = steps[0]
-    if isinstance(node, list) and not isinstance(step, str):
-        step = len(node) - step[0] if isinstance(step, tuple) else step
-    there = isinstance(node, dict) and isinstance(step, str) and step in node or isinstance(node, list) and isinstance(step, int) and 0 <= step < len(node)
-    if there and len(steps) == 1:
-        del node[step]
-    elif there:
-        _drop(node[step], steps[1:])
+def _drop(node, steps: list) -> None:
+    step, at = steps[0], -1
+    if isinstance(node, _Object):
+        at = node.at(step) if isinstance(step, str) else -1
+    elif isinstance(node, list) and not isinstance(step, str):
+        at = len(node) - step[0] if isinstance(step, tuple) else step
+    if isinstance(node, list) and 0 <= at < len(node):
+        if len(steps) == 1:
+            del node[at]
+        else:
+            _drop(node[at][1] if isinstance(node, _Object) else node[at], steps[1:])
 
 
 def _merge(target, patch):
-    if not isinstance(patch, dict):
+    if not isinstance(patch, _Object):
         return patch
-    target = target if isinstance(target, dict) else {}
-    for k, v in patch.items():
+    target = target if isinstance(target, _Object) else _Object()
+    for k, v in patch:
+        at = target.at(k)
         if v is None:
-            target.pop(k, None)
+            if at >= 0:
+                del target[at]
+        elif at >= 0:
+            target[at][1] = _merge(target[at][1], v)
         else:
-            target[k] = _merge(target.get(k), v)
+            target.append([k, _merge(None, v)])
     return target
 
 
@@ -220,28 +265,36 @@ def _edit(change: Callable, *columns: Column | str) -> Column:
 
 
 def json_minify(x: Column | str) -> Column:
-    """Valid JSON without white space."""
+    """Valid JSON without white space; numbers and repeated keys stay as written."""
     return _edit(_dump, x)
 
 
-def _set(x: Column | str, path: str, value: Column | str, create: bool, replace: bool) -> Column:
-    steps = path_steps(path)
-    return _edit(lambda doc, v: _dump(_put(doc, list(steps), json.loads(v), create, replace)), x, json_quote(value))
+def _set(x: Column | str, pairs: tuple, create: bool, replace: bool) -> Column:
+    if len(pairs) % 2:
+        raise ValueError("paths and values come in pairs")
+    steps = [path_steps(p) for p in pairs[::2]]
+
+    def change(doc, *values: str) -> str:
+        for path, value in zip(steps, values, strict=True):
+            doc = _put(doc, path, _load(value), create, replace)
+        return _dump(doc)
 
+    return _edit(change, x, *[json_quote(v) for v in pairs[1::2]])
 
-def json_set(x: Column | str, path: str, value: Column | str) -> Column:
-    """Puts a value at the path, whether one is there or not."""
-    return _set(x, path, value, True, True)
 
+def json_set(x: Column | str, *pairs: str | Column) -> Column:
+    """Puts values at paths (path, value, path, value, ...), one after another, whether one is there or not."""
+    return _set(x, pairs, True, True)
 
-def json_insert(x: Column | str, path: str, value: Column | str) -> Column:
-    """Puts a value only where none is."""
-    return _set(x, path, value, True, False)
 
+def json_insert(x: Column | str, *pairs: str | Column) -> Column:
+    """Puts values only where none is."""
+    return _set(x, pairs, True, False)
 
-def json_replace(x: Column | str, path: str, value: Column | str) -> Column:
-    """Puts a value only where one is."""
-    return _set(x, path, value, False, True)
+
+def json_replace(x: Column | str, *pairs: str | Column) -> Column:
+    """Puts values only where one is."""
+    return _set(x, pairs, False, True)
 
 
 def json_remove(x: Column | str, *paths: str) -> Column:
@@ -266,37 +319,58 @@ def json_patch(x: Column | str, patch: Column | str) -> Column:
 # --- rows ------------------------------------------------------------------------------------------------------------
 
 
-def json_each(df: DataFrame, x: str, prefix: str = "") -> DataFrame:
-    """`df` with a row for each child of the JSON in column `x`: key, value, type, atom, fullkey and path."""
-    cells = f"explode_outer(CASE WHEN startswith(schema_of_variant(parse_json({x})), 'OBJECT') THEN map_entries(cast(parse_json({x}) AS map<string, variant>)) END)"
-    objects = df.filter(f"startswith(schema_of_variant(parse_json({x})), 'OBJECT')").selectExpr("*", f"{cells} AS _e").selectExpr("*", "_e.key AS _k", "_e.value AS _v", "cast(NULL AS bigint) AS _i").filter("_k is not null")
-    arrays = df.filter(f"startswith(schema_of_variant(parse_json({x})), 'ARRAY')").selectExpr("*", f"posexplode(cast(parse_json({x}) AS array<variant>)) AS (_p, _v)").selectExpr("* except (_p)", "cast(NULL AS string) AS _k", "cast(_p AS bigint) AS _i")
-    scalars = df.filter(f"{x} is not null and not schema_of_variant(parse_json({x})) rlike '^(OBJECT|ARRAY)'").selectExpr("*", f"parse_json({x}) AS _v", "cast(NULL AS string) AS _k", "cast(NULL AS bigint) AS _i")
-    rows = objects.drop("_e").unionByName(arrays).unionByName(scalars)
-    text = F.to_json("_v")
-    kind = F.schema_of_variant("_v")
-    holds = kind.rlike("^(OBJECT|ARRAY)")
-    plain = F.when(kind == "STRING", F.expr("try_variant_get(_v, '$', 'string')")).when(kind == "VOID", F.lit(None)).when(kind == "BOOLEAN", F.when(text == "true", "1").otherwise("0")).otherwise(text)
-    name = (
-        F.when(kind == "VOID", "null").when(kind == "BOOLEAN", text).when(kind == "BIGINT", "integer").when(kind.rlike(r"^DECIMAL\(\d+,0\)"), "integer")
-        .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "real").when(kind == "STRING", "text").when(kind.startswith("ARRAY"), "array").otherwise("object")
-    )
-    spelled = F.when(F.col("_i").isNotNull(), F.concat(F.lit("$["), F.col("_i").cast("string"), F.lit("]"))).when(F.col("_k").rlike("^[A-Za-z][A-Za-z0-9]*$"), F.concat(F.lit("$."), "_k")).when(F.col("_k").isNotNull(), F.concat(F.lit('$."'), "_k", F.lit('"'))).otherwise("$")
-    own = {"key": F.coalesce("_k", F.col("_i").cast("string")), "value": plain, "type": name, "atom": F.when(~holds, plain), "fullkey": spelled, "path": F.lit("$")}
-    return rows.withColumns({prefix + k: v for k, v in own.items()}).drop("_k", "_i", "_v")
+def _key_text(key: Column) -> Column:
+    return F.when(key.rlike("^[A-Za-z][A-Za-z0-9]*$"), F.concat(F.lit("."), key)).otherwise(F.concat(F.lit('."'), key, F.lit('"')))
+
+
+def json_each(df: DataFrame, x: str, prefix: str = "", path: str = "$") -> DataFrame:
+    """`df` with a row for each child of the JSON in column `x` (of what lies at `path`): key, value, type, atom, fullkey and path.
+
+    A scalar is its own row with a null key; nothing at the path gives none.
+    The table is read once.
+    """
+    entry = lambda key, at, value: F.struct(key.alias("k"), at.alias("i"), value.alias("v"))
+    no_key, no_place = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    kind = F.schema_of_variant("_doc")
+    fields = F.transform(F.map_entries(F.expr("try_variant_get(_doc, '$', 'map<string,variant>')")), lambda e: entry(e["key"], no_place, e["value"]))
+    items = F.transform(F.expr("try_variant_get(_doc, '$', 'array<variant>')"), lambda v, i: entry(no_key, i.cast("bigint"), v))
+    cells = F.when(kind.startswith("OBJECT"), fields).when(kind.startswith("ARRAY"), items).when(F.col("_doc").isNotNull(), F.array(entry(no_key, no_place, F.col("_doc"))))
+    rows = df.withColumn("_doc", _variant_at(F.col(x), path)).withColumn("_e", F.explode(cells))
+    key, at, value = F.col("_e.k"), F.col("_e.i"), F.col("_e.v")
+    root = F.lit(path)
+    spelled = F.when(at.isNotNull(), F.concat(root, F.lit("["), at.cast("string"), F.lit("]"))).when(key.isNotNull(), F.concat(root, _key_text(key))).otherwise(root)
+    name = _kind_of(value)
+    own = {"key": F.coalesce(key, at.cast("string")), "value": _shown(value), "type": name, "atom": F.when(~name.isin("array", "object"), _shown(value)), "fullkey": spelled, "path": root}
+    return rows.withColumns({prefix + k: v for k, v in own.items()}).drop("_doc", "_e")
 
 
 def _kind(v) -> str:
-    return "null" if v is None else "true" if v is True else "false" if v is False else {int: "integer", float: "real", str: "text", list: "array", dict: "object"}[type(v)]
+    if isinstance(v, _Number):
+        return "integer" if v.lstrip("-").isdigit() else "real"
+    return "null" if v is None else "true" if v is True else "false" if v is False else "object" if isinstance(v, _Object) else "array" if isinstance(v, list) else "text"
+
+
+def _find(node, steps: list):
+    for step in steps:
+        if isinstance(node, _Object):
+            at = node.at(step) if isinstance(step, str) else -1
+            node = node[at][1] if at >= 0 else _ABSENT
+        elif isinstance(node, list) and not isinstance(step, str):
+            at = len(node) - step[0] if isinstance(step, tuple) else step
+            node = node[at] if 0 <= at < len(node) else _ABSENT
+        else:
+            return _ABSENT
+    return node
 
 
 class _Tree:
     """Rows of a document's nodes in the order in which they are written."""
 
-    def eval(self, text: str | None) -> Iterator[tuple]:
-        if text is None:
+    def eval(self, text: str | None, root: str | None = "$") -> Iterator[tuple]:
+        if text is None or root is None:
             return
-        stack, n = [(None, _load(text), None, "$", "$")], 0
+        top = _find(_load(text), path_steps(root))
+        stack, n = [] if top is _ABSENT else [(None, top, None, root, root)], 0
         while stack:
             key, value, parent, full, path = stack.pop()
             own, n = n, n + 1
@@ -304,16 +378,69 @@ class _Tree:
             shown = _dump(value) if kind in ("array", "object", "real", "integer") else value if kind == "text" else None if kind == "null" else str(int(value))
             yield key, shown, kind, None if kind in ("array", "object") else shown, own, parent, full, path
             if kind == "object":
-                below = [(k, v, own, f"{full}.{k}" if re.fullmatch("[A-Za-z][A-Za-z0-9]*", k) else f'{full}."{k}"', full) for k, v in value.items()]
+                below = [(k, v, own, f"{full}.{k}" if re.fullmatch("[A-Za-z][A-Za-z0-9]*", k) else f'{full}."{k}"', full) for k, v in value]
             else:
                 below = [(str(i), v, own, f"{full}[{i}]", full) for i, v in enumerate(value)] if kind == "array" else []
             stack.extend(reversed(below))
 
 
 def json_tree() -> UserDefinedTableFunction:
-    """Table function (key, value, type, atom, id, parent, fullkey, path) over all nodes, to use with LATERAL."""
+    """Table function (text[, path]) giving (key, value, type, atom, id, parent, fullkey, path) of all nodes, to use with LATERAL."""
     return F.udtf(_Tree, returnType="key string, value string, type string, atom string, id int, parent int, fullkey string, path string")
 
 
-def register_json_tree(spark: SparkSession, name: str = "json_tree") -> None:
-    spark.udtf.register(name, json_tree())
+# --- SQL -------------------------------------------------------------------------------------------------------------
+
+
+def _sql_text(value) -> str:
+    """A SQL value as JSON text."""
+    if value is None or value is pd.NA or isinstance(value, float) and value != value:
+        return "null"
+    if isinstance(value, str):
+        return _text(value)
+    return "true" if value is True else "false" if value is False else str(value)
+
+
+def _sql_edit(create: bool, replace: bool) -> Callable:
+    def run(*series: pd.Series) -> pd.Series:
+        out = []
+        for text, *pairs in zip(*series, strict=True):
+            doc = None if pd.isna(text) else _load(text)
+            for path, value in zip(pairs[::2], pairs[1::2], strict=True) if not pd.isna(text) else ():
+                doc = _put(doc, path_steps(path), _load(_sql_text(value)), create, replace)
+            out.append(None if pd.isna(text) else _dump(doc))
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+def _sql_remove(*series: pd.Series) -> pd.Series:
+    out = []
+    for text, *paths in zip(*series, strict=True):
+        doc = _ABSENT if pd.isna(text) else _load(text)
+        for path in paths:
+            steps = path_steps(path)
+            if not steps:
+                doc = _ABSENT
+            if doc is not _ABSENT:
+                _drop(doc, steps)
+        out.append(None if doc is _ABSENT else _dump(doc))
+    return pd.Series(out, dtype=object)
+
+
+def _sql_patch(text: pd.Series, patch: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(t) or pd.isna(p) else _dump(_merge(_load(t), _load(p))) for t, p in zip(text, patch, strict=True)], dtype=object)
+
+
+def _sql_minify(text: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(t) else _dump(_load(t)) for t in text], dtype=object)
+
+
+def register_json(spark: SparkSession) -> None:
+    """The edits as SQL functions json_minify, json_set, json_insert, json_replace, json_remove and json_patch, and the table function json_tree."""
+    edits = {"json_set": _sql_edit(True, True), "json_insert": _sql_edit(True, False), "json_replace": _sql_edit(False, True), "json_remove": _sql_remove}
+    for name, run in edits.items():
+        spark.udf.register(name, F.pandas_udf(run, "string", F.PandasUDFType.SCALAR))
+    spark.udf.register("json_patch", F.pandas_udf(_sql_patch, "string"))
+    spark.udf.register("json_minify", F.pandas_udf(_sql_minify, "string"))
+    spark.udtf.register("json_tree", json_tree())

@@ -84,8 +84,11 @@ def overlaps(qrid: Column | str | int, qbeg: Column | str | int, qend: Column |
     rid = F.lit(qrid) if not isinstance(qrid, Column) else qrid
     begin, end = (F.lit(x).cast("long") if not isinstance(x, Column) else x for x in (qbeg, qend))
     if ceiling - floor >= MAX_SPELLED_LEVELS:
-        # Over many levels the reach of the highest decides; the predicate stays short enough to compile.
-        return F.col(LVL).between(-ceiling, -floor) & (F.col(RID) == rid) & (F.col(BEG) <= end) & (F.col(BEG) + F.col(LEN) >= begin)
+        # Over many levels the reach of the highest decides; the predicate stays short enough to compile, and with a
+        # begin bound on both sides row groups are pruned on both.
+        inside = (F.col(RID) == rid) & (F.col(BEG) >= begin - F.lit(16**ceiling).cast("long")) & (F.col(BEG) <= end) & (F.col(BEG) + F.col(LEN) >= begin)
+        # Without a lower bound on levels the length says the same as the level, and needs no level worked out.
+        return inside & (F.col(LEN).between(0, 16**ceiling) if floor == 0 else F.col(LVL).between(-ceiling, -floor))
     found = F.lit(False)
     for level in range(floor, ceiling + 1):
         found = found | level_predicate(level, rid, begin, end)
@@ -161,7 +164,7 @@ def register_lookup(spark: SparkSession, name: str, table: str, rid_type: str =
     check_bounds(ceiling, floor)
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(qrid {rid_type}, qbeg BIGINT, qend BIGINT) RETURNS TABLE({rowid} BIGINT)
       RETURN SELECT t.{rowid} FROM {table} t WHERE t.{RID} = {name}.qrid AND t.{LVL} BETWEEN {-ceiling} AND {-floor}
-      AND t.{BEG} <= {name}.qend AND t.{BEG} + t.{LEN} >= {name}.qbeg""")
+      AND t.{BEG} >= {name}.qbeg - {16**ceiling}L AND t.{BEG} <= {name}.qend AND t.{BEG} + t.{LEN} >= {name}.qbeg""")
 
 
 def range_columns_sql(table: str, rid: str, beg: str, end: str, floor: int | None = None) -> str:

@@ -7,6 +7,10 @@ feature begins and of which the range needs three at most; every overlapping
 pair meets exactly once, so nothing is deduplicated.  A bin is part of the
 join key together with the sequence id, so one sequence that holds most rows
 is spread over many tasks.
+
+Left, semi and anti joins stage the ranges with a row id; only id, sequence
+and bounds (and what a residual reads) are dealt to bins, and the ranges meet
+the matches of their id once.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
 from .intervals import LONGEST, TOP, level_of
 
 #: Features that are broadcast at most; at three columns' width about 4 MB.
@@ -96,32 +101,31 @@ def range_join(
     right = _prepared(features, _ARGS[1], renamed).withColumn("_level", _feature_level(floor))
     right = right.filter(F.col("_f_rid").isNotNull() & F.col("_level").between(floor, ceiling))
     extra = F.lit(True) if residual is None else _column(residual)
-    sound = left.filter(F.col("_q_rid").isNotNull() & F.col("_q_beg").isNotNull() & F.col("_q_end").isNotNull())
     feature_levels, rows, per_sequence = _occupied(right, "_level", "_f_rid")
     if strategy == "broadcast" or strategy == "auto" and rows <= BROADCAST_ROWS and per_sequence <= BROADCAST_PER_SEQUENCE:
         condition = (F.col("_q_rid") == F.col("_f_rid")) & _overlap() & extra
         joined = left.join(F.broadcast(right), condition, how)
         return joined.drop(*_ARGS[0], *_ARGS[1], "_level")
-    sound = sound.withColumn("_q_level", _query_level())
-    query_levels, _, _ = _occupied(sound, "_q_level", "_q_rid")
-    kept = list(queries.columns) + (list(features.columns) if how in ("inner", "left") else [])
-    if not feature_levels or not query_levels:
-        pairs = sound.crossJoin(right).filter(F.lit(False))
-    else:
-        a, b = _binned_queries(sound, feature_levels), _binned_features(right, query_levels)
-        same = (F.col("_q_rid") == F.col("_f_rid")) & (F.col("a._level") == F.col("b._level")) & (F.col("a._width") == F.col("b._width")) & (F.col("a._bin") == F.col("b._bin"))
-        pairs = a.alias("a").join(b.alias("b"), same & _overlap() & extra)
     if how == "inner":
-        return pairs.select(*kept)
-    matched = pairs.select(*[F.col(c).alias(f"_m_{c}") for c in queries.columns]).distinct()
-    equal = F.lit(True)
-    for c in queries.columns:
-        equal = equal & F.col(c).eqNullSafe(F.col(f"_m_{c}"))
+        return _binned(left, right, feature_levels, extra).select(*queries.columns, *features.columns)
+    # The ranges keep one id, whatever is read of them later.
+    named = staged(left.withColumn("_q_id", F.monotonically_increasing_id()), "range-queries")
+    reads = [c for c in queries.columns if residual is not None]
+    pairs = _binned(named.select("_q_id", *_ARGS[0], *reads), right, feature_levels, extra)
     if how in ("left_semi", "left_anti"):
-        return queries.join(matched, equal, how)
-    lone = queries.join(matched, equal, "left_anti")
-    lone = lone.select(*queries.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in features.schema.fields])
-    return pairs.select(*kept).unionByName(lone)
+        return named.join(pairs.select("_q_id").distinct(), "_q_id", how).select(*queries.columns)
+    return named.join(pairs.select("_q_id", *features.columns), "_q_id", "left").select(*queries.columns, *features.columns)
+
+
+def _binned(queries: DataFrame, features: DataFrame, feature_levels: list[int], extra: Column) -> DataFrame:
+    """The overlapping pairs of prepared ranges and features, each once."""
+    sound = queries.filter(F.col("_q_rid").isNotNull() & F.col("_q_beg").isNotNull() & F.col("_q_end").isNotNull()).withColumn("_q_level", _query_level())
+    query_levels, _, _ = _occupied(sound, "_q_level", "_q_rid")
+    if not feature_levels or not query_levels:
+        return sound.join(features, F.col("_q_rid") == F.col("_f_rid")).filter(F.lit(False))
+    a, b = _binned_queries(sound, feature_levels), _binned_features(features, query_levels)
+    same = (F.col("_q_rid") == F.col("_f_rid")) & (F.col("a._level") == F.col("b._level")) & (F.col("a._width") == F.col("b._width")) & (F.col("a._bin") == F.col("b._bin"))
+    return a.alias("a").join(b.alias("b"), same & _overlap() & extra)
 
 
 def _rename(x: Column | str, taken: set[str], suffix: str) -> Column | str:
@@ -130,10 +134,13 @@ def _rename(x: Column | str, taken: set[str], suffix: str) -> Column | str:
 
 
 def overlap_counts(queries: DataFrame, features: DataFrame, key: Sequence[str], count: str = "n_overlaps", **args) -> DataFrame:
-    """Rows (key, count): how many features each range overlaps, 0 included."""
-    marked = features.withColumn("_hit", F.lit(1))
-    joined = range_join(queries, marked, how="left", **args)
-    return joined.groupBy(*key).agg(F.count("_hit").cast("long").alias(count))
+    """Rows (key, count): how many features each range overlaps, 0 included.
+
+    Only the overlaps themselves are joined; ranges without one come back in
+    the sum, so no range is shuffled but by its key.
+    """
+    pairs = range_join(queries, features.withColumn("_hit", F.lit(1)), how="inner", **args).select(*key, F.lit(1).alias("_hit"))
+    return queries.select(*key, F.lit(0).alias("_hit")).unionByName(pairs).groupBy(*key).agg(F.sum("_hit").cast("long").alias(count))
 
 
 def overlap_histogram(queries: DataFrame, features: DataFrame, key: Sequence[str], **args) -> DataFrame:

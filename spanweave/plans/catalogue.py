@@ -7,6 +7,7 @@ from events, and a few windows from nation.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +17,11 @@ from ..functions import json_docs, natural_order, nucleotides, range_text
 from ..operators import intervals as iv
 from ..operators import overlap_join as oj
 from ..operators import refseq
+from ..sources.bed import read_bed
+from ..sources.sam import read_sam
+from ..sources.vcf import read_vcf, read_vcf_lines
+from . import layout
+from .staging import shared_dir
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -290,6 +296,99 @@ def range_lateral_tvf(spark, sf_dir):
     )
 
 
+@_query("SELECT p.rid, count(*) AS n, CAST(sum(l.o_orderkey) AS BIGINT) AS keys FROM points p JOIN thin l ON p.rid = l.rid AND l.beg <= p.stop AND l.stop >= p.beg GROUP BY p.rid", "points", "thin")
+def range_join_auto(spark, sf_dir):
+    """The way that the sizes call for, as users get it."""
+    pairs = oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "thin"), **_RANGE_ARGS)
+    return pairs.groupBy("rid").agg(_count(), F.sum("o_orderkey").alias("keys"))
+
+
+@_query("SELECT o_orderkey, beg, stop FROM long WHERE rid = 5 AND beg <= 600000 AND stop >= 500000", "long")
+def gri_indexed_layout(spark, sf_dir):
+    """A lookup on a table laid out by level and begin, pruned by partition and row group."""
+    path = f"{shared_dir(spark)}/indexed-{uuid.uuid4().hex}"
+    layout.write_indexed(_indexed(spark, sf_dir, "long"), path)
+    return iv.lookup(layout.read_indexed(spark, path), 5, 500_000, 600_000).select("o_orderkey", "beg", "stop")
+
+
+# --- text sources ----------------------------------------------------------------------------------------------------
+
+
+def _text(spark: SparkSession, header: list[str], lines: DataFrame) -> str:
+    """A folder of text files, the header at the head of the first."""
+    path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    first = spark.createDataFrame([(line,) for line in header], "value string").coalesce(1)
+    (first.union(lines) if header else lines).write.text(path)
+    return path
+
+
+_VCF_HEADER = [
+    "##fileformat=VCFv4.2", *[f"##contig=<ID=c{i},length=100000000>" for i in range(24)], '##INFO=<ID=DP,Number=1,Type=Integer,Description="depth">', '##INFO=<ID=AF,Number=A,Type=Float,Description="share">',
+    '##INFO=<ID=DB,Number=0,Type=Flag,Description="known">', '##FORMAT=<ID=GT,Number=1,Type=String,Description="genotype">', '##FORMAT=<ID=AD,Number=R,Type=Integer,Description="depths">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2",
+]
+
+
+def _vcf(spark: SparkSession, sf_dir: str) -> str:
+    k = "CAST(o_orderkey AS STRING)"
+    fields = (
+        "concat('c', o_custkey % 24)", "CAST(o_orderkey * 100 + 1 AS STRING)", f"concat('rs', {k}, if(o_custkey % 2 = 0, concat(';x', {k}), ''))", "repeat('A', CAST(1 + o_custkey % 5 AS INT))", "if(o_custkey % 3 = 0, '.', 'C,GG')",
+        "if(o_custkey % 4 = 0, '.', CAST(o_custkey AS STRING))", "if(o_custkey % 3 = 0, '.', 'PASS')", "concat('DP=', o_custkey, if(o_custkey % 2 = 0, ';AF=0.5,.;DB', ''), if(o_custkey % 5 = 0, concat(';END=', o_orderkey * 100 + 50), ''))",
+        "'GT:AD'", "concat(o_custkey % 2, '/', o_custkey % 3, ':', o_custkey, ',.')", "if(o_custkey % 2 = 0, './.:.', '1|0')",
+    )
+    return _text(spark, _VCF_HEADER, _table(spark, sf_dir, "orders").select(F.expr(f"concat_ws('\t', {', '.join(fields)})").alias("value")))
+
+
+@_query("""SELECT CAST(o_custkey % 24 AS BIGINT) AS rid, o_orderkey * 100 AS pos, CASE WHEN o_custkey % 5 = 0 THEN 50 ELSE 1 + o_custkey % 5 END AS rlen, '["rs' || o_orderkey || '"' || CASE WHEN o_custkey % 2 = 0 THEN ',"x' || o_orderkey || '"' ELSE '' END || ']' AS ids,
+  CASE WHEN o_custkey % 3 = 0 THEN '[]' ELSE '["C","GG"]' END AS alt, CASE WHEN o_custkey % 4 <> 0 THEN CAST(o_custkey AS BIGINT) END AS qual, CASE WHEN o_custkey % 3 <> 0 THEN '["PASS"]' END AS filter, CAST(o_custkey AS BIGINT) AS dp, CASE WHEN o_custkey % 2 = 0 THEN '[0.5,null]' END AS af, CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 0 END AS db,
+  row_number() OVER (ORDER BY o_custkey % 24, o_orderkey) AS variant_rowid FROM orders""")
+def vcf_variants(spark, sf_dir):
+    variants = read_vcf(spark, _vcf(spark, sf_dir)).variants
+    return variants.select("rid", F.col("POS").alias("pos"), F.col("rlen").cast("long"), F.col("ID_jsarray").alias("ids"), F.col("ALT_jsarray").alias("alt"), F.col("QUAL").cast("long").alias("qual"), F.col("FILTER_jsarray").alias("filter"), F.col("DP").alias("dp"), F.col("AF_jsarray").alias("af"), F.coalesce("DB", F.lit(0)).alias("db"), "variant_rowid")
+
+
+@_query("""SELECT CAST(o_custkey % 24 AS BIGINT) AS rid, o_orderkey * 100 AS pos, s.sample_name, CASE WHEN s.sample_name = 's1' THEN o_custkey % 2 WHEN o_custkey % 2 = 1 THEN 1 END::BIGINT AS gt1, CASE WHEN s.sample_name = 's1' THEN o_custkey % 3 WHEN o_custkey % 2 = 1 THEN 0 END::BIGINT AS gt2,
+  CASE WHEN s.sample_name = 's1' THEN 2 WHEN o_custkey % 2 = 1 THEN -2 ELSE 0 END::BIGINT AS ploidy, CASE WHEN s.sample_name = 's1' THEN '[' || o_custkey || ',null]' END AS depths FROM orders, (SELECT unnest(['s1', 's2']) AS sample_name) s""")
+def vcf_genotypes(spark, sf_dir):
+    vcf = read_vcf(spark, _vcf(spark, sf_dir))
+    calls = vcf.genotypes.join(vcf.variants.select("variant_rowid", "rid", F.col("POS").alias("pos")), "variant_rowid").join(F.broadcast(vcf.samples), "sample_id")  # two samples
+    return calls.select("rid", "pos", "sample_name", F.col("GT1").alias("gt1"), F.col("GT2").alias("gt2"), F.col("GT_ploidy").alias("ploidy"), F.col("AD_jsarray").alias("depths"))
+
+
+@_query("SELECT 'c' || o_custkey % 24 AS chrom, o_orderkey * 100 AS pos, CAST(CASE WHEN o_custkey % 5 = 0 THEN 50 ELSE 1 + o_custkey % 5 END AS BIGINT) AS rlen FROM orders UNION ALL SELECT NULL, NULL, NULL")
+def vcf_lines(spark, sf_dir):
+    rows = read_vcf_lines(spark, _vcf(spark, sf_dir))
+    return rows.select(F.col("CHROM").alias("chrom"), F.col("POS").alias("pos"), F.col("rlen").cast("long"))
+
+
+_SAM_HEADER = [*[f"@SQ\tSN:c{i}\tLN:100000000" for i in range(24)], "@RG\tID:g0\tSM:a", "@RG\tID:g1\tSM:b"]
+
+
+@_query("""SELECT 'r' || o_orderkey AS qname, CAST(o_custkey % 3 AS BIGINT) AS flag, CAST(o_custkey % 24 AS BIGINT) AS rid, o_orderkey * 10 AS pos, o_orderkey * 10 + 5 + o_custkey % 7 + 3 AS endpos, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey % 24 AS BIGINT) END AS rnext,
+  CAST(o_custkey % 2 AS BIGINT) AS rg_id, 'ACGT' AS seq, '{"NM":' || o_custkey || ',"XT":"a:b"}' AS tags FROM orders""")
+def sam_reads(spark, sf_dir):
+    fields = ("concat('r', o_orderkey)", "CAST(o_custkey % 3 AS STRING)", "concat('c', o_custkey % 24)", "CAST(o_orderkey * 10 + 1 AS STRING)", "'60'", "concat('5M', 2 * 1, 'I', o_custkey % 7 + 0, 'D3M')", "if(o_custkey % 2 = 0, '=', '*')", "'0'", "'0'", "'ACGT'", "'*'", "concat('NM:i:', o_custkey)", "concat('RG:Z:g', o_custkey % 2)", "'XT:Z:a:b'")
+    sam = read_sam(spark, _text(spark, _SAM_HEADER, _table(spark, sf_dir, "orders").select(F.expr(f"concat_ws('\t', {', '.join(fields)})").alias("value"))))
+    rows = sam.reads.join(sam.seqs, "rowid").join(sam.tags, "rowid")
+    return rows.select("qname", "flag", "rid", "pos", "endpos", "rnext", "rg_id", "seq", F.col("tags_json").alias("tags"))
+
+
+@_query("SELECT 'c' || o_custkey % 24 AS chrom, count(*) AS n, CAST(sum(o_orderkey * 10) AS BIGINT) AS begins FROM orders GROUP BY 1")
+def bed_features(spark, sf_dir):
+    lines = _table(spark, sf_dir, "orders").select(F.expr("concat_ws('\t', concat('c', o_custkey % 24), o_orderkey * 10 + 1, o_orderkey * 10 + 9, 'x', '0', '+')").alias("value"))
+    rows = read_bed(spark, _text(spark, [], lines), one_based=True)
+    return rows.groupBy("chrom").agg(_count(), F.sum("beg").alias("begins"))
+
+
+@_query("""SELECT event_id, CAST(event_id % 3 AS VARCHAR) AS last, CASE event_id % 4 WHEN 0 THEN 'integer' WHEN 1 THEN 'text' WHEN 2 THEN 'null' ELSE 'true' END AS kind,
+  '[' || json_extract_string(props, '$.k') || ',' || event_id % 3 || ']' AS pair, CASE event_id % 4 WHEN 0 THEN '1' WHEN 1 THEN 't' WHEN 3 THEN '1' END AS shown FROM events""")
+def json_paths_mixed(spark, sf_dir):
+    """Paths from the end, several paths and mixed types over documents made of every event."""
+    last = "CASE event_id % 4 WHEN 0 THEN '1' WHEN 1 THEN '\"t\"' WHEN 2 THEN 'null' ELSE 'true' END"
+    doc = F.expr(f"concat('{{\"p\":', props, ',\"a\":[[9,', event_id % 3, '],', {last}, ']}}')")
+    events = _table(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
+    return events.select("event_id", json_docs.json_extract("doc", "$.a[#-2][#-1]").alias("last"), json_docs.json_type("doc", "$.a[#-1]").alias("kind"), json_docs.json_extract("doc", "$.p.k", "$.a[0][#-1]").alias("pair"), json_docs.json_extract("doc", "$.a[#-1]").alias("shown"))
+
+
 # --- reference sequences ---------------------------------------------------------------------------------------------
 
 

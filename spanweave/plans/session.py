@@ -45,6 +45,7 @@ class EngineConfig:
             "spark.sql.adaptive.enabled": str(self.adaptive).lower(), "spark.sql.adaptive.skewJoin.enabled": str(self.skew_join).lower(),
             "spark.sql.files.maxPartitionBytes": f"{self.max_partition_mb}m", "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{self.advisory_partition_mb}m",
             "spark.sql.autoBroadcastJoinThreshold": f"{self.broadcast_mb}m", "spark.sql.session.timeZone": self.time_zone, "spark.sql.parquet.compression.codec": "zstd",
+            "spark.sql.variant.allowDuplicateKeys": "true",
         }
         return found | ({"spark.sql.shuffle.partitions": str(self.shuffle_partitions)} if self.shuffle_partitions > 0 else {})
 
@@ -59,6 +60,8 @@ class Engine:
         self.config = config if isinstance(config, EngineConfig) else EngineConfig().merged(config)
         for k, v in self.config.settings().items():
             spark.conf.set(k, v)
+        # Read by the Parquet writer's codec.
+        spark._jsc.hadoopConfiguration().set("parquet.compression.codec.zstd.level", str(self.config.zstd_level))
         register_functions(spark)
 
     def attach(self, folder: str, schema: str) -> list[str]:
@@ -97,8 +100,8 @@ _RANGE = r"""(SELECT CASE WHEN s IS NULL THEN NULL WHEN b BETWEEN 1 AND e AND e
 
 
 def register_functions(spark: SparkSession) -> None:
-    """SQL functions of the scalar helpers, and the table function json_tree."""
+    """SQL functions of the scalar helpers and of JSON edits, and the table function json_tree."""
     pattern = r"^([^:\\-\\s]+):([0-9,]+)-([0-9,]+)\\z"
     for signature, body in _SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body.replace('{part}', _RANGE.replace('{p}', pattern))}")
-    json_docs.register_json_tree(spark)
+    json_docs.register_json(spark)
