@@ -1,49 +1,13 @@
-"""Where the operators keep intermediate tables, and how inputs are read.
-
-Intermediate results go to the folder that the cluster names in
-``spark.checkpoint.dir``: it is shared by all executors, so a lost executor
-costs no recomputation beyond the current stage.  Only where a session names
-none and its master is local (tests, a laptop) a local folder is made up.
-"""
+"""How the operators read their inputs, and small helpers; intermediate tables are those of plans.staging."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import discard, shared_dir, staged
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set to a new local one only if unset, and only on a local master."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanweave-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back: cuts lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    rows = spark.read.schema(df.schema).parquet(path)
-    rows._staged_at = path
-    return rows
-
-
-def discard(rows: DataFrame) -> None:
-    """Deletes the table behind what staged() returned, once everything made from it is written."""
-    spark = rows.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(rows._staged_at)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+__all__ = ["crc_mod", "discard", "hash_sample", "shared_dir", "staged", "table", "tokenizer_path"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

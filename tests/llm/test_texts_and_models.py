@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanweave.llm import html_density, nn_descent, quality_gbt, token_counts, toxicity_cnn, unigram, wordhash
-from spanweave.llm.storage import crc_mod, hash_sample, table, tokenizer_path
+from spanweave.llm.storage import crc_mod, hash_sample, staged, table, tokenizer_path
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -207,7 +207,10 @@ def test_toxic_words_are_found_in_long_texts():
     assert len(toxicity_cnn.Scorer(model).raw(empty)) == 2
 
 
-def test_neighbours_recall(spark):
+@pytest.mark.parametrize("block,part", [(512, 4096), (48, 200)])
+def test_neighbours_recall(spark, monkeypatch, block, part):
+    monkeypatch.setattr(nn_descent, "BLOCK", block)
+    monkeypatch.setattr(nn_descent, "PART", part)
     vectors = table(spark, "/root/testdata/sf0.1", "embeddings")
     got = nn_descent.nearest(vectors).toPandas()
     x = vectors.toPandas().sort_values("vec_id")
@@ -229,10 +232,68 @@ def test_neighbours_edge_cases(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (40, [1.0, None]), (9, [])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, embedding array<float>, rank string")
     got = [tuple(r) for r in nn_descent.nearest(df).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 20, 0.0), (20, 1, 1, 0.5), (20, 2, 2, 0.5), (20, 3, 0, 0.0)]
+    assert got[:4] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 20, 0.0), (0, 4, 20, 0.0)]
+    # Two rows of one id and vector: each is the other's nearest.
+    assert got[4:] == sorted([(20, 1, 20, 1.0), (20, 2, 1, 0.5), (20, 3, 2, 0.5), (20, 4, 0, 0.0)] * 2)
     assert nn_descent.nearest(df.filter("false")).count() == 0
 
 
+def test_neighbours_on_thin_partitions_and_equal_vectors(spark):
+    """More partitions than vectors, adaptive execution off, doubles of all magnitudes, a vector that most rows share."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 6)) * 10.0 ** rng.integers(-60, 60, size=(40, 1))
+    x[10:35] = x[10]
+    df = spark.createDataFrame([(20 * i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(40)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = nn_descent.nearest(df).toPandas()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for i in range(40):
+        score = (x * x[i]).sum(axis=1)
+        order = [j for j in np.lexsort((np.arange(40), -score)) if j != i][:20]
+        mine = got[got.query_id == 20 * i].sort_values("rank")
+        assert mine.vec_id.tolist() == [20 * j for j in order] and np.allclose(mine.score, score[order], rtol=1e-12, atol=0)
+
+
+def auc(y, score):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(y))
+    rank[order] = np.arange(1, len(y) + 1)
+    return (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    scores = staged(toxicity_cnn.toxicity_scores(docs, labels), "t")
+    assert scores.count() == docs.count()
+    assert scores.filter((F.col("predicted") == 1) != (F.col("score") >= 0.3)).isEmpty() and scores.filter(F.col("flagged") != (F.col("score") >= F.col("lang_threshold"))).isEmpty()
+    held = scores.filter("held_out").join(labels.select("doc_id", "toxic").dropna(), "doc_id").toPandas()
+    assert auc(held.toxic.to_numpy(), held.score.to_numpy()) >= 0.9
+    caught, named = held[held.toxic == 1].predicted.mean(), held[held.predicted == 1].toxic.mean()
+    assert caught >= 0.7 and named >= 0.7
+    by_lang = scores.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.countDistinct("lang_threshold").alias("n")).collect()
+    assert all(r.n == 1 for r in by_lang)
+
+
+def test_toxicity_looks_at_texts_alone(spark):
+    """Held-out labels, ids, languages and sources change no score; equal texts score alike; whole long texts count."""
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    long = spark.createDataFrame([(10**9 + i, t, None, None, None) for i, t in enumerate(["", None, "word " * 300_000, "word " * 300_000])], docs.schema)
+    more = docs.unionByName(docs.withColumns({"doc_id": F.col("doc_id") + 10**6, "lang": F.lit("zz"), "source": F.lit(None).cast("string")})).unionByName(long)
+    flipped = labels.withColumn("toxic", F.when(crc_mod(F.col("doc_id"), 4) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one = {r.doc_id: r.score for r in toxicity_cnn.toxicity_scores(more, labels).collect()}
+    two = {r.doc_id: r.score for r in toxicity_cnn.toxicity_scores(more, flipped).collect()}
+    assert one == two and len(one) == more.count()
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    assert max(abs(one[i] - one[i + 10**6]) for i in ids) < 1e-6
+    assert one[10**9] == one[10**9 + 1] and abs(one[10**9 + 2] - one[10**9 + 3]) < 1e-6
+
+
 def test_hash_sample_is_bounded(spark):
     rows = spark.range(20_000)
     assert 800 <= hash_sample(rows, "id", 1000).count() <= 1000 and hash_sample(rows, "id", 20_000).count() == 20_000
