@@ -156,15 +156,26 @@ def rowids_sql(table: str, qrid: str = ":qrid", qbeg: str = ":qbeg", qend: str =
 
 
 def register_lookup(spark: SparkSession, name: str, table: str, rid_type: str = "STRING", ceiling: int = TOP, floor: int = 0, rowid: str = "_rowid_") -> None:
-    """A SQL table function `name`(rid, beg, end) of the overlapping row ids of an indexed view or table."""
+    """A SQL table function `name`(rid, beg, end[, ceiling[, floor]]) of the overlapping row ids of an indexed view or table.
+
+    `ceiling` and `floor` are what a call without them gets.
+    """
     missing = set(GRI_COLUMNS) | {rowid}
     missing -= set(spark.table(table).columns)
     if missing:
         raise ValueError(f"{table} lacks {', '.join(sorted(missing))}: add them with with_range_columns()")
     check_bounds(ceiling, floor)
-    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(qrid {rid_type}, qbeg BIGINT, qend BIGINT) RETURNS TABLE({rowid} BIGINT)
-      RETURN SELECT t.{rowid} FROM {table} t WHERE t.{RID} = {name}.qrid AND t.{LVL} BETWEEN {-ceiling} AND {-floor}
-      AND t.{BEG} >= {name}.qbeg - {16**ceiling}L AND t.{BEG} <= {name}.qend AND t.{BEG} + t.{LEN} >= {name}.qbeg""")
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(qrid {rid_type}, qbeg BIGINT, qend BIGINT, ceiling INT DEFAULT {ceiling}, floor INT DEFAULT {floor}) RETURNS TABLE({rowid} BIGINT)
+      RETURN SELECT t.{rowid} FROM {table} t
+      WHERE t.{LVL} >= -CASE WHEN {name}.floor BETWEEN 0 AND {name}.ceiling AND {name}.ceiling <= {TOP} THEN {name}.ceiling ELSE CAST(raise_error('levels must satisfy 0 <= floor <= ceiling <= {TOP}') AS INT) END
+      AND t.{LVL} <= -{name}.floor AND t.{RID} = {name}.qrid
+      AND t.{BEG} >= {name}.qbeg - shiftleft(1L, 4 * {name}.ceiling) AND t.{BEG} <= {name}.qend AND t.{BEG} + t.{LEN} >= {name}.qbeg""")
+
+
+def register_levels(spark: SparkSession, name: str, table: str) -> None:
+    """A SQL table function `name`() of one row: the highest and the lowest level in use."""
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}() RETURNS TABLE(_gri_ceiling INT, _gri_floor INT)
+      RETURN SELECT coalesce(max(-{LVL}), {TOP}), coalesce(min(-{LVL}), 0) FROM {table} WHERE {RID} IS NOT NULL AND {LVL} IS NOT NULL""")
 
 
 def range_columns_sql(table: str, rid: str, beg: str, end: str, floor: int | None = None) -> str:

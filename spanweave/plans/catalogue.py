@@ -533,7 +533,8 @@ def twobit_passthrough(spark, sf_dir):
 @_query("SELECT 'chr' || n_nationkey AS name, CAST(row_number() OVER (ORDER BY n_nationkey) AS INTEGER) AS place FROM nation")
 def uint_sort_rank(spark, sf_dir):
     names = _table(spark, sf_dir, "nation").select(F.concat(F.lit("chr"), "n_nationkey").alias("name"))
-    return names.select("name", F.row_number().over(Window.orderBy(natural_order.natural_key("name"))).alias("place"))
+    ranked = layout.with_rowids(names.withColumn("key", natural_order.natural_key("name")), "key", name="place")
+    return ranked.select("name", F.col("place").cast("int"))
 
 
 # --- JSON documents --------------------------------------------------------------------------------------------------

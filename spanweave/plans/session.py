@@ -78,12 +78,13 @@ class Engine:
         return sorted(found)
 
     def index(self, view: str, rid: str, beg: str, end: str, floor: int | None = None) -> DataFrame:
-        """Adds range columns to a view and a table function `view`_rowids over it."""
+        """Adds range columns to a view, and the table functions `view`_rowids and `view`_levels over it."""
         indexed = intervals.with_range_columns(self.spark.table(view), rid, beg, end, floor)
         indexed.createOrReplaceTempView(view)
         if "_rowid_" in indexed.columns:
             kind = dict(indexed.dtypes)[intervals.RID]
             intervals.register_lookup(self.spark, f"{view}_rowids", view, kind)
+        intervals.register_levels(self.spark, f"{view}_levels", view)
         return indexed
 
 
@@ -99,6 +100,34 @@ _RANGE = r"""(SELECT CASE WHEN s IS NULL THEN NULL WHEN b BETWEEN 1 AND e AND e
   FROM (SELECT regexp_extract(s, '{p}', 1) AS n, try_cast(concat('0', replace(regexp_extract(s, '{p}', 2), ',', '')) AS DECIMAL(38, 0)) AS b, try_cast(concat('0', replace(regexp_extract(s, '{p}', 3), ',', '')) AS DECIMAL(38, 0)) AS e))"""
 
 
+_TWOBIT = "STRUCT<bits: BINARY, txt: STRING>"
+_PAIRS = "CAST(conv(hex(substring(x.bits, 1, 1)), 16, 10) AS INT)"
+_LENGTH = f"CASE WHEN x.bits IS NULL THEN octet_length(x.txt) WHEN octet_length(x.bits) < 2 THEN octet_length(x.bits) ELSE 4 * (octet_length(x.bits) - 1) - ({_PAIRS} & 3) END"
+_CODES = "translate(upper(s), 'TUCAG', '00123')"
+_CODED = f"""CASE WHEN s IS NULL THEN NULL WHEN s RLIKE '[^\\\\x01-\\\\x7F]' THEN CAST(raise_error("nucleotides_twobit(): text isn't ASCII") AS {_TWOBIT})
+  WHEN s = '' OR s RLIKE '[^ACGTUacgtu]' THEN named_struct('bits', CAST(NULL AS BINARY), 'txt', s)
+  ELSE named_struct('bits', unhex(CASE WHEN length(s) = 1 THEN lpad({_CODES}, 2, '0') ELSE concat(lpad(hex(pmod(4 - length(s) % 4, 4)), 2, '0'),
+    array_join(transform(regexp_extract_all({_CODES}, '.{{1,32}}', 0), c -> lpad(conv(rpad(c, CAST(ceil(length(c) / 4) * 4 AS INT), '0'), 4, 16), CAST(ceil(length(c) / 4) * 2 AS INT), '0')), '')) END), 'txt', CAST(NULL AS STRING)) END"""
+
+
+def _decoding(letters: str) -> str:
+    """Text of a two-bit value x, or the part of it that starts at y and has z places."""
+    whole = f"""CASE WHEN x.bits IS NULL THEN x.txt WHEN octet_length(x.bits) < 2 THEN translate(conv(hex(x.bits), 16, 10), '0123', '{letters}')
+      ELSE substr(array_join(transform(regexp_extract_all(substr(hex(x.bits), 3), '.{{1,16}}', 0), c -> translate(lpad(conv(c, 16, 4), 2 * length(c), '0'), '0123', '{letters}')), ''), 1, {_LENGTH}) END"""
+    places = "SELECT t, n, y, z, CASE WHEN y > 0 THEN y - 1 WHEN y < 0 THEN greatest(0, y + n) ELSE 0 END AS o, CASE WHEN y = 0 THEN 1 WHEN y < 0 AND -y > n THEN -y - n ELSE 0 END AS lost"
+    return f"""(SELECT CASE WHEN y IS NULL THEN t WHEN z IS NULL THEN substr(t, CAST(o + 1 AS INT)) WHEN z < 0 THEN substr(t, CAST(o - least(o, -z) + 1 AS INT), CAST(least(o, -z, n) AS INT)) ELSE substr(t, CAST(o + 1 AS INT), CAST(greatest(0, z - lost) AS INT)) END
+      FROM ({places} FROM (SELECT {whole} AS t, CAST({_LENGTH} AS BIGINT) AS n, y, z)))"""
+
+
+_SQL_FUNCTIONS |= {
+    f"nucleotides_twobit(s STRING) RETURNS {_TWOBIT}": _CODED,
+    f"twobit_length(x {_TWOBIT}) RETURNS INT": _LENGTH,
+    f"twobit_dna(x {_TWOBIT}, y BIGINT DEFAULT NULL, z BIGINT DEFAULT NULL) RETURNS STRING": _decoding("TCAG"),
+    f"twobit_rna(x {_TWOBIT}, y BIGINT DEFAULT NULL, z BIGINT DEFAULT NULL) RETURNS STRING": _decoding("UCAG"),
+    "engine_version() RETURNS STRING": f"'{__version__}'",
+}
+
+
 def register_functions(spark: SparkSession) -> None:
     """SQL functions of the scalar helpers and of JSON edits, and the table function json_tree."""
     pattern = r"^([^:\\-\\s]+):([0-9,]+)-([0-9,]+)\\z"

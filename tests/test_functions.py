@@ -159,3 +159,23 @@ def test_engine(spark, tmp_path):
     assert spark.sql("""SELECT json_set('{"a":1}', '$.a', 2, '$.b', 'x') AS s, json_remove('[1,2]', '$[#-1]') AS r, json_patch('{"a":1.0}', '{"b":[ ]}') AS p, json_minify('[1 ]') AS m""").first() == ('{"a":2,"b":"x"}', "[1]", '{"a":1.0,"b":[]}', "[1]")
     got = spark.sql("SELECT dna_revcomp('GATC') AS a, parse_genomic_range_begin('chr1:2,345-06,789') AS b, natural_key('chr2') < natural_key('chr10') AS c").first()
     assert tuple(got) == ("GATC", 2344, True)
+    assert spark.sql("SELECT count(*) FROM db2_f_rowids('a', 9, 12, 0)").first()[0] == 0 and tuple(spark.sql("SELECT * FROM db2_f_levels()").first()) == (1, 1)
+    with pytest.raises(Exception, match="levels must satisfy"):
+        spark.sql("SELECT * FROM db2_f_rowids('a', 9, 12, 1, 2)").collect()
+    assert spark.sql("SELECT engine_version()").first()[0] == Engine.version
+    # A join of ranges across two attached schemas.
+    spark.createDataFrame([(7, "a", 8, 8), (8, "b", 8, 8)], "id bigint, rid string, beg bigint, end bigint").write.parquet(str(tmp_path / "other" / "q.parquet"))
+    engine.attach(str(tmp_path / "other"), "db3")
+    assert [tuple(r) for r in spark.sql("SELECT q.id, t._rowid_ FROM db3_q q LEFT JOIN LATERAL db2_f_rowids(q.rid, q.beg, q.end) t ORDER BY 1").collect()] == [(7, 1), (8, None)]
+
+
+def test_twobit_in_sql(spark):
+    Engine(spark)
+    rng, db = random.Random(3), sqlite3.connect(":memory:")
+    rows = [("".join(rng.choice("ACGTUacgtu") for _ in range(n)), rng.randint(-9, 9), rng.randint(-9, 9)) for n in [*range(1, 40), 63, 64, 65, 400] * 3] + [("no dna", 2, 3), ("", 1, 1), (None, 1, 1)]
+    spark.createDataFrame(rows, "s string, y bigint, z bigint").selectExpr("*", "nucleotides_twobit(s) AS x").createOrReplaceTempView("twobit_rows")
+    for r in spark.sql("SELECT s, y, z, twobit_dna(x) AS dna, twobit_rna(x, y) AS tail, twobit_dna(x, y, z) AS part, twobit_length(x) AS n, x.bits IS NULL AS kept FROM twobit_rows").collect():
+        dna = r.s if r.kept else r.s.upper().replace("U", "T")
+        rna = r.s if r.kept else dna.replace("T", "U")
+        assert (r.dna, r.n) == (dna, None if dna is None else len(dna))
+        assert r.part == db.execute("SELECT substr(?,?,?)", (dna, r.y, r.z)).fetchone()[0] and r.tail == db.execute("SELECT substr(?,?)", (rna, r.y)).fetchone()[0]
