@@ -5,8 +5,8 @@ are ordered topologically by the calls they need, in rounds of joins that
 halve the open chains: `level` is the length of the longest chain below a
 call, and (level, call_turn, call_id) orders a
 conversation so that no call comes before one that it needs.  Arguments are
-checked against the tool's parameters, and each exchange is written as
-canonical JSON: no white space, keys in order.  SQL functions only.
+checked against the tool's JSON schema (nested objects, items of arrays, enums),
+and each exchange is written as canonical JSON: no white space, keys in order.  SQL functions only.
 
 Rounds grow with the logarithm of the longest chain, and with the depth of
 calls that need several open ones; a round joins only the calls that are
@@ -28,13 +28,15 @@ tables give an empty result.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import staged
 
-#: The parameters of the tools of the conversations table: tool -> parameter -> (type, required).
-REPLY_TOOL = {"reply": {"n_chars": ("integer", True), "style": ("string", False), "text": ("string", True)}}
+#: The parameters of the tools of the conversations table, as JSON schemas.
+REPLY_TOOL = {"reply": {"properties": {"n_chars": {"type": "integer"}, "style": {"type": "string"}, "text": {"type": "string"}}, "required": ["n_chars", "text"]}}
 
 
 def calls_of_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,25 +78,53 @@ def _kind(value: Column) -> Column:
     )
 
 
-def argument_errors(name: Column, arguments: Column, tools: dict[str, dict[str, tuple[str, bool]]]) -> tuple[Column, Column]:
-    """The kinds of a JSON text of arguments by name, and what is wrong with them, read off a column `_kinds` of those."""
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _some(fault: Column) -> Column:
+    """An array of the fault, or of nothing where it is null."""
+    return F.when(fault.isNull(), _none()).otherwise(F.array(fault))
+
+
+def _faults(value: Column, schema: dict, label: Column | None) -> Column:
+    """What is wrong with a variant that is there, an array of texts: type, enum, properties, required, additionalProperties and items."""
+    kind, wanted = _kind(value), schema.get("type")
+    name = label if label is not None else F.lit("arguments")
+    checks = []
+    if "enum" in schema:
+        allowed = [json.dumps(e, ensure_ascii=False, separators=(",", ":"), sort_keys=True) for e in schema["enum"]]
+        checks.append(_some(F.when(~F.to_json(value).isin(allowed), F.concat(name, F.lit(" is none of its values")))))
+    if "properties" in schema:
+        below = schema["properties"]
+        for p, own in sorted(below.items()):
+            at = F.try_variant_get(value, f"$['{p}']", "variant")
+            inner = F.lit(p) if label is None else F.concat(label, F.lit(f".{p}"))
+            missing = _some(F.concat(F.lit("missing "), inner)) if p in schema.get("required", ()) else _none()
+            checks.append(F.when(at.isNull() | (_kind(at) == "null"), missing).otherwise(_faults(at, own, inner)))
+        if not schema.get("additionalProperties", False):
+            keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+            more = F.array_sort(F.array_except(F.coalesce(keys, _none()), F.array(*[F.lit(p) for p in below]).cast("array<string>")))
+            checks.append(F.transform(more, lambda k: F.concat(F.lit("unknown "), k if label is None else F.concat(label, F.lit("."), k))))
+    if "items" in schema:
+        items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+        each = F.transform(items, lambda v, i: _faults(v, schema["items"], F.concat(name, F.lit("["), i.cast("string"), F.lit("]"))))
+        checks.append(F.flatten(each))
+    found = F.concat(*checks) if checks else _none()
+    if wanted is None:
+        return found
+    accepted = kind.isin("integer", "number") if wanted == "number" else kind == wanted
+    return F.when(~accepted, F.array(F.concat(name, F.lit(f" is not {wanted}")))).otherwise(found)
+
+
+def argument_errors(name: Column, arguments: Column, tools: dict[str, dict]) -> Column:
+    """What is wrong with a JSON text of arguments, by the JSON schema of the tool of that name."""
     value = F.try_parse_json(arguments)
     is_object = F.schema_of_variant(value).startswith("OBJECT")
-    kinds = F.map_from_entries(F.transform(F.map_entries(F.when(is_object, value).cast("map<string,variant>")), lambda e: F.struct(e["key"].alias("k"), _kind(e["value"]).alias("v"))))
-    found = F.lit(None).cast("array<string>")
-    for tool, parameters in tools.items():
-        checks = []
-        for p, (kind, required) in sorted(parameters.items()):
-            own = F.element_at("_kinds", p)
-            accepted = own.isin("integer", "number") if kind == "number" else own == kind
-            missing = F.lit(f"missing {p}") if required else F.lit(None)
-            checks.append(F.when(own.isNull() | (own == "null"), missing).when(~accepted, F.lit(f"{p} is not {kind}")))
-        more = F.array_sort(F.array_except(F.map_keys("_kinds"), F.array(*[F.lit(p) for p in parameters]).cast("array<string>")))
-        more = F.transform(more, lambda k: F.concat(F.lit("unknown "), k))
-        found = F.when(name == tool, F.concat(F.filter(F.array(*checks), lambda x: x.isNotNull()), more)).otherwise(found)
-    unknown_tool = F.array(F.lit("unknown tool"))
-    malformed = F.array(F.lit("malformed arguments"))
-    return kinds, F.when(value.isNull() | ~is_object, malformed).otherwise(F.coalesce(found, unknown_tool))
+    found = F.array(F.lit("unknown tool"))
+    for tool, schema in tools.items():
+        found = F.when(name == tool, _faults(value, schema, None)).otherwise(found)
+    return F.when(value.isNull() | ~is_object, F.array(F.lit("malformed arguments"))).otherwise(found)
 
 
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
@@ -143,7 +173,7 @@ def _ranked(rows: DataFrame, names: list[str], cell: Column, label: str) -> Data
     return marked.withColumn("first", F.coalesce(F.struct("_cell", "_draw") == F.col("_least"), F.lit(False))).drop("_least", "_draw")
 
 
-def linked_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
+def linked_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) -> DataFrame:
     """Rows (conv_id, call_id, name, call_turn, result_turn, level, valid, errors, canonical)."""
     key = ["conv_id", "call_id"]
     cells = F.struct("turn", F.coalesce("arguments", F.lit("")).alias("arguments"), F.coalesce("name", F.lit("")).alias("name"), F.array_sort("needs").alias("needs"))
@@ -160,8 +190,7 @@ def linked_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict[str
     resolved = staged(wanted.join(known, ["conv_id", "need"], "left"), "chat-resolved")
     order = levels(heads.select(*key), resolved.filter("known").select(*key, "need"))
     lost = resolved.filter("known is null").groupBy(*key).agg(F.count("need").alias("lost"))
-    kinds, errors = argument_errors(F.col("name"), F.col("arguments"), tools)
-    rows = calls.withColumnRenamed("first", "is_first").withColumn("_kinds", kinds).withColumn("errors", errors).drop("_kinds")
+    rows = calls.withColumnRenamed("first", "is_first").withColumn("errors", argument_errors(F.col("name"), F.col("arguments"), tools))
     rows = rows.join(heads.select(*key, "call_turn", F.lit(True).alias("linkable")), key, "left").join(answers, key, "left").join(order, key, "left").join(lost, key, "left")
     first = F.col("is_first")
     notes = F.array(

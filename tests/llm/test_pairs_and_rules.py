@@ -158,7 +158,7 @@ def test_tool_call_faults(spark):
         (1, 1, "tool", '{"tool_call_id":"a","content":"3"}'), (1, 2, "tool", '{"tool_call_id":"q","content":"3"}'), (1, 3, "assistant", '{"tool_calls":[' + call("a") + "]}"), (1, 4, "user", "not json"), (1, 5, "user", None),
     ]
     talk = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    tools = {"add": {"x": ("number", True), "y": ("string", False)}}
+    tools = {"add": {"properties": {"x": {"type": "number"}, "y": {"type": "string"}}, "required": ["x"]}}
     got = {(r.call_id, r.call_turn): r for r in tool_calls.linked_calls(*tool_calls.calls_of_json(talk), tools).collect()}
     a = got["a", 0]
     assert (a.valid, a.level, a.result_turn, a.canonical) == (True, 0, 1, '{"arguments":{"x":2,"y":"q"},"id":"a","name":"add","needs":[],"result":"3"}')
@@ -169,6 +169,22 @@ def test_tool_call_faults(spark):
     assert tool_calls.linked_calls(*tool_calls.calls_of_json(talk.filter("false")), tools).count() == 0
 
 
+def test_nested_schemas(spark):
+    tools = {"t": {
+        "properties": {
+            "unit": {"type": "string", "enum": ["C", "F"]}, "at": {"type": "object", "properties": {"lat": {"type": "number"}, "tags": {"type": "array", "items": {"type": "string"}}}, "required": ["lat"]},
+            "legs": {"type": "array", "items": {"type": "object", "properties": {"n": {"type": "integer", "enum": [1, 2]}}, "required": ["n"], "additionalProperties": True}},
+        }, "required": ["at"],
+    }}
+    cases = {
+        '{"at":{"lat":1.5,"tags":["a"]},"unit":"C","legs":[{"n":1,"more":0}]}': [], '{"at":{}}': ["missing at.lat"], '{"at":{"lat":"x","tags":["a",1]},"unit":"K"}': ["at.lat is not number", "at.tags[1] is not string", "unit is none of its values"],
+        '{"at":{"lat":1,"z":2},"legs":[{},{"n":3},5]}': ["unknown at.z", "missing legs[0].n", "legs[1].n is none of its values", "legs[2] is not object"], "{}": ["missing at"], "[]": ["malformed arguments"], '{"at":null,"q":1}': ["missing at", "unknown q"],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "a string")
+    got = dict(df.select("a", tool_calls.argument_errors(F.lit("t"), F.col("a"), tools)).collect())
+    assert got == cases
+
+
 def test_no_call_or_result_is_lost(spark):
     calls = spark.createDataFrame(
         [(1, 0, "a", "add", '{"x":2}', []), (1, 0, "a", "add", '{"x":1}', []), (1, 0, "b", "add", '{"x":1}', ["a"]), (1, 0, "b", "add", '{"x":1}', ["a"]), (None, 0, "a", "add", '{"x":1}', []), (1, 0, None, "add", None, None), (2, None, "a", "add", "{}", [None])],
@@ -178,7 +194,7 @@ def test_no_call_or_result_is_lost(spark):
         [(1, 1, "a", "one"), (1, 2, "a", "two"), (1, 2, "a", "two"), (1, 0, "a", "early"), (1, 3, "b", None), (1, 3, "b", ""), (None, 1, "a", "x"), (1, 1, None, "y"), (2, 1, "a", "z")],
         "conv_id bigint, turn bigint, call_id string, content string",
     ).withColumn("late", F.lit("clash"))
-    rows = tool_calls.linked_calls(calls, results, {"add": {"x": ("integer", True)}}).collect()
+    rows = tool_calls.linked_calls(calls, results, {"add": {"properties": {"x": {"type": "integer"}}, "required": ["x"]}}).collect()
     asked = [r for r in rows if r.call_turn is not None or r.name is not None]
     assert len(asked) == 7
     a = [(r.valid, r.errors, r.result_turn) for r in asked if (r.conv_id, r.call_id) == (1, "a")]
