@@ -3,8 +3,10 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from spanweave.operators.intervals import lookup
 from spanweave.sources.bed import read_bed
 from spanweave.sources.sam import read_sam
+from spanweave.sources.tables import create_views, read_tables, write_tables
 from spanweave.sources.vcf import read_vcf, read_vcf_lines
 
 VCF = """##fileformat=VCFv4.2
@@ -93,6 +95,17 @@ def test_equal_reads_and_many_tags(spark, tmp_path):
     assert '"X1499":1499' in sam.tags.first().tags_json
 
 
+def test_views_and_written_tables(spark, tmp_path):
+    (tmp_path / "a.sam").write_text(SAM)
+    sam = read_sam(spark, str(tmp_path / "a.sam"))
+    assert "x_reads" in create_views(sam, "x_") and spark.sql("SELECT count(*) FROM x_reads JOIN x_seqs USING (rowid)").first()[0] == 2
+    names = write_tables(sam, str(tmp_path / "out"), "x_", by={"seqs": ["qname"]})
+    back = read_tables(spark, str(tmp_path / "out"), names)
+    assert lookup(back["x_reads"], 0, 90, 105).first().pos == 100 and [r.qname for r in back["x_seqs"].collect()] == ["r1", "r2"]
+    plan = back["x_seqs"].filter("qname = 'r1'")._jdf.queryExecution().toString()
+    assert "EqualTo(qname,r1)" in plan
+
+
 def test_bed(spark, tmp_path):
     (tmp_path / "a.bed").write_text("chrA\t11\t20\tx\t0\t+\n")
     assert read_bed(spark, str(tmp_path / "a.bed"), one_based=True).select(F.col("beg")).first()[0] == 10
