@@ -40,6 +40,10 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Words of a class, id or role that name something beside the article.
 BESIDE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead banner cookie cookies consent notice notices alert comment comments disqus reply replies share sharing social related recommended newsletter subscribe signup login popup modal overlay widget toolbar pagination pager search complementary contentinfo dialog".split())
+#: Of these, the words of what readers wrote: such a box is no wrapper of the article, whatever stands in it.
+READERS = frozenset("comment comments disqus reply replies".split())
+#: Elements that mark the article, so that a box around one that is named for its layout (has-sidebar, nav-open) is kept.
+MARKS = frozenset("article main h1".split())
 _BOXES = frozenset("div section ul ol dl table header span p details figure center".split())
 
 #: No part can be tried in two ways, so a broken tag costs one pass over what it spans.
@@ -55,19 +59,21 @@ _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 _PARTS = re.compile(r"[a-z]+")
 
 
-def _beside(attributes: str) -> bool:
-    for found in _NAMES.finditer(attributes):
-        value = found[1] or found[2] or found[3] or ""
-        if not BESIDE.isdisjoint(_PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-            return True
-    return False
+def _beside(attributes: str) -> int:
+    """0 for an element that names nothing beside the article, 1 if it does, 2 if that is what readers wrote."""
+    found = 0
+    for name in _NAMES.finditer(attributes):
+        value = name[1] or name[2] or name[3] or ""
+        parts = _PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+        found = max(found, 2 if not READERS.isdisjoint(parts) else 1 if not BESIDE.isdisjoint(parts) else 0)
+    return found
 
 
 class Node:
-    __slots__ = ("tag", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "children", "beside", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str):
-        self.tag, self.children = tag, []  # of Node and str
+    def __init__(self, tag: str, beside: int = 0):
+        self.tag, self.children, self.beside = tag, [], beside  # children: Node and str
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -148,17 +154,30 @@ def parse(page: str) -> Node:
         if name in CLOSES:
             close(*CLOSES[name])
         own_article = opened.at.get("article") or opened.at.get("main")
-        if name in DROPPED or (name == "header" and not own_article) or (name in _BOXES and attributes and _beside(attributes)):
+        beside = _beside(attributes) if attributes and (name in _BOXES or name in MARKS) else 0
+        if name in DROPPED or (name == "header" and not own_article) or (beside and name == "p"):
             if name not in VOID and not attributes.rstrip().endswith("/"):
                 skipping.append(name)
             continue
-        node = Node(name)
+        node = Node(name, beside)
         opened.stack[-1].children.append(node)
         if name not in VOID:
             opened.push(node)
     rest = page[at:]
     cut = _BROKEN.search(rest, max(0, ends - at))
     text(rest[: cut.start()] if cut else rest)
+    return _without_boxes(root)
+
+
+def _without_boxes(root: Node) -> Node:
+    """The tree without the boxes that are named for something beside the article and don't hold it."""
+    order = _in_order(root)
+    holds = set()
+    for node in reversed(order):
+        if (node.tag in MARKS and not node.beside) or any(isinstance(x, Node) and id(x) in holds and x.beside < 2 for x in node.children):
+            holds.add(id(node))
+    for node in order:
+        node.children = [x for x in node.children if isinstance(x, str) or not x.beside or x.tag in MARKS or (x.beside < 2 and id(x) in holds)]
     return root
 
 

@@ -1,5 +1,9 @@
 """No article text is lost by depth, beside the content or after an open notice."""
 
+import time
+
+import pytest
+
 from spanweave.llm import html_density
 
 LONG = "A sentence of the article with a good number of words in it, and no links at all, that goes on. " * 6
@@ -31,3 +35,31 @@ def test_open_notice_ends_where_a_paragraph_ends():
     for notice in ("<p class=notice>short", "<div><p class=notice>short</div>"):
         text = html_density.main_text(f"<article>{notice}{paragraphs('kept')}</article>")
         assert "kept 0" in text and "kept 2" in text and "short" not in text
+
+
+ARTICLE = "<p>First long paragraph of the article text that goes on and on.</p><p>Second paragraph, as long as the first one is, and plain.</p>"
+PLAIN = "First long paragraph of the article text that goes on and on.\nSecond paragraph, as long as the first one is, and plain."
+
+
+@pytest.mark.parametrize("wrapper", ["<div class='has-sidebar'>{}</div>", "<div id=page class=nav-open><div class='layout sidebar'>{}</div></div>"])
+def test_layout_names_on_wrappers_of_the_article(wrapper):
+    side = "<div class=sidebar><p>Side text that nobody wants to read here at all.</p></div>"
+    comments = "<div class=comments><article class=comment-body><p>A reader says that all of this is wrong.</p></article><h1>Replies</h1></div>"
+    assert html_density.main_text("<html><body>" + wrapper.format(f"<article>{ARTICLE}</article>{side}") + comments + "</body></html>") == PLAIN
+
+
+@pytest.mark.parametrize("piece,end", [("<div>", ""), ("<a", ""), ("<a ", ""), ("<a \"", ""), ("<!", ""), ("<div class=nav>", ""), ("<b>", "<li>x</li>"), ("<p>", "</b>"), ("</script", ""), ("<!-", ""), ("<td><p>", "</p>")])
+def test_time_follows_length(piece, end):
+    def seconds(n):
+        page, began = piece * n + end * n, time.perf_counter()
+        html_density.main_text(page)
+        return time.perf_counter() - began
+
+    assert seconds(16_000) < 12 * max(seconds(4_000), 0.02)
+
+
+def test_rows_are_extracted_each_for_itself(spark):
+    pages = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}</article>", "clash", 5)] * 2 + [(None, None, None, None, None), (2, "v", "plain & simple", None, None)], "page_id bigint, url string, html string, text string, n_chars int")
+    rows = [tuple(r) for r in html_density.extract_text(pages).collect()]
+    assert sorted(rows, key=repr) == sorted([(1, "u", PLAIN, len(PLAIN))] * 2 + [(None, None, "", 0), (2, "v", "plain & simple", 14)], key=repr)
+    assert html_density.extract_text(pages.filter("false")).count() == 0
