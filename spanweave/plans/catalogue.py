@@ -128,6 +128,14 @@ def gri_index_levels_empty(spark, sf_dir):
     return iv.occupied_levels(_indexed(spark, sf_dir, "long").filter("beg < 0"))
 
 
+@_query(f"SELECT rid, -({_level_sql('stop - beg', 1)}) AS lvl, count(*) AS n, CAST(sum(beg) AS BIGINT) AS begins FROM long GROUP BY 1, 2", "long")
+def gri_columns_sql(spark, sf_dir):
+    """Range columns by SQL text."""
+    _features(spark, sf_dir, "long").createOrReplaceTempView("long_plain")
+    df = spark.sql(iv.range_columns_sql("long_plain", "rid", "beg", "stop", 1))
+    return df.groupBy(F.col(iv.RID).alias("rid"), F.col(iv.LVL).alias("lvl")).agg(_count(), F.sum(iv.BEG).alias("begins"))
+
+
 # --- lookups ---------------------------------------------------------------------------------------------------------
 
 
