@@ -87,4 +87,37 @@ UNION ALL SELECT conv_id, call_id, NULL, -1, turn, -1, false, 'no call', md5('{"
 FROM results WHERE call_id NOT IN (SELECT call_id FROM calls)"""
 
 
-ORACLE = {"op1_tool_call_linking": _OP1, "op8_quality_rules": _op8(), "op9_source_mixing": _op9()}
+_OP11 = r"""
+WITH marked AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failed AS (SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+    coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS e FROM texts),
+masks AS (SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda f, i: [a, b, c, d, e][i]) AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM failed LEFT JOIN marked USING (doc_id)),
+counters AS (SELECT part, fails, count(*) AS n, sum(good)::BIGINT AS n_good, sum(toxic)::BIGINT AS n_toxic FROM masks GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a JOIN letters b ON b.f <> a.f JOIN letters c ON c.f NOT IN (a.f, b.f)
+  JOIN letters d ON d.f NOT IN (a.f, b.f, c.f) JOIN letters e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+steps AS (SELECT filter_order, s.step AS step, substr(filter_order, s.step, 1) AS f, string_split(left(filter_order, s.step - 1), '') AS before FROM orders, range(1, 6) s(step)),
+told AS (SELECT *, list_contains(fails, f) AS hit, list_has_any(fails, before) AS gone FROM counters, steps)
+SELECT part, filter_order, step::INTEGER AS step,
+  coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = [f]), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n_good) FILTER (hit AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(n_toxic) FILTER (hit AND NOT gone), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * (120 // greatest(len(fails), 1))) FILTER (hit), 0)::BIGINT AS shapley
+FROM told GROUP BY part, filter_order, step"""
+
+
+_OP13 = """
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+numbers AS (SELECT doc_id, t, n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM drawn),
+cuts AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS one, greatest(h1 % (n + 1), h2 % (n + 1)) AS two,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+pieces AS (SELECT *, substr(t, 1, one) AS prefix, substr(t, one + 1, two - one) AS middle, substr(t, two + 1) AS suffix FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN one END AS prefix_chars, CASE WHEN form <> 'plain' THEN two - one END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM pieces"""
+
+
+ORACLE = {"op1_tool_call_linking": _OP1, "op8_quality_rules": _op8(), "op9_source_mixing": _op9(), "op11_filter_interaction_audit": _OP11, "op13_fill_in_middle": _OP13}

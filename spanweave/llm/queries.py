@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_density, mixing, ngram_join, nn_descent, quality_gbt, quality_rules, token_counts, tool_calls, toxicity_cnn, unigram
+from . import bpe_automaton, fill_in_middle, filter_audit, html_density, mixing, ngram_join, nn_descent, quality_gbt, quality_rules, token_counts, tool_calls, toxicity_cnn, unigram
 from .oracle import ORACLE
 from .storage import table, tokenizer_path
 
@@ -51,11 +51,6 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def op8_quality_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows, under the name of the tail fences before they were the operator's own."""
-    return op8_quality_rules(spark, sf_dir)
-
-
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -64,10 +59,22 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.bpe_digest(table(spark, sf_dir, "documents"), bpe_automaton.shared_automaton(spark, tokenizer_path("byte_bpe_50k.json")))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), digests=True).select(*fill_in_middle.digest_columns())
+
+
 _ALL = (
     op1_tool_call_linking, op2_ngram_jaccard_join, op3_nearest_neighbours, op4_toxicity, op5_quality_classifier,
-    op6_edit_aware_token_counts, op7_sentencepiece, op8_quality_rules, op8_quality_tails,
-    op9_source_mixing, op10_html_extraction,
+    op6_edit_aware_token_counts, op7_sentencepiece, op8_quality_rules,
+    op9_source_mixing, op10_html_extraction, op11_filter_interaction_audit, op12_bpe_automaton, op13_fill_in_middle,
 )
 
 
