@@ -46,10 +46,11 @@ READERS = frozenset("comment comments disqus reply replies".split())
 MARKS = frozenset("article main h1".split())
 _BOXES = frozenset("div section ul ol dl table header span p details figure center".split())
 
-#: No part can be tried in two ways, so a broken tag costs one pass over what it spans.
+#: No part can be tried in two ways, so a broken tag costs one pass over what it spans.  A drawing that is closed in its
+#: own tag ends there; other elements of raw text don't, whatever slash they have.
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|(?P<open_comment>.*+)\Z)"
-    r"|<(?P<raw>script|style|textarea|noscript|title|template|iframe|svg|xmp)\b(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</(?P=raw)\s*+>|(?P<open_raw>.*+)\Z)"
+    r"|<(?P<raw>script|style|textarea|noscript|title|template|iframe|xmp|svg(?!(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+(?<=/)>))\b(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</(?P=raw)\s*+>|(?P<open_raw>.*+)\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/><]*+)(?P<attributes>(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
     r"|<[!?/][^>]*+>",
     re.S | re.I,
@@ -57,6 +58,8 @@ _TOKEN = re.compile(
 _BROKEN = re.compile(r"<[a-zA-Z/!?]")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
+#: Also run together with other words (commentlist, usercomments); a commentary is an article.
+_READERS = re.compile(r"comment(?!a)|disqus")
 
 
 def _beside(attributes: str) -> int:
@@ -65,7 +68,7 @@ def _beside(attributes: str) -> int:
     for name in _NAMES.finditer(attributes):
         value = name[1] or name[2] or name[3] or ""
         parts = _PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-        found = max(found, 2 if not READERS.isdisjoint(parts) else 1 if not BESIDE.isdisjoint(parts) else 0)
+        found = max(found, 2 if not READERS.isdisjoint(parts) or any(map(_READERS.search, parts)) else 1 if not BESIDE.isdisjoint(parts) else 0)
     return found
 
 
