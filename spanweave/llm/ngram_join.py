@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -288,11 +289,13 @@ def _cut_sets(texts: DataFrame, common_in_order: np.ndarray, words: int) -> Data
             if not batch.num_rows:
                 continue
             sig, bucket, hub = (batch.column(i).to_numpy() for i in range(3))
-            # The seats of one document stand together; its text is read once.
-            fresh = np.append(True, sig[1:] != sig[:-1])
+            # The seats of one text stand together, and it is read once; documents that share a doc_id may alternate.
+            texts = batch.column(3)
+            other = pc.fill_null(pc.not_equal(texts[1:], texts[:-1]), True).to_numpy(zero_copy_only=False)
+            fresh = np.append(True, (sig[1:] != sig[:-1]) | other)
             turn = np.append(np.flatnonzero(fresh), len(sig))
             out, size = [[] for _ in fields], 0
-            for i, found in enumerate(shingle_sets(batch.column(3).filter(pa.array(fresh)), words)):
+            for i, found in enumerate(shingle_sets(texts.filter(pa.array(fresh)), words)):
                 if _signature(found)[0] != sig[turn[i]]:
                     continue
                 is_common = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(len(found), bool)
