@@ -14,12 +14,24 @@ from .storage import table, tokenizer_path
 
 def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = tool_calls.calls_of_messages(table(spark, sf_dir, "conversations"))
-    linked = tool_calls.linked_calls(calls, results, tool_calls.REPLY_TOOL)
+    return _digested(tool_calls.linked_calls(calls, results, tool_calls.REPLY_TOOL))
+
+
+def _digested(linked: DataFrame) -> DataFrame:
     # The digest of the canonical text stands for it, and -1 for a turn or level that isn't there.
     filled = {c: F.coalesce(c, F.lit(-1)) for c in ("call_turn", "result_turn", "level")}
     return linked.withColumns(filled | {"canonical_md5": F.md5(F.col("canonical").cast("binary"))}).drop("canonical")
 
 
+def tool_calls_of_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of op1 from messages that carry the same calls and results as JSON."""
+    asked, answers = tool_calls.calls_of_messages(table(spark, sf_dir, "conversations"))
+    call = F.struct(F.col("call_id").alias("id"), "name", F.from_json("arguments", "text string, n_chars int, style string").alias("arguments"), "needs")
+    messages = asked.select("conv_id", "turn", F.to_json(F.struct(F.array(call).alias("tool_calls"))).alias("text"))
+    messages = messages.unionByName(answers.select("conv_id", "turn", F.to_json(F.struct(F.col("call_id").alias("tool_call_id"), "content")).alias("text")))
+    return _digested(tool_calls.linked_calls(*tool_calls.calls_of_json(messages), tool_calls.REPLY_TOOL))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -72,7 +84,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_tool_call_linking, op2_ngram_jaccard_join, op3_nearest_neighbours, op4_toxicity, op5_quality_classifier,
+    op1_tool_call_linking, tool_calls_of_json, op2_ngram_jaccard_join, op3_nearest_neighbours, op4_toxicity, op5_quality_classifier,
     op6_edit_aware_token_counts, op7_sentencepiece, op8_quality_rules,
     op9_source_mixing, op10_html_extraction, op11_filter_interaction_audit, op12_bpe_automaton, op13_fill_in_middle,
 )

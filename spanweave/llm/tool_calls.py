@@ -5,7 +5,8 @@ are ordered topologically by the calls they need, in rounds of joins that
 halve the open chains: `level` is the length of the longest chain below a
 call, and (level, call_turn, call_id) orders a
 conversation so that no call comes before one that it needs.  Arguments are
-checked against the tool's JSON schema (nested objects, items of arrays, enums),
+checked against the tool's JSON schema (types, required and further properties, items, enums, bounds;
+a schema with another keyword is refused),
 and each exchange is written as canonical JSON: no white space, keys in order.  SQL functions only.
 
 Rounds grow with the logarithm of the longest chain, and with the depth of
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .storage import staged
 
 #: The parameters of the tools of the conversations table, as JSON schemas.
-REPLY_TOOL = {"reply": {"properties": {"n_chars": {"type": "integer"}, "style": {"type": "string"}, "text": {"type": "string"}}, "required": ["n_chars", "text"]}}
+REPLY_TOOL = {"reply": {"additionalProperties": False, "properties": {"n_chars": {"type": "integer"}, "style": {"type": "string"}, "text": {"type": "string"}}, "required": ["n_chars", "text"]}}
 
 
 def calls_of_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,38 +88,108 @@ def _some(fault: Column) -> Column:
     return F.when(fault.isNull(), _none()).otherwise(F.array(fault))
 
 
-def _faults(value: Column, schema: dict, label: Column | None) -> Column:
-    """What is wrong with a variant that is there, an array of texts: type, enum, properties, required, additionalProperties and items."""
-    kind, wanted = _kind(value), schema.get("type")
+#: The keywords that are checked, and those that say nothing about what is valid (fixed names of JSON schemas).
+CHECKED = frozenset(("type", "enum", "const", "properties", "required", "additionalProperties", "items", "minimum", "maximum", "minLength", "maxLength", "minItems", "maxItems"))
+REMARKS = frozenset(("title", "description", "default", "examples", "$comment", "$schema", "$id", "deprecated", "readOnly", "writeOnly", "format"))
+TYPES = frozenset(("null", "boolean", "integer", "number", "string", "array", "object"))
+
+
+def check_schema(schema: dict | bool, at: str = "schema") -> None:
+    """An error for a schema with a keyword that isn't checked here, so that none is passed over in silence."""
+    if isinstance(schema, bool):
+        return
+    if odd := sorted(set(schema) - CHECKED - REMARKS):
+        raise ValueError(f"{at}: {', '.join(odd)} not supported")
+    if odd := sorted(set(_types(schema) or ()) - TYPES):
+        raise ValueError(f"{at}: no such type: {', '.join(odd)}")
+    for p, own in schema.get("properties", {}).items():
+        check_schema(own, f"{at}.{p}")
+    for k in ("items", "additionalProperties"):
+        check_schema(schema.get(k, True), f"{at}.{k}")
+
+
+def _types(schema: dict) -> list[str] | None:
+    wanted = schema.get("type")
+    return [wanted] if isinstance(wanted, str) else wanted
+
+
+def _is(value: Column, kind: Column, wanted: str) -> Column:
+    """Whether a variant is of a JSON schema's type: a number without a fraction is an integer however it is written."""
+    if wanted == "number":
+        return kind.isin("integer", "number")
+    if wanted == "integer":
+        number = F.try_variant_get(value, "$", "double")
+        return (kind == "integer") | ((kind == "number") & F.coalesce(number % 1 == 0, F.lit(False)))
+    return kind == wanted
+
+
+def _faults(value: Column, schema: dict | bool, label: Column | None) -> Column:
+    """What is wrong with a variant that is there (it may be JSON's null), an array of texts.
+
+    As in the standard, `required` holds of objects alone and for any name,
+    other properties are allowed unless additionalProperties forbids or
+    describes them, and each keyword is silent on values of other types.
+    """
     name = label if label is not None else F.lit("arguments")
+    if schema is True:
+        return _none()
+    if schema is False:
+        return F.array(F.concat(name, F.lit(" is not allowed")))
+    kind, wanted = _kind(value), _types(schema)
     checks = []
-    if "enum" in schema:
-        allowed = [json.dumps(e, ensure_ascii=False, separators=(",", ":"), sort_keys=True) for e in schema["enum"]]
-        checks.append(_some(F.when(~F.to_json(value).isin(allowed), F.concat(name, F.lit(" is none of its values")))))
-    if "properties" in schema:
-        below = schema["properties"]
-        for p, own in sorted(below.items()):
-            at = F.try_variant_get(value, f"$['{p}']", "variant")
-            inner = F.lit(p) if label is None else F.concat(label, F.lit(f".{p}"))
-            missing = _some(F.concat(F.lit("missing "), inner)) if p in schema.get("required", ()) else _none()
-            checks.append(F.when(at.isNull() | (_kind(at) == "null"), missing).otherwise(_faults(at, own, inner)))
-        if not schema.get("additionalProperties", False):
-            keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
-            more = F.array_sort(F.array_except(F.coalesce(keys, _none()), F.array(*[F.lit(p) for p in below]).cast("array<string>")))
-            checks.append(F.transform(more, lambda k: F.concat(F.lit("unknown "), k if label is None else F.concat(label, F.lit("."), k))))
+    text = lambda e: json.dumps(e, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+    inner = lambda p: p if label is None else F.concat(label, F.lit("."), p)
+    for keyword, allowed in (("enum", schema.get("enum")), ("const", [schema["const"]] if "const" in schema else None)):
+        if allowed is not None:
+            written = F.coalesce(F.to_json(value), F.lit("null"))
+            checks.append(_some(F.when(~written.isin([text(e) for e in allowed]), F.concat(name, F.lit(" is none of its values" if keyword == "enum" else " is not its value")))))
+    for p in sorted(set(schema.get("properties", {})) | set(schema.get("required", ()))):
+        at = F.try_variant_get(value, _member(p), "variant")
+        missing = _some(F.when(kind == "object", F.concat(F.lit("missing "), inner(F.lit(p))))) if p in schema.get("required", ()) else _none()
+        checks.append(F.when(at.isNull(), missing).otherwise(_faults(at, schema.get("properties", {}).get(p, True), inner(F.lit(p)))))
+    others = schema.get("additionalProperties", True)
+    if others is not True:
+        held = F.coalesce(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
+        own = F.array(*[F.lit(p) for p in schema.get("properties", {})]).cast("array<string>")
+        more = F.array_sort(F.filter(F.transform(held, lambda e: e["key"]), lambda k: ~F.array_contains(own, k)))
+        if others is False:
+            checks.append(F.transform(more, lambda k: F.concat(F.lit("unknown "), inner(k))))
+        else:
+            left = F.filter(held, lambda e: ~F.array_contains(own, e["key"]))
+            checks.append(F.flatten(F.transform(left, lambda e: _faults(e["value"], others, inner(e["key"])))))
     if "items" in schema:
         items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
         each = F.transform(items, lambda v, i: _faults(v, schema["items"], F.concat(name, F.lit("["), i.cast("string"), F.lit("]"))))
         checks.append(F.flatten(each))
+    number = F.when(kind.isin("integer", "number"), F.try_variant_get(value, "$", "double"))
+    length = F.when(kind == "string", F.length(F.try_variant_get(value, "$", "string")))
+    count = F.when(kind == "array", F.size(F.try_variant_get(value, "$", "array<variant>")))
+    for measure, least, most in ((number, "minimum", "maximum"), (length, "minLength", "maxLength"), (count, "minItems", "maxItems")):
+        if least in schema:
+            checks.append(_some(F.when(measure < schema[least], F.concat(name, F.lit(f" is under its {least}")))))
+        if most in schema:
+            checks.append(_some(F.when(measure > schema[most], F.concat(name, F.lit(f" is over its {most}")))))
     found = F.concat(*checks) if checks else _none()
     if wanted is None:
         return found
-    accepted = kind.isin("integer", "number") if wanted == "number" else kind == wanted
-    return F.when(~accepted, F.array(F.concat(name, F.lit(f" is not {wanted}")))).otherwise(found)
+    accepted = F.lit(False)
+    for one in wanted:
+        accepted = accepted | _is(value, kind, one)
+    return F.when(~accepted, F.array(F.concat(name, F.lit(f" is not {' or '.join(wanted)}")))).otherwise(found)
+
+
+def _member(p: str) -> str:
+    """The path of a property; a name with both kinds of quotes can't be written in one."""
+    quote = next((q for q in "'\"" if q not in p), None)
+    if quote is None:
+        raise ValueError(f"property name with both kinds of quotes: {p}")
+    return f"$[{quote}{p}{quote}]"
 
 
 def argument_errors(name: Column, arguments: Column, tools: dict[str, dict]) -> Column:
     """What is wrong with a JSON text of arguments, by the JSON schema of the tool of that name."""
+    for tool, schema in tools.items():
+        check_schema(schema, tool)
     value = F.try_parse_json(arguments)
     is_object = F.schema_of_variant(value).startswith("OBJECT")
     found = F.array(F.lit("unknown tool"))
