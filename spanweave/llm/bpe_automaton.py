@@ -99,7 +99,7 @@ class Automaton:
         parent, dropped, at = [-1], [-1], [0]
         for time, (a, b, ab) in enumerate(vocabulary.merges, 1):
             # The gadget is void where a part was never made, the token stands already, or b can't follow a any more.
-            if a not in state or b not in state or ab in state or self._lacks(state[a], b, made, parent, dropped):
+            if a not in state or b not in state or ab in state or self._lacks(state[a], b, made, parent, dropped, at):
                 continue
             parent.append(state[a])
             dropped.append(b)
@@ -110,7 +110,7 @@ class Automaton:
         self._compile(state, made, parent, dropped, at)
 
     @staticmethod
-    def _lacks(q: int, t: int, made: dict, parent: list[int], dropped: list[int]) -> bool:
+    def _lacks(q: int, t: int, made: dict, parent: list[int], dropped: list[int], at: list[int]) -> bool:
         """While building: whether the state has no arc t; any drop on the way up came before now."""
         # A drop of a token that t grows from counts where it came before the next token of that growth.
         spine, later = {}, None
@@ -118,7 +118,7 @@ class Automaton:
             spine[t] = later
             later, t = made[t]
         while q > 0:
-            if dropped[q] in spine and (spine[dropped[q]] is None or q < spine[dropped[q]]):
+            if dropped[q] in spine and (spine[dropped[q]] is None or at[q] <= spine[dropped[q]]):
                 return True
             q = parent[q]
         return False

@@ -158,7 +158,7 @@ def test_tool_call_faults(spark):
         (1, 1, "tool", '{"tool_call_id":"a","content":"3"}'), (1, 2, "tool", '{"tool_call_id":"q","content":"3"}'), (1, 3, "assistant", '{"tool_calls":[' + call("a") + "]}"), (1, 4, "user", "not json"), (1, 5, "user", None),
     ]
     talk = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    tools = {"add": {"properties": {"x": {"type": "number"}, "y": {"type": "string"}}, "required": ["x"]}}
+    tools = {"add": {"properties": {"x": {"type": "number"}, "y": {"type": "string"}}, "required": ["x"], "additionalProperties": False}}
     got = {(r.call_id, r.call_turn): r for r in tool_calls.linked_calls(*tool_calls.calls_of_json(talk), tools).collect()}
     a = got["a", 0]
     assert (a.valid, a.level, a.result_turn, a.canonical) == (True, 0, 1, '{"arguments":{"x":2,"y":"q"},"id":"a","name":"add","needs":[],"result":"3"}')
@@ -172,13 +172,13 @@ def test_tool_call_faults(spark):
 def test_nested_schemas(spark):
     tools = {"t": {
         "properties": {
-            "unit": {"type": "string", "enum": ["C", "F"]}, "at": {"type": "object", "properties": {"lat": {"type": "number"}, "tags": {"type": "array", "items": {"type": "string"}}}, "required": ["lat"]},
+            "unit": {"type": "string", "enum": ["C", "F"]}, "at": {"type": "object", "properties": {"lat": {"type": "number"}, "tags": {"type": "array", "items": {"type": "string"}}}, "required": ["lat"], "additionalProperties": False},
             "legs": {"type": "array", "items": {"type": "object", "properties": {"n": {"type": "integer", "enum": [1, 2]}}, "required": ["n"], "additionalProperties": True}},
-        }, "required": ["at"],
+        }, "required": ["at"], "additionalProperties": False,
     }}
     cases = {
         '{"at":{"lat":1.5,"tags":["a"]},"unit":"C","legs":[{"n":1,"more":0}]}': [], '{"at":{}}': ["missing at.lat"], '{"at":{"lat":"x","tags":["a",1]},"unit":"K"}': ["at.lat is not number", "at.tags[1] is not string", "unit is none of its values"],
-        '{"at":{"lat":1,"z":2},"legs":[{},{"n":3},5]}': ["unknown at.z", "missing legs[0].n", "legs[1].n is none of its values", "legs[2] is not object"], "{}": ["missing at"], "[]": ["malformed arguments"], '{"at":null,"q":1}': ["missing at", "unknown q"],
+        '{"at":{"lat":1,"z":2},"legs":[{},{"n":3},5]}': ["unknown at.z", "missing legs[0].n", "legs[1].n is none of its values", "legs[2] is not object"], "{}": ["missing at"], "[]": ["malformed arguments"], '{"at":null,"q":1}': ["at is not object", "unknown q"],
     }
     df = spark.createDataFrame([(k,) for k in cases], "a string")
     got = dict(df.select("a", tool_calls.argument_errors(F.lit("t"), F.col("a"), tools)).collect())
