@@ -1,7 +1,8 @@
 """JSON document functions over text columns.
 
 What SQL functions can say stays in the JVM; edits, which have no built-in
-counterpart, are Arrow UDFs; the tree walk is a table function.  Null JSON
+counterpart, are Arrow functions over the tokens of a text (see json_scan);
+the rows of children and of the whole tree are table functions.  Null JSON
 gives null, malformed JSON an error unless stated otherwise.  Edits keep the
 text of numbers and repeated keys as they are written; where values are read,
 a document that repeats a key in one object is malformed unless the session
@@ -11,41 +12,29 @@ one counts.
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Callable, Iterator
+import datetime
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.udtf import UserDefinedTableFunction
 
-_STEP = re.compile(r"""\.(?:"([^"]*)"|([^.\["]+))|\[(\d+)\]|\[#(?:-(\d+))?\]""")
-
+from .json_scan import Document, Malformed, merged, path_steps, quoted, steps_of
 
 def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def path_steps(path: str) -> list[str | int | tuple[int]]:
-    """Keys as text, positions as numbers, positions from the end as (n,)."""
-    if not path.startswith("$"):
-        raise ValueError(f"JSON path error near {path!r}")
-    at, steps = 1, []
-    while at < len(path):
-        m = _STEP.match(path, at)
-        if not m:
-            raise ValueError(f"JSON path error near {path[at:]!r}")
-        quoted, key, position, back = m.groups()
-        steps.append(quoted if quoted is not None else key if key is not None else int(position) if position is not None else (int(back or 0),))
-        at = m.end()
-    return steps
-
-
 def _is_json(x: Column) -> Column:
     """Whether a text is one JSON value; the built-in parser ignores what follows a value, so the text is also read inside brackets and braces."""
     inside = F.try_parse_json(F.concat(F.lit('{"x":'), x, F.lit("}")))
-    return F.coalesce(F.try_parse_json(x).isNotNull() & inside.isNotNull() & (F.json_array_length(F.concat(F.lit("["), x, F.lit("]"))) == 1), F.lit(False))
+    return F.coalesce(F.try_parse_json(x).isNotNull() & inside.isNotNull() & (_length(F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))) == 1), F.lit(False))
+
+
+def _length(value: Column) -> Column:
+    """How many items an array has, null for any other variant (Spark's own function of JSON text may be replaced in a session)."""
+    return F.size(F.try_variant_get(value, "$", "array<variant>"))
 
 
 def checked(x: Column | str) -> Column:
@@ -99,8 +88,8 @@ def json_valid(x: Column | str) -> Column:
 def json_array_length(x: Column | str, path: str = "$") -> Column:
     """0 for what is no array, null if there is nothing at the path."""
     x = checked(x)
-    value = F.to_json(_variant_at(x, path)) if _from_end(path) else _at(x, path)
-    return F.when(value.isNotNull(), F.coalesce(F.json_array_length(value), F.lit(0)))
+    value = _variant_at(x, path)
+    return F.when(value.isNotNull(), F.coalesce(_length(value), F.lit(0)))
 
 
 def json_type(x: Column | str, path: str = "$") -> Column:
@@ -163,127 +152,59 @@ def json_group_object_over(k: Column | str, v: Column | str, window: Window) ->
 
 # --- edits -----------------------------------------------------------------------------------------------------------
 
-_ABSENT = object()
+def _each(change: Callable, *columns: Column | str) -> Column:
+    """Applies a function to the texts of each row; the first is the document, and none without it."""
 
+    @F.arrow_udf("string")
+    def run(*arrays: pa.Array) -> pa.Array:
+        return pa.array([None if row[0] is None else change(*row) for row in zip(*[x.to_pylist() for x in arrays], strict=True)], pa.string())
 
-class _Number(str):
-    """A number as it is written."""
+    return run(*[_col(c) for c in columns])
 
 
-class _Object(list):
-    """[key, value] pairs in their order, keys repeated or not; an edit takes the first of a key."""
+def json_minify(x: Column | str) -> Column:
+    """Valid JSON without white space; numbers, escapes and repeated keys stay as written."""
+    return _each(_minified, x)
 
-    def at(self, key: str) -> int:
-        return next((i for i, (k, _) in enumerate(self) if k == key), -1)
 
+def _minified(text: str) -> str:
+    return str(Document(text))
 
-def _load(text: str):
-    try:
-        return json.loads(text, parse_constant=_refuse, parse_int=_Number, parse_float=_Number, object_pairs_hook=lambda pairs: _Object(map(list, pairs)))
-    except ValueError as e:
-        raise ValueError("malformed JSON") from e
-
-
-def _refuse(word: str):
-    raise ValueError(word)
-
-
-def _text(value: str) -> str:
-    return json.dumps(value, ensure_ascii=False)
-
-
-def _dump(value) -> str:
-    if isinstance(value, _Object):
-        return "{" + ",".join(f"{_text(k)}:{_dump(v)}" for k, v in value) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(_dump, value)) + "]"
-    return str(value) if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
-
-
-def _put(node, steps: list, value, create: bool, replace: bool):
-    """`node` with `value` at the path; missing containers are made if `create`."""
-    if not steps:
-        return value if (replace if node is not _ABSENT else create) else node
-    step, rest = steps[0], steps[1:]
-    if node is _ABSENT:
-        if not create or isinstance(step, int) and step != 0 or isinstance(step, tuple) and step[0]:
-            return _ABSENT
-        node = _Object() if isinstance(step, str) else []
-    if isinstance(step, str):
-        if isinstance(node, _Object):
-            at = node.at(step)
-            child = _put(node[at][1] if at >= 0 else _ABSENT, rest, value, create, replace)
-            if child is not _ABSENT and at >= 0:
-                node[at][1] = child
-            elif child is not _ABSENT:
-                node.append([step, child])
-    elif isinstance(node, list) and not isinstance(node, _Object):
-        at = len(node) - step[0] if isinstance(step, tuple) else step
-        if 0 <= at <= len(node):
-            child = _put(node[at] if at < len(node) else _ABSENT, rest, value, create, replace)
-            if child is not _ABSENT:
-                node[at : at + 1] = [child]
-    return node
-
-
-def _drop(node, steps: list) -> None:
-    step, at = steps[0], -1
-    if isinstance(node, _Object):
-        at = node.at(step) if isinstance(step, str) else -1
-    elif isinstance(node, list) and not isinstance(step, str):
-        at = len(node) - step[0] if isinstance(step, tuple) else step
-    if isinstance(node, list) and 0 <= at < len(node):
-        if len(steps) == 1:
-            del node[at]
-        else:
-            _drop(node[at][1] if isinstance(node, _Object) else node[at], steps[1:])
-
-
-def _merge(target, patch):
-    if not isinstance(patch, _Object):
-        return patch
-    target = target if isinstance(target, _Object) else _Object()
-    for k, v in patch:
-        at = target.at(k)
-        if v is None:
-            if at >= 0:
-                del target[at]
-        elif at >= 0:
-            target[at][1] = _merge(target[at][1], v)
-        else:
-            target.append([k, _merge(None, v)])
-    return target
 
+def _put_all(text: str, paths: Iterable[list], values: Iterable[str], create: bool, replace: bool) -> str | None:
+    document, whole = Document(text), None
+    for path, value in zip(paths, values, strict=True):
+        if path and whole is None:
+            document.put(path, value, create, replace)
+        elif not path and replace:
+            whole = value
+    # A value that takes the whole document's place comes as it is.
+    return str(document) if whole is None else Document(whole).shown(0)
 
-def _edit(change: Callable, *columns: Column | str) -> Column:
-    @F.pandas_udf("string")
-    def run(*series: pd.Series) -> pd.Series:
-        rows = zip(*series, strict=True)
-        return pd.Series([None if pd.isna(r[0]) else change(_load(r[0]), *r[1:]) for r in rows], dtype=object)
 
-    return run(*[_col(c) for c in columns])
-
-
-def json_minify(x: Column | str) -> Column:
-    """Valid JSON without white space; numbers and repeated keys stay as written."""
-    return _edit(_dump, x)
+def _remove_all(text: str, paths: Iterable[list]) -> str | None:
+    document, gone = Document(text), False
+    for path in paths:
+        if not path:
+            gone = True
+        elif not gone:
+            document.remove(path)
+    return None if gone else str(document)
 
 
 def _set(x: Column | str, pairs: tuple, create: bool, replace: bool) -> Column:
     if len(pairs) % 2:
         raise ValueError("paths and values come in pairs")
-    steps = [path_steps(p) for p in pairs[::2]]
-
-    def change(doc, *values: str) -> str:
-        for path, value in zip(steps, values, strict=True):
-            doc = _put(doc, path, _load(value), create, replace)
-        return _dump(doc)
-
-    return _edit(change, x, *[json_quote(v) for v in pairs[1::2]])
+    paths = [path_steps(p) for p in pairs[::2]]
+    # Values come as JSON of their columns, without white space.
+    return _each(lambda text, *values: _put_all(text, paths, values, create, replace), x, *[json_quote(v) for v in pairs[1::2]])
 
 
 def json_set(x: Column | str, *pairs: str | Column) -> Column:
-    """Puts values at paths (path, value, path, value, ...), one after another, whether one is there or not."""
+    """Puts values at paths (path, value, path, value, ...), one after another, whether one is there or not.
+
+    What one pair has put, later pairs of the call may replace, but don't change within.
+    """
     return _set(x, pairs, True, True)
 
 
@@ -300,20 +221,12 @@ def json_replace(x: Column | str, *pairs: str | Column) -> Column:
 def json_remove(x: Column | str, *paths: str) -> Column:
     """Takes out what is at the paths, one after another; removing the root gives null."""
     steps = [path_steps(p) for p in paths]
-
-    def change(doc) -> str | None:
-        for s in steps:
-            if not s:
-                return None
-            _drop(doc, s)
-        return _dump(doc)
-
-    return _edit(change, x)
+    return _each(lambda text: _remove_all(text, steps), x)
 
 
 def json_patch(x: Column | str, patch: Column | str) -> Column:
     """Merge patch: nulls delete, objects merge, anything else replaces."""
-    return _edit(lambda doc, p: None if p is None else _dump(_merge(doc, _load(p))), x, patch)
+    return _each(lambda text, p: None if p is None else merged(text, p), x, patch)
 
 
 # --- rows ------------------------------------------------------------------------------------------------------------
@@ -344,49 +257,37 @@ def json_each(df: DataFrame, x: str, prefix: str = "", path: str = "$") -> DataF
     return rows.withColumns({prefix + k: v for k, v in own.items()}).drop("_doc", "_e")
 
 
-def _kind(v) -> str:
-    if isinstance(v, _Number):
-        return "integer" if v.lstrip("-").isdigit() else "real"
-    return "null" if v is None else "true" if v is True else "false" if v is False else "object" if isinstance(v, _Object) else "array" if isinstance(v, list) else "text"
+class _Each:
+    """Rows of the values in a document's object or array."""
 
+    deep = False
 
-def _find(node, steps: list):
-    for step in steps:
-        if isinstance(node, _Object):
-            at = node.at(step) if isinstance(step, str) else -1
-            node = node[at][1] if at >= 0 else _ABSENT
-        elif isinstance(node, list) and not isinstance(step, str):
-            at = len(node) - step[0] if isinstance(step, tuple) else step
-            node = node[at] if 0 <= at < len(node) else _ABSENT
-        else:
-            return _ABSENT
-    return node
+    def eval(self, text: str | None, root: str | None = "$") -> Iterator[tuple]:
+        if text is not None and root is not None:
+            yield from Document(text).rows(root, self.deep)
 
 
-class _Tree:
-    """Rows of a document's nodes in the order in which they are written."""
+class _Tree(_Each):
+    """Rows of all of a document's values in the order in which they are written."""
+
+    deep = True
+
+
+_ROW = "key string, value string, type string, atom string, id int, parent int, fullkey string, path string"
 
-    def eval(self, text: str | None, root: str | None = "$") -> Iterator[tuple]:
-        if text is None or root is None:
-            return
-        top = _find(_load(text), path_steps(root))
-        stack, n = [] if top is _ABSENT else [(None, top, None, root, root)], 0
-        while stack:
-            key, value, parent, full, path = stack.pop()
-            own, n = n, n + 1
-            kind = _kind(value)
-            shown = _dump(value) if kind in ("array", "object", "real", "integer") else value if kind == "text" else None if kind == "null" else str(int(value))
-            yield key, shown, kind, None if kind in ("array", "object") else shown, own, parent, full, path
-            if kind == "object":
-                below = [(k, v, own, f"{full}.{k}" if re.fullmatch("[A-Za-z][A-Za-z0-9]*", k) else f'{full}."{k}"', full) for k, v in value]
-            else:
-                below = [(str(i), v, own, f"{full}[{i}]", full) for i, v in enumerate(value)] if kind == "array" else []
-            stack.extend(reversed(below))
+
+def json_each_rows() -> UserDefinedTableFunction:
+    """Table function (text[, path]) giving (key, value, type, atom, id, parent, fullkey, path) of the values at a path, to use with LATERAL.
+
+    Unlike the columns of `json_each` it keeps the written order and repeated
+    keys and has ids: the numbers of values and keys as they are written.
+    """
+    return F.udtf(_Each, returnType=_ROW)
 
 
 def json_tree() -> UserDefinedTableFunction:
-    """Table function (text[, path]) giving (key, value, type, atom, id, parent, fullkey, path) of all nodes, to use with LATERAL."""
-    return F.udtf(_Tree, returnType="key string, value string, type string, atom string, id int, parent int, fullkey string, path string")
+    """The same for what is at a path and all values in it."""
+    return F.udtf(_Tree, returnType=_ROW)
 
 
 # --- SQL -------------------------------------------------------------------------------------------------------------
@@ -394,53 +295,87 @@ def json_tree() -> UserDefinedTableFunction:
 
 def _sql_text(value) -> str:
     """A SQL value as JSON text."""
-    if value is None or value is pd.NA or isinstance(value, float) and value != value:
+    if value is None or isinstance(value, float) and value != value:
         return "null"
-    if isinstance(value, str):
-        return _text(value)
+    if isinstance(value, (str, datetime.date)):
+        return quoted(str(value))
     return "true" if value is True else "false" if value is False else str(value)
 
 
-def _sql_edit(create: bool, replace: bool) -> Callable:
-    def run(*series: pd.Series) -> pd.Series:
-        out = []
-        for text, *pairs in zip(*series, strict=True):
-            doc = None if pd.isna(text) else _load(text)
-            for path, value in zip(pairs[::2], pairs[1::2], strict=True) if not pd.isna(text) else ():
-                doc = _put(doc, path_steps(path), _load(_sql_text(value)), create, replace)
-            out.append(None if pd.isna(text) else _dump(doc))
-        return pd.Series(out, dtype=object)
+def _sql_function(change: Callable, kind: pa.DataType = pa.string()) -> Callable:
+    """A function over rows of SQL values as one over Arrow columns; a null document gives null."""
+
+    def run(*arrays: pa.Array) -> pa.Array:
+        return pa.array([change(*row) for row in zip(*[x.to_pylist() for x in arrays], strict=True)], kind)
 
     return run
 
 
-def _sql_remove(*series: pd.Series) -> pd.Series:
-    out = []
-    for text, *paths in zip(*series, strict=True):
-        doc = _ABSENT if pd.isna(text) else _load(text)
-        for path in paths:
-            steps = path_steps(path)
-            if not steps:
-                doc = _ABSENT
-            if doc is not _ABSENT:
-                _drop(doc, steps)
-        out.append(None if doc is _ABSENT else _dump(doc))
-    return pd.Series(out, dtype=object)
+def _sql_edit(create: bool, replace: bool) -> Callable:
+    def change(text: str | None, *pairs) -> str | None:
+        if len(pairs) % 2:
+            raise ValueError("paths and values come in pairs")
+        # A null path or document gives null, as everywhere in SQL; a null value is JSON's.
+        if text is None or None in pairs[::2]:
+            return None
+        return _put_all(text, map(steps_of, pairs[::2]), map(_sql_text, pairs[1::2]), create, replace)
+
+    return change
+
+
+def _sql_extract(text: str | None, *paths: str | None) -> str | None:
+    if text is None or paths == (None,):
+        return None
+    document = Document(text)
+    places = [-1 if p is None else document.find(steps_of(p)) for p in paths]
+    if len(places) == 1:
+        return document.shown(places[0]) if places[0] >= 0 else None
+    return "[" + ",".join(document.text(at) if at >= 0 else "null" for at in places) + "]"
+
 
+def _sql_at(read: Callable) -> Callable:
+    def found(text: str | None, path: str | None = "$"):
+        if text is None or path is None:
+            return None
+        document = Document(text)
+        at = document.find(steps_of(path))
+        return read(document, at) if at >= 0 else None
 
-def _sql_patch(text: pd.Series, patch: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(t) or pd.isna(p) else _dump(_merge(_load(t), _load(p))) for t, p in zip(text, patch, strict=True)], dtype=object)
+    return found
 
 
-def _sql_minify(text: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(t) else _dump(_load(t)) for t in text], dtype=object)
+def _sql_valid(text: str | None) -> int:
+    try:
+        return int(text is not None and bool(Document(text)))
+    except Malformed:
+        return 0
 
 
 def register_json(spark: SparkSession) -> None:
-    """The edits as SQL functions json_minify, json_set, json_insert, json_replace, json_remove and json_patch, and the table function json_tree."""
-    edits = {"json_set": _sql_edit(True, True), "json_insert": _sql_edit(True, False), "json_replace": _sql_edit(False, True), "json_remove": _sql_remove}
-    for name, run in edits.items():
-        spark.udf.register(name, F.pandas_udf(run, "string", F.PandasUDFType.SCALAR))
-    spark.udf.register("json_patch", F.pandas_udf(_sql_patch, "string"))
-    spark.udf.register("json_minify", F.pandas_udf(_sql_minify, "string"))
+    """The functions as SQL has them, with as many arguments as a call gives.
+
+    Reading: json_extract(x, path, ...), json_type(x[, path]), json_array_length(x[, path]), json_valid(x), json_quote(v).
+    Making: json_array(v, ...), json_object(label, v, ...).
+    Editing: json_minify(x), json_set, json_insert and json_replace(x, path, v, ...), json_remove(x, path, ...), json_patch(x, y).
+    Table functions: json_each(x[, path]), json_tree(x[, path]).
+
+    json_array_length takes the place of Spark's own of that name, for the session.
+    """
+
+    def made(*pairs) -> str:
+        if len(pairs) % 2 or not all(isinstance(k, str) for k in pairs[::2]):
+            raise ValueError("json_object() takes labels, which are text, and values in pairs")
+        return "{" + ",".join(f"{quoted(k)}:{_sql_text(v)}" for k, v in zip(pairs[::2], pairs[1::2], strict=True)) + "}"
+
+    whole = pa.int32()
+    functions = {
+        "json_extract": (_sql_extract, pa.string()), "json_type": (_sql_at(Document.kind), pa.string()), "json_array_length": (_sql_at(Document.length), whole),
+        "json_valid": (_sql_valid, whole), "json_quote": (_sql_text, pa.string()), "json_array": (lambda *values: "[" + ",".join(map(_sql_text, values)) + "]", pa.string()), "json_object": (made, pa.string()),
+        "json_minify": (lambda x: None if x is None else _minified(x), pa.string()), "json_patch": (lambda x, p: None if x is None or p is None else merged(x, p), pa.string()),
+        "json_set": (_sql_edit(True, True), pa.string()), "json_insert": (_sql_edit(True, False), pa.string()), "json_replace": (_sql_edit(False, True), pa.string()),
+        "json_remove": (lambda x, *paths: None if x is None or None in paths else _remove_all(x, map(steps_of, paths)), pa.string()),
+    }
+    for name, (change, kind) in functions.items():
+        spark.udf.register(name, F.arrow_udf(_sql_function(change, kind), "int" if kind == whole else "string"))
+    spark.udtf.register("json_each", json_each_rows())
     spark.udtf.register("json_tree", json_tree())

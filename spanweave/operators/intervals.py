@@ -68,6 +68,10 @@ def occupied_levels(indexed: DataFrame) -> DataFrame:
 
 
 def detect_levels(indexed: DataFrame) -> Levels:
+    """The levels in use: as `plans.layout.read_indexed` found them, else by a scan."""
+    known = getattr(indexed, "_levels_in_use", None)
+    if known is not None:
+        return known
     row = occupied_levels(indexed).first()
     return Levels(row["_gri_ceiling"], row["_gri_floor"])
 
@@ -99,7 +103,8 @@ def lookup(indexed: DataFrame, qrid, qbeg, qend, ceiling: int | None = None, flo
     """The rows of `indexed` that overlap one range.
 
     Without a ceiling the levels in use are looked up first, so the predicate
-    names no more levels than occur.
+    names no more levels than occur; a table of `plans.layout.read_indexed`
+    knows them without a job.
     """
     if ceiling is None or ceiling < 0:
         used = detect_levels(indexed)

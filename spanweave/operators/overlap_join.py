@@ -131,18 +131,3 @@ def _binned(queries: DataFrame, features: DataFrame, feature_levels: list[int],
 def _rename(x: Column | str, taken: set[str], suffix: str) -> Column | str:
     """A plain column name follows its renaming; expressions must use the new names."""
     return x + suffix if isinstance(x, str) and x in taken else x
-
-
-def overlap_counts(queries: DataFrame, features: DataFrame, key: Sequence[str], count: str = "n_overlaps", **args) -> DataFrame:
-    """Rows (key, count): how many features each range overlaps, 0 included.
-
-    Only the overlaps themselves are joined; ranges without one come back in
-    the sum, so no range is shuffled but by its key.
-    """
-    pairs = range_join(queries, features.withColumn("_hit", F.lit(1)), how="inner", **args).select(*key, F.lit(1).alias("_hit"))
-    return queries.select(*key, F.lit(0).alias("_hit")).unionByName(pairs).groupBy(*key).agg(F.sum("_hit").cast("long").alias(count))
-
-
-def overlap_histogram(queries: DataFrame, features: DataFrame, key: Sequence[str], **args) -> DataFrame:
-    """Rows (n_overlaps, n_queries)."""
-    return overlap_counts(queries, features, key, **args).groupBy("n_overlaps").agg(F.count(F.lit(1)).alias("n_queries"))

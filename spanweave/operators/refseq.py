@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from importlib import resources
 from typing import NamedTuple
 
@@ -37,12 +38,19 @@ def _printable(x: str | None) -> str | None:
     return x or None
 
 
+def put_sequences(refseqs: DataFrame, sequences: Iterable[RefSeq]) -> DataFrame:
+    """`refseqs` with further sequences, checked together; a negative rid takes the next free one, from 1."""
+    last, rows = refseqs.agg(F.max("_gri_rid")).first()[0] or 0, []
+    for x in sequences:
+        rid = last + 1 if x.rid < 0 else x.rid
+        last = max(last, rid)
+        rows.append((rid, _printable(x.name), _printable(x.assembly), _printable(x.refget_id), x.length, json.dumps(x.meta or {}, separators=(",", ":"))))
+    return checked(refseqs.unionByName(refseqs.sparkSession.createDataFrame(rows, SCHEMA)))
+
+
 def put_sequence(refseqs: DataFrame, name: str, length: int, assembly: str | None = None, refget_id: str | None = None, meta: dict | None = None, rid: int = -1) -> DataFrame:
-    """`refseqs` with one sequence more; a negative rid takes the next free one, from 1."""
-    if rid < 0:
-        rid = (refseqs.agg(F.max("_gri_rid")).first()[0] or 0) + 1
-    row = (rid, _printable(name), _printable(assembly), _printable(refget_id), length, json.dumps(meta or {}, separators=(",", ":")))
-    return checked(refseqs.unionByName(refseqs.sparkSession.createDataFrame([row], SCHEMA)))
+    """`refseqs` with one sequence more."""
+    return put_sequences(refseqs, [RefSeq(rid, name, length, assembly, refget_id, meta or {})])
 
 
 def put_assembly(refseqs: DataFrame, assembly: str = "GRCh38_no_alt_analysis_set") -> DataFrame:

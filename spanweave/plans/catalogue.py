@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from ..functions import json_docs, natural_order, nucleotides, range_text
 from ..operators import intervals as iv
 from ..operators import overlap_join as oj
+from ..operators import overlap_sums as os_
 from ..operators import refseq
 from ..sources.bed import read_bed
 from ..sources.sam import read_sam
 from ..sources.vcf import read_vcf, read_vcf_lines
 from . import layout
 from .staging import shared_dir
+from .tiles import tiled_join, write_tiled
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -31,8 +33,7 @@ _FEATURES = {
     "short": "SELECT l_returnflag AS rid, {day} AS beg, {day} + CAST(l_quantity AS BIGINT) AS stop, l_orderkey, l_linenumber, l_suppkey FROM lineitem",
     "medium": "SELECT l_linestatus AS rid, {day} AS beg, {day} + l_partkey AS stop, l_orderkey, l_linenumber FROM lineitem",
     "long": "SELECT CAST(o_custkey % 24 AS BIGINT) AS rid, o_orderkey * 100 AS beg, o_orderkey * 100 + CAST(floor(o_totalprice) AS BIGINT) AS stop, o_orderkey FROM orders",
-    "sparse": "SELECT CAST(o_custkey % 24 AS BIGINT) AS rid, o_orderkey * 100 AS beg, o_orderkey * 100 + o_custkey AS stop, o_orderkey FROM orders WHERE o_orderkey % 7 = 0",
-    "thin": "SELECT CAST(o_custkey % 24 AS BIGINT) AS rid, o_orderkey * 100 AS beg, o_orderkey * 100 + o_custkey AS stop, o_orderkey FROM orders",
+    "sparse": "SELECT CAST(o_custkey % 24 AS BIGINT) AS rid, o_orderkey * 100 AS beg, o_orderkey * 100 + o_custkey AS stop, o_orderkey FROM orders",
     "points": "SELECT CAST(user_id % 24 AS BIGINT) AS rid, event_id * 150 AS beg, event_id * 150 AS stop, event_id FROM events",
     "windows": "SELECT CASE n_nationkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS rid, CAST(9200 + n_nationkey * 97 AS BIGINT) AS beg, CAST(9200 + n_nationkey * 97 + n_nationkey * 2 AS BIGINT) AS stop, CAST(n_nationkey AS BIGINT) AS window_id FROM nation",
 }
@@ -55,9 +56,7 @@ def _features(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived feature table, projected from its source (no view is left behind)."""
     text = _FEATURES[name].format(day=_DAY["spark"])
     columns, source = text.removeprefix("SELECT ").split(" FROM ")
-    source, _, where = source.partition(" WHERE ")
-    df = _table(spark, sf_dir, source)
-    return (df.filter(where) if where else df).selectExpr(*_split(columns))
+    return _table(spark, sf_dir, source).selectExpr(*_split(columns))
 
 
 def _split(columns: str) -> list[str]:
@@ -74,11 +73,14 @@ def _indexed(spark: SparkSession, sf_dir: str, name: str, floor: int | None = No
     return iv.with_range_columns(_features(spark, sf_dir, name), "rid", "beg", "stop", floor)
 
 
-def _query(sql: str | None, *features: str):
+def _query(sql: str | None, *features: str, also: str | None = None):
+    """Registers a query with its SQL; `also` is a second name, under which it ran over whole inputs before its own did."""
+
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = _with(sql, *features) if features else sql
+        for name in filter(None, (f.__name__, also)):
+            _QUERIES[name] = f
+            if sql:
+                _SQL[name] = _with(sql, *features) if features else sql
         return f
 
     return add
@@ -215,10 +217,46 @@ def gri_first_rowid_scan(spark, sf_dir):
 
 @_query("SELECT p.rid, count(*) AS n, CAST(sum(l.o_orderkey) AS BIGINT) AS keys FROM points p JOIN long l ON p.rid = l.rid AND l.beg <= p.stop AND l.stop >= p.beg GROUP BY p.rid", "points", "long")
 def range_join_count(spark, sf_dir):
+    """No pair is listed: counts and sums of keys are running sums."""
+    sums = os_.overlap_sums(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "long"), ["rid", "event_id"], {"keys": "o_orderkey"}, count="n", **_RANGE_ARGS)
+    return sums.filter("n > 0").groupBy("rid").agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"))
+
+
+@_query("SELECT p.rid, count(*) AS n, CAST(sum(l.o_orderkey) AS BIGINT) AS keys FROM points p JOIN long l ON p.rid = l.rid AND l.beg <= p.stop AND l.stop >= p.beg GROUP BY p.rid", "points", "long")
+def range_join_bins(spark, sf_dir):
+    """The same by a join on bins, pair by pair."""
     pairs = oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "long"), strategy="bins", **_RANGE_ARGS)
     return pairs.groupBy("rid").agg(_count(), F.sum("o_orderkey").alias("keys"))
 
 
+@_query("SELECT a.o_orderkey, count(*) AS n_overlaps, CAST(sum(least(a.stop, b.stop) - greatest(a.beg, b.beg)) AS BIGINT) AS shared FROM long a JOIN long b ON a.rid = b.rid AND b.beg <= a.stop AND b.stop >= a.beg GROUP BY 1", "long")
+def range_shared_lengths(spark, sf_dir):
+    """How much each order shares with all others and itself, without a pair."""
+    df = _features(spark, sf_dir, "long")
+    return os_.shared_lengths(df, df, ["o_orderkey"], **_RANGE_ARGS)
+
+
+def _tiled(spark: SparkSession, sf_dir: str, *names: str) -> list[str]:
+    """Derived features as tables in the tiles of the last of them; names and places are drawn, so runs don't meet."""
+    tag, tiles, tables = uuid.uuid4().hex, None, []
+    for name in reversed(names):
+        tables.insert(0, f"tiled_{name}_{tag}")
+        tiles = write_tiled(_features(spark, sf_dir, name), tables[0], f"{shared_dir(spark)}/{tables[0]}", ("rid", "beg", "stop"), tiles)
+    return tables
+
+
+@_query("SELECT p.rid, count(*) AS n, CAST(sum(l.o_orderkey) AS BIGINT) AS keys FROM points p JOIN long l ON p.rid = l.rid AND l.beg <= p.stop AND l.stop >= p.beg GROUP BY p.rid", "points", "long")
+def range_join_tiled(spark, sf_dir):
+    """Two tables of the same tiles, joined without a shuffle of either."""
+    return tiled_join(spark, *_tiled(spark, sf_dir, "points", "long")).groupBy("rid").agg(_count(), F.sum("o_orderkey").alias("keys"))
+
+
+@_query("SELECT a.o_orderkey, count(*) AS n FROM long a JOIN long b ON a.rid = b.rid AND b.beg <= a.stop AND b.stop >= a.beg AND a.o_orderkey <> b.o_orderkey GROUP BY 1", "long")
+def range_self_join_tiled(spark, sf_dir):
+    (table,) = _tiled(spark, sf_dir, "long")
+    return tiled_join(spark, table, table, "o_orderkey <> o_orderkey_f").groupBy("o_orderkey").agg(_count())
+
+
 @_query(
     f"SELECT {_level_sql('a.stop - a.beg')} AS lvl, count(*) AS n, CAST(sum(least(a.stop, b.stop) - greatest(a.beg, b.beg)) AS BIGINT) AS overlap FROM long a JOIN long b ON a.rid = b.rid AND b.beg <= a.stop AND b.stop >= a.beg GROUP BY 1",
     "long",
@@ -236,61 +274,35 @@ def range_join_broadcast(spark, sf_dir):
     return pairs.groupBy("window_id").agg(_count(), F.sum("l_orderkey").alias("keys"))
 
 
-@_query("SELECT p.event_id, s.o_orderkey FROM points p LEFT JOIN sparse s ON p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg", "points", "sparse")
+@_query("SELECT p.event_id, s.o_orderkey FROM points p LEFT JOIN sparse s ON p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg", "points", "sparse", also="range_left_join_whole")
 def range_left_join(spark, sf_dir):
     pairs = oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "sparse"), how="left", strategy="bins", **_RANGE_ARGS)
     return pairs.select("event_id", "o_orderkey")
 
 
-@_query("SELECT a.o_orderkey, count(b.o_orderkey) AS n FROM sparse a LEFT JOIN sparse b ON a.rid = b.rid AND b.beg <= a.stop AND b.stop >= a.beg AND a.o_orderkey <> b.o_orderkey GROUP BY 1", "sparse")
+@_query("SELECT a.o_orderkey, count(b.o_orderkey) AS n FROM sparse a LEFT JOIN sparse b ON a.rid = b.rid AND b.beg <= a.stop AND b.stop >= a.beg AND a.o_orderkey <> b.o_orderkey GROUP BY 1", "sparse", also="range_self_join_whole")
 def range_self_join_residual(spark, sf_dir):
     df = _features(spark, sf_dir, "sparse")
     pairs = oj.range_join(df, df, how="left", residual="o_orderkey <> o_orderkey_f", strategy="bins", **_RANGE_ARGS)
     return pairs.groupBy("o_orderkey").agg(F.count("o_orderkey_f").alias("n"))
 
 
-@_query("SELECT event_id FROM points p WHERE EXISTS (SELECT 1 FROM sparse s WHERE p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg)", "points", "sparse")
+@_query("SELECT event_id FROM points p WHERE EXISTS (SELECT 1 FROM sparse s WHERE p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg)", "points", "sparse", also="range_semi_whole")
 def range_semi(spark, sf_dir):
     return oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "sparse"), how="left_semi", strategy="bins", **_RANGE_ARGS).select("event_id")
 
 
-@_query("SELECT event_id FROM points p WHERE NOT EXISTS (SELECT 1 FROM sparse s WHERE p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg)", "points", "sparse")
+@_query("SELECT event_id FROM points p WHERE NOT EXISTS (SELECT 1 FROM sparse s WHERE p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg)", "points", "sparse", also="range_anti_whole")
 def range_anti(spark, sf_dir):
     return oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "sparse"), how="left_anti", strategy="bins", **_RANGE_ARGS).select("event_id")
 
 
-# The four kinds over all orders; the queries on `sparse` above take a seventh of them.
-
-
-@_query("SELECT p.event_id, s.o_orderkey FROM points p LEFT JOIN thin s ON p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg", "points", "thin")
-def range_left_join_whole(spark, sf_dir):
-    pairs = oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "thin"), how="left", strategy="bins", **_RANGE_ARGS)
-    return pairs.select("event_id", "o_orderkey")
-
-
-@_query("SELECT a.o_orderkey, count(b.o_orderkey) AS n FROM thin a LEFT JOIN thin b ON a.rid = b.rid AND b.beg <= a.stop AND b.stop >= a.beg AND a.o_orderkey <> b.o_orderkey GROUP BY 1", "thin")
-def range_self_join_whole(spark, sf_dir):
-    df = _features(spark, sf_dir, "thin")
-    pairs = oj.range_join(df, df, how="left", residual="o_orderkey <> o_orderkey_f", strategy="bins", **_RANGE_ARGS)
-    return pairs.groupBy("o_orderkey").agg(F.count("o_orderkey_f").alias("n"))
-
-
-@_query("SELECT event_id FROM points p WHERE EXISTS (SELECT 1 FROM thin s WHERE p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg)", "points", "thin")
-def range_semi_whole(spark, sf_dir):
-    return oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "thin"), how="left_semi", strategy="bins", **_RANGE_ARGS).select("event_id")
-
-
-@_query("SELECT event_id FROM points p WHERE NOT EXISTS (SELECT 1 FROM thin s WHERE p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg)", "points", "thin")
-def range_anti_whole(spark, sf_dir):
-    return oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "thin"), how="left_anti", strategy="bins", **_RANGE_ARGS).select("event_id")
-
-
 @_query(
     "SELECT n_overlaps, count(*) AS n_queries FROM (SELECT p.event_id, count(s.o_orderkey) AS n_overlaps FROM points p LEFT JOIN long s ON p.rid = s.rid AND s.beg <= p.stop AND s.stop >= p.beg GROUP BY 1) GROUP BY 1",
     "points", "long",
 )
 def range_hist(spark, sf_dir):
-    return oj.overlap_histogram(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "long"), ["event_id"], strategy="bins", **_RANGE_ARGS)
+    return os_.overlap_histogram(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "long"), ["event_id"], **_RANGE_ARGS)
 
 
 @_query("SELECT w.window_id, count(s.o_orderkey) AS n FROM (SELECT window_id, window_id % 24 AS rid, window_id * 5000 AS b FROM windows) w LEFT JOIN long s ON w.rid = s.rid AND s.beg <= w.b + 20000 AND s.stop >= w.b GROUP BY 1", "windows", "long")
@@ -304,10 +316,10 @@ def range_lateral_tvf(spark, sf_dir):
     )
 
 
-@_query("SELECT p.rid, count(*) AS n, CAST(sum(l.o_orderkey) AS BIGINT) AS keys FROM points p JOIN thin l ON p.rid = l.rid AND l.beg <= p.stop AND l.stop >= p.beg GROUP BY p.rid", "points", "thin")
+@_query("SELECT p.rid, count(*) AS n, CAST(sum(l.o_orderkey) AS BIGINT) AS keys FROM points p JOIN sparse l ON p.rid = l.rid AND l.beg <= p.stop AND l.stop >= p.beg GROUP BY p.rid", "points", "sparse")
 def range_join_auto(spark, sf_dir):
     """The way that the sizes call for, as users get it."""
-    pairs = oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "thin"), **_RANGE_ARGS)
+    pairs = oj.range_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "sparse"), **_RANGE_ARGS)
     return pairs.groupBy("rid").agg(_count(), F.sum("o_orderkey").alias("keys"))
 
 
@@ -319,6 +331,17 @@ def gri_indexed_layout(spark, sf_dir):
     return iv.lookup(layout.read_indexed(spark, path), 5, 500_000, 600_000).select("o_orderkey", "beg", "stop")
 
 
+@_query(f"SELECT max({_level_sql('stop - beg')}) AS ceiling, min({_level_sql('stop - beg')}) AS floor, count(*) FILTER (rid = 'O' AND beg <= 10000 AND stop >= 9900) AS n FROM medium", "medium")
+def gri_levels_of_layout(spark, sf_dir):
+    """Levels told by the partitions of a table, also of rows appended later, and a lookup by them."""
+    path, features = f"{shared_dir(spark)}/indexed-{uuid.uuid4().hex}", _indexed(spark, sf_dir, "medium")
+    layout.write_indexed(features.filter(F.col(iv.LVL) > -2), path)
+    layout.write_indexed(features.filter(~(F.col(iv.LVL) > -2)), path, mode="append")
+    table = layout.read_indexed(spark, path)
+    levels = iv.detect_levels(table)
+    return iv.lookup(table, "O", 9900, 10000).agg(F.lit(levels.ceiling).alias("ceiling"), F.lit(levels.floor).alias("floor"), _count())
+
+
 # --- text sources ----------------------------------------------------------------------------------------------------
 
 
@@ -400,24 +423,17 @@ def json_paths_mixed(spark, sf_dir):
 # --- reference sequences ---------------------------------------------------------------------------------------------
 
 
-@_query("SELECT 195 AS n, 17 AS chr17, 83257441 AS chr17_length, 196 AS next_rid, 3 AS chr3")
+@_query("SELECT k AS _gri_rid, 'cust' || k AS gri_refseq_name, CAST(max(o_totalprice) AS BIGINT) + 1000 AS gri_refseq_length FROM (SELECT 1 + o_custkey % 24 AS k, floor(o_totalprice) AS o_totalprice FROM orders) GROUP BY k UNION ALL SELECT 25, 'extra', 1000")
 def refseq_put_get(spark, sf_dir):
-    table = refseq.put_sequence(refseq.put_assembly(refseq.empty(spark)), "extra", 1000)
-    own = table.filter("gri_assembly is not null")
-    pick = lambda name, column: F.max(F.when(F.col("gri_refseq_name") == name, F.col(column)))
-    counts = own.agg(F.count(F.lit(1)).cast("int").alias("n"), pick("chr17", "_gri_rid").cast("int").alias("chr17"), pick("chr17", "gri_refseq_length").cast("int").alias("chr17_length"), pick("chr3", "_gri_rid").cast("int").alias("chr3"))
-    return counts.crossJoin(F.broadcast(table.filter("gri_refseq_name = 'extra'").select(F.col("_gri_rid").cast("int").alias("next_rid")))).select("n", "chr17", "chr17_length", "next_rid", "chr3")  # one row each
+    """Sequences put by name and length, ids as they come, and got by id."""
+    lengths = _table(spark, sf_dir, "orders").groupBy((1 + F.col("o_custkey") % 24).alias("k")).agg((F.max(F.floor("o_totalprice")).cast("long") + 1000).alias("length"))
+    given = [refseq.RefSeq(-1, f"cust{r['k']}", r["length"], None, None, {}) for r in lengths.orderBy("k").collect()]  # 24 rows
+    table = refseq.put_sequence(refseq.put_sequences(refseq.empty(spark), given), "extra", 1000)
+    return table.select(F.col("_gri_rid").cast("long"), "gri_refseq_name", F.col("gri_refseq_length").cast("long"))
 
 
-@_query("SELECT 'chr' || k AS gri_refseq_name, count(*) AS n FROM (SELECT n_nationkey AS k FROM nation JOIN customer ON c_nationkey = n_nationkey) WHERE k BETWEEN 1 AND 22 GROUP BY 1")
+@_query("SELECT CASE k WHEN 23 THEN 'chrX' WHEN 24 THEN 'chrY' ELSE 'chr' || k END AS gri_refseq_name, count(*) AS n FROM (SELECT n_nationkey AS k FROM nation JOIN customer ON c_nationkey = n_nationkey) WHERE k >= 1 GROUP BY 1", also="refseq_join_name_whole")
 def refseq_join_name(spark, sf_dir):
-    table = refseq.put_assembly(refseq.empty(spark))
-    rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("_gri_rid"))
-    return refseq.with_names(rows, table).filter("_gri_rid <= 22").groupBy("gri_refseq_name").agg(_count())
-
-
-@_query("SELECT CASE k WHEN 23 THEN 'chrX' WHEN 24 THEN 'chrY' ELSE 'chr' || k END AS gri_refseq_name, count(*) AS n FROM (SELECT n_nationkey AS k FROM nation JOIN customer ON c_nationkey = n_nationkey) WHERE k >= 1 GROUP BY 1")
-def refseq_join_name_whole(spark, sf_dir):
     """Nation key 0 names no sequence."""
     table = refseq.put_assembly(refseq.empty(spark))
     rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("_gri_rid"))
@@ -433,102 +449,58 @@ def refseq_join_rid(spark, sf_dir):
 
 # --- nucleotides, range text, natural order --------------------------------------------------------------------------
 
-_DNA_SQL = "translate(md5(coalesce(text, '')), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+# Every letter of a text gives a nucleotide, all else goes.
+_LETTERS, _AS_DNA = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGT" * 13
+_DNA_CTE = f"WITH d AS (SELECT doc_id, translate(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'), '{_LETTERS}', '{_AS_DNA}') AS dna FROM documents) "
 
 
 def _dna(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thirty-two nucleotides for each document, cut to 1 to 32 of them by doc_id."""
-    text = F.translate(F.md5(F.coalesce("text", F.lit("")).cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
-    df = _table(spark, sf_dir, "documents").select("doc_id", text.alias("dna"))
-    return df.withColumn("dna", F.substr("dna", F.lit(1), (1 + F.col("doc_id") % 32).cast("int")))
-
-
-_DNA_CTE = f"WITH d AS (SELECT doc_id, substr({_DNA_SQL}, 1, (1 + doc_id % 32)::INTEGER) AS dna FROM documents) "
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", "")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.translate(letters, _LETTERS, _AS_DNA).alias("dna"))
 
 
-@_query(_DNA_CTE + "SELECT doc_id, translate(reverse(dna), 'ACGT', 'TGCA') AS rc FROM d")
+@_query(_DNA_CTE + "SELECT doc_id, translate(reverse(dna), 'ACGT', 'TGCA') AS rc FROM d", also="dna_revcomp_whole")
 def dna_revcomp(spark, sf_dir):
     return _dna(spark, sf_dir).select("doc_id", nucleotides.dna_revcomp("dna").alias("rc"))
 
 
-@_query("SELECT n_nationkey, 'chr' || n_nationkey AS sequence, CAST(1000 + n_nationkey * 1000 - 1 AS BIGINT) AS beg, CAST(1234567 + n_nationkey AS BIGINT) AS stop FROM nation")
+@_query("SELECT o_orderkey, 'c' || o_custkey % 24 AS sequence, CAST(o_orderkey * 1000 - 1 AS BIGINT) AS beg, CAST(o_orderkey * 1000 + o_custkey AS BIGINT) AS stop FROM orders WHERE o_orderkey > 0")
 def parse_range_parts(spark, sf_dir):
-    nation = _table(spark, sf_dir, "nation")
-    text = F.concat(F.lit("chr"), "n_nationkey", F.lit(":"), F.format_number(1000 + F.col("n_nationkey") * 1000, 0), F.lit("-"), F.format_number(1234567 + F.col("n_nationkey"), 0))
-    parts = nation.select("n_nationkey", range_text.parse_range(text).alias("r"))
-    return parts.select("n_nationkey", F.col("r.sequence").alias("sequence"), F.col("r.begin").alias("beg"), F.col("r.end").alias("stop"))
+    orders = _table(spark, sf_dir, "orders").filter("o_orderkey > 0")  # positions count from 1
+    text = F.concat(F.lit("c"), F.col("o_custkey") % 24, F.lit(":"), F.format_number(F.col("o_orderkey") * 1000, 0), F.lit("-"), F.format_number(F.col("o_orderkey") * 1000 + F.col("o_custkey"), 0))
+    parts = orders.select("o_orderkey", range_text.parse_range(text).alias("r"))
+    return parts.select("o_orderkey", F.col("r.sequence").alias("sequence"), F.col("r.begin").alias("beg"), F.col("r.end").alias("stop"))
 
 
-@_query(_DNA_CTE + "SELECT doc_id, CASE WHEN length(dna) = 1 THEN 1 ELSE (length(dna) + 3) // 4 + 1 END::INTEGER AS bytes, length(dna)::INTEGER AS nucleotides FROM d")
+@_query(_DNA_CTE + "SELECT doc_id, CASE length(dna) WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE (length(dna) + 3) // 4 + 1 END::INTEGER AS bytes, length(dna)::INTEGER AS nucleotides FROM d", also="twobit_size_whole")
 def twobit_size(spark, sf_dir):
     coded = _dna(spark, sf_dir).select("doc_id", nucleotides.nucleotides_twobit("dna").alias("x"))
     return coded.select("doc_id", F.octet_length("x.bits").alias("bytes"), nucleotides.twobit_length("x").alias("nucleotides"))
 
 
-@_query(_DNA_CTE + "SELECT doc_id, dna FROM d")
+@_query(_DNA_CTE + "SELECT doc_id, dna FROM d", also="twobit_roundtrip_dna_whole")
 def twobit_roundtrip_dna(spark, sf_dir):
     return _dna(spark, sf_dir).select("doc_id", nucleotides.twobit_dna(nucleotides.nucleotides_twobit(F.lower("dna"))).alias("dna"))
 
 
-@_query(_DNA_CTE + "SELECT doc_id, replace(dna, 'T', 'U') AS rna FROM d")
+@_query(_DNA_CTE + "SELECT doc_id, replace(dna, 'T', 'U') AS rna FROM d", also="twobit_roundtrip_rna_whole")
 def twobit_roundtrip_rna(spark, sf_dir):
     return _dna(spark, sf_dir).select("doc_id", nucleotides.twobit_rna(nucleotides.nucleotides_twobit("dna")).alias("rna"))
 
 
-_SLICE = """, p AS (SELECT doc_id, dna, length(dna) AS n, (doc_id % 19 - 9)::INTEGER AS y, (doc_id % 17 - 8)::INTEGER AS z FROM d),
+#: Starts and counts anywhere in the text, from both ends.
+_ANYWHERE = ("doc_id * 7919 % (2 * length(dna) + 1) - length(dna)", "doc_id * 104729 % (2 * length(dna) + 1) - length(dna)")
+_SLICE = f""", p AS (SELECT doc_id, dna, length(dna) AS n, ({_ANYWHERE[0]})::INTEGER AS y, ({_ANYWHERE[1]})::INTEGER AS z FROM d),
 o AS (SELECT *, CASE WHEN y > 0 THEN y - 1 WHEN y < 0 THEN greatest(0, y + n) ELSE 0 END AS ofs FROM p),
 c AS (SELECT *, CASE WHEN z < 0 THEN ofs - least(ofs, -z) ELSE ofs END AS start,
   CASE WHEN z < 0 THEN least(ofs, -z) ELSE greatest(0, z - CASE WHEN y = 0 THEN 1 WHEN y < 0 AND -y > n THEN -y - n ELSE 0 END) END AS k FROM o)
 SELECT doc_id, substr(dna, (start + 1)::INTEGER, k::INTEGER) AS part FROM c"""
 
 
-@_query(_DNA_CTE.rstrip() + _SLICE)
+@_query(_DNA_CTE.rstrip() + _SLICE, also="twobit_substr_whole")
 def twobit_substr(spark, sf_dir):
-    coded = _dna(spark, sf_dir).select("doc_id", nucleotides.nucleotides_twobit("dna").alias("x"))
-    y, z = (F.col("doc_id") % 19 - 9).cast("int"), (F.col("doc_id") % 17 - 8).cast("int")
-    return coded.select("doc_id", nucleotides.twobit_dna("x", y, z).alias("part"))
-
-
-# Whole texts: every letter gives a nucleotide, all else goes.
-_LETTERS, _AS_DNA = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGT" * 13
-_WHOLE_DNA_CTE = f"WITH d AS (SELECT doc_id, translate(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'), '{_LETTERS}', '{_AS_DNA}') AS dna FROM documents) "
-
-
-def _whole_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", "")
-    return _table(spark, sf_dir, "documents").select("doc_id", F.translate(letters, _LETTERS, _AS_DNA).alias("dna"))
-
-
-@_query(_WHOLE_DNA_CTE + "SELECT doc_id, translate(reverse(dna), 'ACGT', 'TGCA') AS rc FROM d")
-def dna_revcomp_whole(spark, sf_dir):
-    return _whole_dna(spark, sf_dir).select("doc_id", nucleotides.dna_revcomp("dna").alias("rc"))
-
-
-@_query(_WHOLE_DNA_CTE + "SELECT doc_id, CASE length(dna) WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE (length(dna) + 3) // 4 + 1 END::INTEGER AS bytes, length(dna)::INTEGER AS nucleotides FROM d")
-def twobit_size_whole(spark, sf_dir):
-    coded = _whole_dna(spark, sf_dir).select("doc_id", nucleotides.nucleotides_twobit("dna").alias("x"))
-    return coded.select("doc_id", F.octet_length("x.bits").alias("bytes"), nucleotides.twobit_length("x").alias("nucleotides"))
-
-
-@_query(_WHOLE_DNA_CTE + "SELECT doc_id, dna FROM d")
-def twobit_roundtrip_dna_whole(spark, sf_dir):
-    return _whole_dna(spark, sf_dir).select("doc_id", nucleotides.twobit_dna(nucleotides.nucleotides_twobit(F.lower("dna"))).alias("dna"))
-
-
-@_query(_WHOLE_DNA_CTE + "SELECT doc_id, replace(dna, 'T', 'U') AS rna FROM d")
-def twobit_roundtrip_rna_whole(spark, sf_dir):
-    return _whole_dna(spark, sf_dir).select("doc_id", nucleotides.twobit_rna(nucleotides.nucleotides_twobit("dna")).alias("rna"))
-
-
-#: Starts and counts anywhere in the text, from both ends.
-_ANYWHERE = ("doc_id * 7919 % (2 * length(dna) + 1) - length(dna)", "doc_id * 104729 % (2 * length(dna) + 1) - length(dna)")
-_SLICE_WHOLE = _SLICE.replace("doc_id % 19 - 9", _ANYWHERE[0]).replace("doc_id % 17 - 8", _ANYWHERE[1])
-
-
-@_query(_WHOLE_DNA_CTE.rstrip() + _SLICE_WHOLE)
-def twobit_substr_whole(spark, sf_dir):
     y, z = (F.expr(x).cast("int") for x in _ANYWHERE)
-    coded = _whole_dna(spark, sf_dir).select("doc_id", y.alias("y"), z.alias("z"), nucleotides.nucleotides_twobit("dna").alias("x"))
+    coded = _dna(spark, sf_dir).select("doc_id", y.alias("y"), z.alias("z"), nucleotides.nucleotides_twobit("dna").alias("x"))
     return coded.select("doc_id", nucleotides.twobit_dna("x", F.col("y"), F.col("z")).alias("part"))
 
 
@@ -538,9 +510,9 @@ def twobit_passthrough(spark, sf_dir):
     return coded.select("p_partkey", nucleotides.twobit_dna("x").alias("kept"), F.col("x.bits").isNotNull().alias("coded"))
 
 
-@_query("SELECT 'chr' || n_nationkey AS name, CAST(row_number() OVER (ORDER BY n_nationkey) AS INTEGER) AS place FROM nation")
+@_query("SELECT 'c' || o_custkey % 24 || 'n' || o_orderkey AS name, CAST(row_number() OVER (ORDER BY o_custkey % 24, o_orderkey) AS INTEGER) AS place FROM orders")
 def uint_sort_rank(spark, sf_dir):
-    names = _table(spark, sf_dir, "nation").select(F.concat(F.lit("chr"), "n_nationkey").alias("name"))
+    names = _table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey") % 24, F.lit("n"), "o_orderkey").alias("name"))
     ranked = layout.with_rowids(names.withColumn("key", natural_order.natural_key("name")), "key", name="place")
     return ranked.select("name", F.col("place").cast("int"))
 
@@ -554,22 +526,22 @@ def json_extract_agg(spark, sf_dir):
     return events.groupBy("event_type").agg(_count(), F.sum("k").alias("total"))
 
 
-@_query("SELECT n_nationkey, '[' || n_nationkey || ',' || n_regionkey || ']' AS pair FROM nation")
+@_query("SELECT event_id, '[' || event_id || ',' || user_id || ']' AS pair FROM events")
 def json_extract_paths(spark, sf_dir):
-    doc = F.to_json(F.struct("n_nationkey", F.array("n_regionkey").alias("r")))
-    return _table(spark, sf_dir, "nation").select("n_nationkey", json_docs.json_extract(doc, "$.n_nationkey", "$.r[0]").alias("pair"))
+    doc = F.to_json(F.struct("event_id", F.array("user_id").alias("r")))
+    return _table(spark, sf_dir, "events").select("event_id", json_docs.json_extract(doc, "$.event_id", "$.r[0]").alias("pair"))
 
 
-@_query("SELECT n_nationkey, 3 AS whole, 0 AS object, -1 AS absent FROM nation")
+@_query("SELECT event_id, (event_id % 7)::INTEGER AS whole, 0 AS object, -1 AS absent FROM events")
 def json_array_length(spark, sf_dir):
-    doc = F.to_json(F.struct(F.array("n_nationkey", "n_regionkey", F.lit(7)).alias("a"), F.struct("n_name").alias("o")))
-    return _table(spark, sf_dir, "nation").select("n_nationkey", json_docs.json_array_length(doc, "$.a").alias("whole"), json_docs.json_array_length(doc, "$.o").alias("object"), F.coalesce(json_docs.json_array_length(doc, "$.x"), F.lit(-1)).alias("absent"))
+    doc = F.to_json(F.struct(F.array_repeat("user_id", (F.col("event_id") % 7).cast("int")).alias("a"), F.struct("event_type").alias("o")))
+    return _table(spark, sf_dir, "events").select("event_id", json_docs.json_array_length(doc, "$.a").alias("whole"), json_docs.json_array_length(doc, "$.o").alias("object"), F.coalesce(json_docs.json_array_length(doc, "$.x"), F.lit(-1)).alias("absent"))
 
 
-@_query("SELECT n_nationkey, 'object' AS root, 'integer' AS i, 'text' AS s, 'real' AS r, 'true' AS t, 'array' AS a FROM nation")
+@_query("SELECT event_id, 'object' AS root, 'integer' AS i, 'text' AS s, 'real' AS r, CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS t, 'array' AS a FROM events")
 def json_type(spark, sf_dir):
-    doc = F.to_json(F.struct(F.col("n_nationkey").alias("i"), F.col("n_name").alias("s"), F.lit(2.5).alias("r"), F.lit(True).alias("t"), F.array("n_regionkey").alias("a")))
-    return _table(spark, sf_dir, "nation").select("n_nationkey", json_docs.json_type(doc).alias("root"), *[json_docs.json_type(doc, f"$.{k}").alias(k) for k in "isrta"])
+    doc = F.to_json(F.struct(F.col("event_id").alias("i"), F.col("event_type").alias("s"), (F.col("user_id") + 0.5).alias("r"), (F.col("event_id") % 2 == 0).alias("t"), F.array("user_id").alias("a")))
+    return _table(spark, sf_dir, "events").select("event_id", json_docs.json_type(doc).alias("root"), *[json_docs.json_type(doc, f"$.{k}").alias(k) for k in "isrta"])
 
 
 @_query("SELECT event_id % 5 AS g, count(*) AS n, CAST(sum(CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS valid FROM events GROUP BY 1")
@@ -579,31 +551,38 @@ def json_valid(spark, sf_dir):
     return events.groupBy("g").agg(_count(), F.sum(json_docs.json_valid(text)).alias("valid"))
 
 
-@_query("""SELECT n_nationkey, '{"key":' || n_nationkey || ',"name":"' || n_name || '","none":null}' AS doc FROM nation""")
+@_query("""SELECT event_id, '{"key":' || event_id || ',"name":"' || event_type || '","none":null}' AS doc FROM events""")
 def json_object_build(spark, sf_dir):
-    return _table(spark, sf_dir, "nation").select("n_nationkey", json_docs.json_object(("key", "n_nationkey"), ("name", "n_name"), ("none", F.lit(None).cast("int"))).alias("doc"))
+    return _table(spark, sf_dir, "events").select("event_id", json_docs.json_object(("key", "event_id"), ("name", "event_type"), ("none", F.lit(None).cast("int"))).alias("doc"))
 
 
-@_query("""SELECT n_nationkey, '["' || n_name || '",' || n_regionkey || ',null]' AS doc, '"' || n_name || '"' AS quoted FROM nation""")
+@_query("""SELECT event_id, '["' || event_type || '",' || user_id || ',null]' AS doc, '"' || event_type || '"' AS quoted FROM events""")
 def json_array_build(spark, sf_dir):
-    return _table(spark, sf_dir, "nation").select("n_nationkey", json_docs.json_array("n_name", "n_regionkey", F.lit(None).cast("int")).alias("doc"), json_docs.json_quote("n_name").alias("quoted"))
+    return _table(spark, sf_dir, "events").select("event_id", json_docs.json_array("event_type", "user_id", F.lit(None).cast("int")).alias("doc"), json_docs.json_quote("event_type").alias("quoted"))
 
 
-@_query("SELECT n_regionkey, '[' || string_agg(CASE WHEN n_nationkey % 4 = 0 THEN 'null' ELSE n_nationkey::VARCHAR END, ',' ORDER BY n_nationkey) || ']' AS doc FROM nation GROUP BY 1")
+@_query("SELECT user_id, '[' || string_agg(CASE WHEN event_id % 4 = 0 THEN 'null' ELSE event_id::VARCHAR END, ',' ORDER BY event_id) || ']' AS doc FROM events GROUP BY 1")
 def json_group_array(spark, sf_dir):
-    value = F.when(F.col("n_nationkey") % 4 != 0, F.col("n_nationkey"))
-    return _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(json_docs.json_group_array(value, "n_nationkey").alias("doc"))
+    value = F.when(F.col("event_id") % 4 != 0, F.col("event_id"))
+    return _table(spark, sf_dir, "events").groupBy("user_id").agg(json_docs.json_group_array(value, "event_id").alias("doc"))
 
 
-@_query("""SELECT n_regionkey, '{' || string_agg('"' || n_name || '":' || n_nationkey, ',' ORDER BY n_nationkey) || '}' AS doc FROM nation GROUP BY 1""")
+@_query("""SELECT user_id, '{' || string_agg('"' || event_type || event_id % 3 || '":' || event_id, ',' ORDER BY event_id) || '}' AS doc FROM events GROUP BY 1""")
 def json_group_object(spark, sf_dir):
-    return _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(json_docs.json_group_object("n_name", "n_nationkey", "n_nationkey").alias("doc"))
+    label = F.concat("event_type", (F.col("event_id") % 3).cast("string"))
+    return _table(spark, sf_dir, "events").groupBy("user_id").agg(json_docs.json_group_object(label, "event_id", "event_id").alias("doc"))
 
 
-@_query("SELECT n_nationkey, '[' || array_to_string(list(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), ',') || ']' AS doc FROM nation")
+@_query("SELECT event_id, '[' || array_to_string(list(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), ',') || ']' AS doc FROM events")
 def json_group_array_window(spark, sf_dir):
-    frame = Window.partitionBy("n_regionkey").orderBy("n_nationkey").rowsBetween(-1, 0)
-    return _table(spark, sf_dir, "nation").select("n_nationkey", json_docs.json_group_array_over("n_nationkey", frame).alias("doc"))
+    frame = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-1, 0)
+    return _table(spark, sf_dir, "events").select("event_id", json_docs.json_group_array_over("event_id", frame).alias("doc"))
+
+
+@_query("""SELECT event_id, '{' || array_to_string(list('"' || event_type || '":' || event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), ',') || '}' AS doc FROM events""")
+def json_group_object_window(spark, sf_dir):
+    frame = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-2, 0)
+    return _table(spark, sf_dir, "events").select("event_id", json_docs.json_group_object_over("event_type", "event_id", frame).alias("doc"))
 
 
 @_query("SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value, 'integer' AS type, json_extract_string(props, '$.k') AS atom, '$.k' AS fullkey, '$' AS path FROM events")
@@ -612,16 +591,16 @@ def json_each(spark, sf_dir):
 
 
 @_query(
-    """SELECT n_nationkey, id, key, value, type, parent, fullkey FROM (
-    SELECT n_nationkey, 0 AS id, NULL AS key, '{"a":[' || n_nationkey || '],"n":"' || n_name || '"}' AS value, 'object' AS type, -1 AS parent, '$' AS fullkey FROM nation
-    UNION ALL SELECT n_nationkey, 1, 'a', '[' || n_nationkey || ']', 'array', 0, '$.a' FROM nation
-    UNION ALL SELECT n_nationkey, 2, '0', n_nationkey::VARCHAR, 'integer', 1, '$.a[0]' FROM nation
-    UNION ALL SELECT n_nationkey, 3, 'n', n_name, 'text', 0, '$.n' FROM nation)"""
+    """SELECT event_id, id, key, value, type, parent, fullkey FROM (
+    SELECT event_id, 0 AS id, NULL AS key, '{"a":[' || event_id || '],"n":"' || event_type || '"}' AS value, 'object' AS type, -1 AS parent, '$' AS fullkey FROM events
+    UNION ALL SELECT event_id, 2, 'a', '[' || event_id || ']', 'array', 0, '$.a' FROM events
+    UNION ALL SELECT event_id, 3, '0', event_id::VARCHAR, 'integer', 2, '$.a[0]' FROM events
+    UNION ALL SELECT event_id, 5, 'n', event_type, 'text', 0, '$.n' FROM events)"""
 )
 def json_tree(spark, sf_dir):
-    docs = _table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct(F.array("n_nationkey").alias("a"), F.col("n_name").alias("n"))).alias("doc"))
+    docs = _table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.array("event_id").alias("a"), F.col("event_type").alias("n"))).alias("doc"))
     rows = docs.lateralJoin(json_docs.json_tree()(F.col("doc").outer()))
-    return rows.select("n_nationkey", "id", "key", "value", "type", F.coalesce("parent", F.lit(-1)).alias("parent"), "fullkey")
+    return rows.select("event_id", "id", "key", "value", "type", F.coalesce("parent", F.lit(-1)).alias("parent"), "fullkey")
 
 
 @_query("""SELECT event_id, '{"k":0}' AS replaced, '{"k":' || json_extract_string(props, '$.k') || ',"new":["x"]}' AS added, props = props AS same FROM events""")

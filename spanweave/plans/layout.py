@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.intervals import BEG, LEN, LVL, RID
+from ..operators.intervals import BEG, LEN, LVL, RID, TOP, Levels
 from .staging import staged
 
+#: The partition of a level in the path of a file; rows without a level lie in one that has no number.
+_LEVEL = re.compile(rf"/{LVL}=(-?\d+)/")
+
 
 def write_indexed(indexed: DataFrame, path: str, partitions: int | None = None, mode: str = "errorifexists") -> None:
     """Writes a table with range columns so that lookups prune.
@@ -21,7 +26,17 @@ def write_indexed(indexed: DataFrame, path: str, partitions: int | None = None,
 
 
 def read_indexed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A table of `write_indexed`, with the levels in use as it then is.
+
+    They are told by the partitions that have files, which Spark lists when it
+    plans the read, so a lookup on the table runs no job to find them.  They
+    belong to this DataFrame alone: what is appended later is seen by reading
+    anew, and a DataFrame made from it scans for its levels.
+    """
+    table = spark.read.parquet(path)
+    found = {int(x) for x in _LEVEL.findall("\n".join(table.inputFiles()))} if LVL in table.columns else set()
+    table._levels_in_use = Levels(-min(found), -max(found)) if found else Levels(TOP, 0)
+    return table
 
 
 def compact(spark: SparkSession, source: str, target: str, order: list[str] | None = None, partitions: int | None = None, compression: str = "zstd", level: int | None = None) -> None:

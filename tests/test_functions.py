@@ -1,4 +1,6 @@
+import itertools
 import random
+import re
 import sqlite3
 
 import pytest
@@ -36,29 +38,47 @@ def test_twobit_round_trip_and_slices(spark):
 
 
 def test_twobit_keeps_other_text(spark):
-    df = spark.createDataFrame([("acgt 1",), ("other",), ("",), (None,), ("CATG",)], "s string")
-    got = df.select(nucleotides.nucleotides_twobit("s").alias("x")).select(F.hex("x.bits"), "x.txt").collect()
-    assert [tuple(r) for r in got] == [(None, "acgt 1"), (None, "other"), (None, ""), (None, None), ("0063", None)]
+    draw = random.Random(12)
+    kept = ["".join(draw.choice("ACGTUacgtu") for _ in range(draw.randint(0, 20))) + draw.choice("Nn xyz-*.5\t") + "".join(draw.choice("ACGTU") for _ in range(draw.randint(0, 9))) for _ in range(60)]
+    df = spark.createDataFrame([*enumerate(kept), (1000, ""), (1001, None), (1002, "GATTACA")], "i int, s string")
+    got = {r.i: (r.bits, r.txt) for r in df.select("i", nucleotides.nucleotides_twobit("s").alias("x")).select("i", "x.bits", "x.txt").collect()}
+    assert all(got[i] == (None, text) for i, text in enumerate(kept)) and got[1000] == (None, "") and got[1001] == (None, None)
+    # T is 00, C 01, A 10 and G 11; the first byte says how many of the last byte count.
+    assert got[1002][1] is None and len(got[1002][0]) == 3
     with pytest.raises(Exception, match="ASCII"):
-        one(spark, F.to_json(nucleotides.nucleotides_twobit("s")), s="é")
+        one(spark, F.to_json(nucleotides.nucleotides_twobit("s")), s="ACGT\u00fc")
 
 
 def test_range_text(spark):
-    # The largest position is a fixed value.
-    for text, expected in (("s1:4,000-05,000", ("s1", 3999, 5000)), ("é:1-9,223,372,036,854,775,799", ("é", 0, 9223372036854775799)), (None, None)):
-        got = one(spark, range_text.parse_range("s"), s=text)
-        assert (tuple(got) if got else got) == expected
-    for bad in ("x", "x:", ":4-9", "x:4", "x:4-", "x:-9", "x:9-4", "x:0-4", "x y:4-9", "x:4-9 ", "x:4-9z", "x:4-99,999,999,999,999,999,999"):
+    draw = random.Random(4)
+    commas = lambda n: "".join(c + "," * draw.randint(0, 1) * draw.randint(0, 2) for c in "0" * draw.randint(0, 2) + str(n))
+    ranges = []
+    for k in range(300):
+        name = "".join(draw.choice("abcXYZ019_.|*\u4e2d\u00fc") for _ in range(draw.randint(1, 12)))
+        begin, end = sorted(draw.choice([draw.randint(1, 99), draw.randint(1, range_text.MOST), range_text.MOST]) for _ in range(2))
+        ranges.append((k, f"{name}:{commas(begin)}-{commas(end)}", name, begin - 1, end))
+    df = spark.createDataFrame(ranges, "k int, s string, name string, b bigint, e bigint")
+    rows = df.select("*", range_text.parse_range("s").alias("r"), range_text.parse_genomic_range_begin("s").alias("first"), range_text.parse_genomic_range_end("s").alias("last"), range_text.parse_genomic_range_sequence("s").alias("of")).collect()
+    assert all(tuple(r.r) == (r.name, r.b, r.e) == (r.of, r.first, r["last"]) for r in rows) and len(rows) == 300
+    assert one(spark, range_text.parse_range("s"), s=None) is None
+    for k in range(0, 24):
+        name, begin, end = "sq", draw.randint(5, 99), draw.randint(100, 999)
+        bad = [f"{begin}-{end}", f":{begin}-{end}", f"{name}:", f"{name}:{begin}", f"{name}:{begin}-", f"{name}:-{end}", f"{name}:{end}-{begin}", f"{name}:0-{end}", f"{name} {name}:{begin}-{end}", f"{name}:{begin}-{end} ", f"{name}:{begin}-{end}e", f"{name}:{begin}-{range_text.MOST + 1 + draw.randint(0, 10**30)}"][k % 12]
         with pytest.raises(Exception, match="parse_genomic_range"):
             one(spark, range_text.parse_genomic_range_end("s"), s=bad)
 
 
 def test_natural_order(spark):
-    df = spark.createDataFrame([(x,) for x in ("chr10", "chrMT", "chr2", "x00123y", "x123y", "x9", None)], "s string")
-    rows = df.select("s", natural_order.natural_key("s").alias("k")).collect()
-    keys = {r.s: r.k for r in rows}
-    assert sorted(("chr10", "chrMT", "chr2"), key=keys.get) == ["chr2", "chr10", "chrMT"]
-    assert keys["x00123y"] == keys["x123y"] > keys["x9"] and keys[None] is None
+    draw = random.Random(9)
+    names = ["".join(draw.choice(["a", "b", "-", " ", "z", "0", "1", "7", str(draw.randint(0, 10**25))]) for _ in range(draw.randint(0, 6))) for _ in range(800)]
+    signs = re.compile("[0-9]+|[^0-9]")
+    # A run of digits is its value, which stands where a digit does among other signs.
+    plain = lambda name: [("0", int(x)) if x.isdigit() else (x, -1) for x in signs.findall(name)]
+    keys = {r.s: r.k for r in spark.createDataFrame([(x,) for x in [*names, None]], "s string").select("s", natural_order.natural_key("s").alias("k")).collect()}
+    assert keys.pop(None) is None
+    ordered = sorted(keys, key=plain)
+    assert [plain(x) for x in sorted(keys, key=keys.get)] == [plain(x) for x in ordered]
+    assert all((keys[x] == keys[y]) == (plain(x) == plain(y)) for x, y in itertools.pairwise(ordered))
 
 
 DOC = '{"a":[1,2.5,"x",null,true],"b":{"c":"d e"},"k.l":7}'
