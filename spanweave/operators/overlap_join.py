@@ -15,9 +15,10 @@ the matches of their id once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import staged
@@ -27,6 +28,10 @@ from .intervals import LONGEST, TOP, level_of
 BROADCAST_ROWS = 50_000
 #: Pairs of a range and a feature on one sequence that broadcasting may examine at most, per range.
 BROADCAST_PER_SEQUENCE = 5_000
+#: A side whose share of a partition is at most this large may be hashed in memory, which a join of many candidates a key gains by.
+HASHED_BYTES = 64 << 20
+#: What a row of bounds and a few columns takes in a hash table.
+_ROW_BYTES = 160
 KINDS = ("inner", "left", "left_semi", "left_anti")
 _ARGS = ("_q_rid", "_q_beg", "_q_end"), ("_f_rid", "_f_beg", "_f_end")
 
@@ -107,24 +112,38 @@ def range_join(
         joined = left.join(F.broadcast(right), condition, how)
         return joined.drop(*_ARGS[0], *_ARGS[1], "_level")
     if how == "inner":
-        return _binned(left, right, feature_levels, extra).select(*queries.columns, *features.columns)
+        return _binned(left, right, feature_levels, extra, rows).select(*queries.columns, *features.columns)
     # The ranges keep one id, whatever is read of them later.
     named = staged(left.withColumn("_q_id", F.monotonically_increasing_id()), "range-queries")
-    reads = [c for c in queries.columns if residual is not None]
-    pairs = _binned(named.select("_q_id", *_ARGS[0], *reads), right, feature_levels, extra)
+    # Of the ranges' columns only those that the residual can read go with them to the bins.
+    reads = [] if residual is None else [c for c in queries.columns if re.search(rf"(?<!\w){re.escape(c)}(?!\w)", str(residual), re.I)]
+    pairs = _binned(named.select("_q_id", *_ARGS[0], *reads), right, feature_levels, extra, rows)
     if how in ("left_semi", "left_anti"):
         return named.join(pairs.select("_q_id").distinct(), "_q_id", how).select(*queries.columns)
     return named.join(pairs.select("_q_id", *features.columns), "_q_id", "left").select(*queries.columns, *features.columns)
 
 
-def _binned(queries: DataFrame, features: DataFrame, feature_levels: list[int], extra: Column) -> DataFrame:
-    """The overlapping pairs of prepared ranges and features, each once."""
+def hashable(spark: SparkSession, rows: int, parts: int) -> bool:
+    """Whether so many rows over so many partitions may be hashed: their share is small, and skewed shares are split at run time."""
+    return rows * _ROW_BYTES <= HASHED_BYTES * parts and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def _binned(queries: DataFrame, features: DataFrame, feature_levels: list[int], extra: Column, feature_rows: int) -> DataFrame:
+    """The overlapping pairs of prepared ranges and features, each once.
+
+    A bin's candidates are tried pair by pair, which a hash join does several
+    times faster than a merge join; it is asked for where the features'
+    share of a partition is known to be small.
+    """
     sound = queries.filter(F.col("_q_rid").isNotNull() & F.col("_q_beg").isNotNull() & F.col("_q_end").isNotNull()).withColumn("_q_level", _query_level())
     query_levels, _, _ = _occupied(sound, "_q_level", "_q_rid")
     if not feature_levels or not query_levels:
         return sound.join(features, F.col("_q_rid") == F.col("_f_rid")).filter(F.lit(False))
     a, b = _binned_queries(sound, feature_levels), _binned_features(features, query_levels)
     same = (F.col("_q_rid") == F.col("_f_rid")) & (F.col("a._level") == F.col("b._level")) & (F.col("a._width") == F.col("b._width")) & (F.col("a._bin") == F.col("b._bin"))
+    spark = queries.sparkSession
+    if hashable(spark, feature_rows * len(query_levels), int(spark.conf.get("spark.sql.shuffle.partitions"))):
+        b = b.hint("shuffle_hash")
     return a.alias("a").join(b.alias("b"), same & _overlap() & extra)
 
 

@@ -23,13 +23,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.overlap_join import hashable
+
 #: Rows that a tile holds about, and the tiles of a table at most (besides one for each task of the sort); their starts are sent to all tasks.
 TILE_ROWS, MOST_TILES = 512, 1 << 17
 #: Files that the tiles are dealt to by default.
 BUCKETS = 64
 #: Tiles for rows whose sequence has none, and for rows without a range, which meet nothing.
 _STRANGE, _VOID = 1024, 4096
-_PROPERTY = "spanweave.tiles"
+#: What a table says of itself: where its tiles are, how many rows are stored in how many buckets.
+_PROPERTY, _ROWS, _FILES = "spanweave.tiles", "spanweave.rows", "spanweave.buckets"
 _TILE, _COPY, _BOUNDS = "_tile", "_copy", ("_tile_rid", "_tile_beg", "_tile_end")
 
 
@@ -99,7 +102,8 @@ def write_tiled(df: DataFrame, table: str, path: str, range_: Sequence[Column |
     rows = rows.withColumn("_void", void).withColumn("_reach", reach(*map(F.col, _BOUNDS))).withColumn("_first", F.coalesce("_reach.first", "_void"))
     rows = rows.withColumn(_TILE, F.explode(F.sequence("_first", F.coalesce("_reach.last", "_first")))).withColumn(_COPY, F.col(_TILE) > F.col("_first")).drop("_reach", "_first", "_void")
     rows.repartition(buckets, _TILE).write.mode("errorifexists").bucketBy(buckets, _TILE).sortBy(_TILE).option("path", path).option("compression", "zstd").saveAsTable(table)
-    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{_PROPERTY}' = '{tiles}')")
+    stored = spark.table(table).count()  # from the files' footers
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{_PROPERTY}' = '{tiles}', '{_ROWS}' = '{stored}', '{_FILES}' = '{buckets}')")
     return tiles
 
 
@@ -108,8 +112,8 @@ def read_tiled(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(table).filter(~F.col(_COPY)).drop(_TILE, _COPY, *_BOUNDS)
 
 
-def _tiles_of(spark: SparkSession, table: str) -> str:
-    return spark.sql(f"SHOW TBLPROPERTIES {table} ('{_PROPERTY}')").first()["value"]
+def _said(spark: SparkSession, table: str) -> dict[str, str]:
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
 
 
 def tiled_join(spark: SparkSession, left: str, right: str, residual: Column | str | None = None, suffix: str = "_f") -> DataFrame:
@@ -117,7 +121,8 @@ def tiled_join(spark: SparkSession, left: str, right: str, residual: Column | st
 
     Columns of `right` that clash with those of `left` get `suffix`.
     """
-    if _tiles_of(spark, left) != _tiles_of(spark, right):
+    said, said_right = _said(spark, left), _said(spark, right)
+    if said[_PROPERTY] != said_right[_PROPERTY]:
         raise ValueError(f"{left} and {right} are laid out in different tiles: write one for the tiles of the other")
     a, b = spark.table(left), spark.table(right)
     hidden = {c: f"{c}_b" for c in (_TILE, _COPY, *_BOUNDS)}
@@ -125,5 +130,7 @@ def tiled_join(spark: SparkSession, left: str, right: str, residual: Column | st
     (rid, beg, end), (rid_b, beg_b, end_b) = map(F.col, _BOUNDS), (F.col(hidden[c]) for c in _BOUNDS)
     # The tile alone is the key, as the tables are bucketed; sequences that share one are told apart by two comparisons, which are no key.
     met = (F.col(_TILE) == F.col(hidden[_TILE])) & (beg_b <= end_b) & (rid <= rid_b) & (rid >= rid_b) & (beg_b <= end) & (end_b >= beg) & ~(F.col(_COPY) & F.col(hidden[_COPY]))
+    if hashable(spark, int(said_right[_ROWS]), int(said_right[_FILES])):
+        b = b.hint("shuffle_hash")
     joined = a.join(b, met if residual is None else met & _column(residual))
     return joined.drop(*hidden, *hidden.values())
