@@ -120,4 +120,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN one END AS prefix_chars,
 FROM pieces"""
 
 
-ORACLE = {"op1_tool_call_linking": _OP1, "tool_calls_of_json": _OP1, "op8_quality_rules": _op8(), "op9_source_mixing": _op9(), "op11_filter_interaction_audit": _OP11, "op13_fill_in_middle": _OP13}
+ORACLE = {"op1_tool_call_linking": _OP1, "tool_calls_of_json": _OP1, "op8_quality_rules": _op8(), "op8_quality_tails": _op8(), "op9_source_mixing": _op9(), "op11_filter_interaction_audit": _OP11, "op13_fill_in_middle": _OP13}
