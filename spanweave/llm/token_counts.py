@@ -1,7 +1,11 @@
 """Edit-aware token counts.
 
-A document is cut into leaves at places where pre-tokens surely part: before
-a single blank between two visible characters.  A tree over the leaves keeps
+A document is cut into leaves at places where tokens surely part, whatever
+stands further away: where a visible character meets white space, where
+letters, digits and signs meet each other (but not behind an apostrophe), and,
+where no such place is near, inside a run of letters, digits or signs between
+two bytes that no token of the vocabulary holds side by side, so that no merge
+spans them.  A tree over the leaves keeps
 characters and tokens of every subtree.  An edit finds its leaves by walking
 down the tree, takes in one leaf more on either side (a cut is only sure
 while its surroundings stand), cuts and encodes those leaves anew and corrects
@@ -22,10 +26,11 @@ edits are not read.
 from __future__ import annotations
 
 import base64
-import re
-from collections.abc import Callable, Iterator
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,18 +43,49 @@ EDITS = "array<struct<pos: int, removed: int, added: string>>"
 #: How the public byte-level vocabulary splits text into pre-tokens (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_CUT = re.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
+#: Where pre-tokens part, told by the two characters beside the place alone: no pre-token goes on from a visible character
+#: to white space, nor from letters to digits or signs or back, but for the contractions, which begin with an apostrophe.
+#: Signs are those that are surely neither white space nor parts of words; beside other characters nothing is cut.
+_BORDER = regex.compile(r"(?<=[\p{L}\p{N}\p{P}\p{S}])(?=[ \t\n\r])|(?<=\p{L})(?=[\p{N}\p{P}\p{S}])|(?<=\p{N})(?=[\p{L}\p{P}\p{S}])|(?<=(?!')[\p{P}\p{S}])(?=[\p{L}\p{N}])")
+#: Places inside a run; what begins with an apostrophe may be read as a contraction once it stands alone.
+_INSIDE = regex.compile(r"(?<=\p{L})(?=\p{L})|(?<=\p{N})(?=\p{N})|(?<=[\p{P}\p{S}])(?=(?!')[\p{P}\p{S}])")
 
 
-def leaves_of(text: str, size: int = LEAF_CHARS) -> list[str]:
+class Joined:
+    """The pairs of bytes that some token holds side by side."""
+
+    def __init__(self, tokens: Iterable[bytes]):
+        self.held = bytearray(1 << 16)
+        for token in tokens:
+            for a, b in itertools.pairwise(token):
+                self.held[a << 8 | b] = 1
+
+    def __call__(self, before: str, after: str) -> bool:
+        return bool(self.held[before.encode()[-1] << 8 | after.encode()[0]])
+
+
+def _next_cut(text: str, start: int, stretch: int, joined: Joined | None) -> int | None:
+    """The first sure cut from `start` on, stretch by stretch: where pre-tokens part, or else inside one."""
+    for low in range(start, len(text), stretch):
+        high = min(low + stretch, len(text))
+        found = _BORDER.search(text, low, high)
+        if found:
+            return found.start()
+        for inside in _INSIDE.finditer(text, low, high) if joined is not None else ():
+            if not joined(text[inside.start() - 1], text[inside.start()]):
+                return inside.start()
+    return None
+
+
+def leaves_of(text: str, size: int = LEAF_CHARS, joined: Joined | None = None) -> list[str]:
     """The text in leaves of about `size` characters, or longer where no sure cut is near."""
     out, at = [], 0
     while len(text) - at > size:
-        cut = _CUT.search(text, at + size)
-        if not cut:
+        cut = _next_cut(text, at + size, size, joined)
+        if cut is None:
             break
-        out.append(text[at : cut.start()])
-        at = cut.start()
+        out.append(text[at:cut])
+        at = cut
     out.append(text[at:])
     return out
 
@@ -57,10 +93,10 @@ def leaves_of(text: str, size: int = LEAF_CHARS) -> list[str]:
 class SegmentTree:
     """Sums of characters and tokens over the leaves of one document, and the leaves themselves."""
 
-    def __init__(self, text: str, count: Callable[[list[str]], list[int]], size: int = LEAF_CHARS):
-        self.count, self.size = count, size
+    def __init__(self, text: str, count: Callable[[list[str]], list[int]], size: int = LEAF_CHARS, joined: Joined | None = None):
+        self.count, self.size, self.joined = count, size, joined
         self.encoded = 0
-        self._build([(leaf, n) for leaf, n in self._counted(leaves_of(text, size))])
+        self._build(self._counted(leaves_of(text, size, joined)))
 
     def _counted(self, leaves: list[str]) -> list[tuple[str, int]]:
         self.encoded += sum(map(len, leaves))
@@ -118,7 +154,7 @@ class SegmentTree:
         i = max(next(k for k in range(len(leaves)) if starts[k + 1] >= pos) - 1, 0)
         j = min(next(k for k in reversed(range(len(leaves))) if starts[k] <= pos + removed) + 1, len(leaves) - 1)
         region, at = "".join(text for _, (text, _) in leaves[i : j + 1]), pos - starts[i]
-        fresh = self._counted(leaves_of(region[:at] + added + region[at + removed :], self.size))
+        fresh = self._counted(leaves_of(region[:at] + added + region[at + removed :], self.size, self.joined))
         home = leaves[i][0]
         runs: dict[int, list[tuple[str, int]]] = {s: [] for s, _ in leaves[i : j + 1]}
         for s, leaf in leaves[:i]:
@@ -152,24 +188,25 @@ def shared_ranks(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-def counter(vocabulary: bytes) -> Callable[[list[str]], list[int]]:
+def counter(vocabulary: bytes) -> tuple[Callable[[list[str]], list[int]], Joined]:
+    """How many tokens each of some texts has, and the pairs that the vocabulary joins."""
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
     encode = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda leaves: [len(encode(x)) for x in leaves]
+    return lambda leaves: [len(encode(x)) for x in leaves], Joined(ranks)
 
 
 def edited_counts(docs: DataFrame, ranks: Broadcast) -> DataFrame:
     """Rows (doc_id, n_tokens, n_tokens_edited, n_chars_edited, n_edits, chars_reencoded) from (doc_id, text, edits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(ranks.value)
+        count, joined = counter(ranks.value)
         names = ["doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_edits", "chars_reencoded"]
         for batch in batches:
             out: list[list[int]] = [[] for _ in names[1:]]
             for text, edits in zip(batch.column(1), batch.column(2), strict=True):
-                tree = SegmentTree(text.as_py() or "", count)
+                tree = SegmentTree(text.as_py() or "", count, joined=joined)
                 before, encoded = tree.total, tree.encoded
                 script = edits.as_py() or []
                 for e in script:
