@@ -18,10 +18,12 @@ from ..operators import intervals as iv
 from ..operators import overlap_join as oj
 from ..operators import overlap_sums as os_
 from ..operators import refseq
+from ..operators.circular import circular_join
 from ..sources.bed import read_bed
 from ..sources.sam import read_sam
+from ..sources.tables import read_tables, write_tables
 from ..sources.vcf import read_vcf, read_vcf_lines
-from . import layout
+from . import layout, session
 from .staging import shared_dir
 from .tiles import tiled_join, write_tiled
 
@@ -342,6 +344,45 @@ def gri_levels_of_layout(spark, sf_dir):
     return iv.lookup(table, "O", 9900, 10000).agg(F.lit(levels.ceiling).alias("ceiling"), F.lit(levels.floor).alias("floor"), _count())
 
 
+# --- circular sequences, schemas ------------------------------------------------------------------------------------
+
+
+def _circular_refseqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty-four sequences that end where the last order begins; those of even id are circular."""
+    length = 100 * _table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    return refseq.put_sequences(refseq.empty(spark), [refseq.RefSeq(k, f"s{k}", length, None, None, {"circular": k % 2 == 0}) for k in range(24)])
+
+
+_TURN = "(SELECT 100 * max(o_orderkey) FROM orders)"
+_AROUND = f"p.rid = l.rid AND (l.beg <= p.stop AND l.stop >= p.beg OR p.rid % 2 = 0 AND (l.beg <= p.stop + {_TURN} AND l.stop >= p.beg + {_TURN} OR l.beg <= p.stop - {_TURN} AND l.stop >= p.beg - {_TURN}))"
+
+
+@_query(f"SELECT p.rid, count(*) AS n, CAST(sum(l.o_orderkey) AS BIGINT) AS keys FROM points p JOIN long l ON {_AROUND} GROUP BY p.rid", "points", "long")
+def circular_range_join(spark, sf_dir):
+    pairs = circular_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "long"), _circular_refseqs(spark, sf_dir), **_RANGE_ARGS)
+    return pairs.groupBy("rid").agg(_count(), F.sum("o_orderkey").alias("keys"))
+
+
+@_query(f"SELECT p.event_id, count(l.o_orderkey) AS n FROM points p LEFT JOIN long l ON {_AROUND} GROUP BY 1", "points", "long")
+def circular_range_left_join(spark, sf_dir):
+    pairs = circular_join(_features(spark, sf_dir, "points"), _features(spark, sf_dir, "long"), _circular_refseqs(spark, sf_dir), how="left", **_RANGE_ARGS)
+    return pairs.groupBy("event_id").agg(F.count("o_orderkey").alias("n"))
+
+
+@_query("SELECT p.rid, count(*) AS n, CAST(sum(l.o_orderkey) AS BIGINT) AS keys FROM points p JOIN sparse l ON p.rid = l.rid AND l.beg <= p.stop AND l.stop >= p.beg GROUP BY p.rid", "points", "sparse")
+def range_join_schemas(spark, sf_dir):
+    """Ranges of a table in one attached schema against the indexed table of another."""
+    tag = uuid.uuid4().hex
+    one, two = f"q{tag}", f"f{tag}"
+    _features(spark, sf_dir, "points").write.parquet(f"{shared_dir(spark)}/{one}/points.parquet")
+    _features(spark, sf_dir, "sparse").write.parquet(f"{shared_dir(spark)}/{two}/orders.parquet")
+    engine = session.Attached(spark)
+    (points,), (orders,) = (engine.attach_schema(f"{shared_dir(spark)}/{x}", x) for x in (one, two))
+    view = engine.index_table(orders, "rid", "beg", "stop")
+    pairs = oj.range_join(spark.table(points), spark.table(view), strategy="bins", query=("rid", "beg", "stop"), feature=(iv.RID, iv.BEG, f"{iv.BEG} + {iv.LEN}"))
+    return pairs.groupBy("rid").agg(_count(), F.sum("o_orderkey").alias("keys"))
+
+
 # --- text sources ----------------------------------------------------------------------------------------------------
 
 
@@ -394,15 +435,30 @@ def vcf_lines(spark, sf_dir):
 _SAM_HEADER = [*[f"@SQ\tSN:c{i}\tLN:100000000" for i in range(24)], "@RG\tID:g0\tSM:a", "@RG\tID:g1\tSM:b"]
 
 
+def _sam(spark: SparkSession, sf_dir: str):
+    fields = ("concat('r', o_orderkey)", "CAST(o_custkey % 3 AS STRING)", "concat('c', o_custkey % 24)", "CAST(o_orderkey * 10 + 1 AS STRING)", "'60'", "concat('5M', 2 * 1, 'I', o_custkey % 7 + 0, 'D3M')", "if(o_custkey % 2 = 0, '=', '*')", "'0'", "'0'", "'ACGT'", "'*'", "concat('NM:i:', o_custkey)", "concat('RG:Z:g', o_custkey % 2)", "'XT:Z:a:b'")
+    lines = _table(spark, sf_dir, "orders").select(F.expr(f"concat_ws('\t', {', '.join(fields)})").alias("value"))
+    return read_sam(spark, _text(spark, _SAM_HEADER, lines))
+
+
 @_query("""SELECT 'r' || o_orderkey AS qname, CAST(o_custkey % 3 AS BIGINT) AS flag, CAST(o_custkey % 24 AS BIGINT) AS rid, o_orderkey * 10 AS pos, o_orderkey * 10 + 5 + o_custkey % 7 + 3 AS endpos, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey % 24 AS BIGINT) END AS rnext,
   CAST(o_custkey % 2 AS BIGINT) AS rg_id, 'ACGT' AS seq, '{"NM":' || o_custkey || ',"XT":"a:b"}' AS tags FROM orders""")
 def sam_reads(spark, sf_dir):
-    fields = ("concat('r', o_orderkey)", "CAST(o_custkey % 3 AS STRING)", "concat('c', o_custkey % 24)", "CAST(o_orderkey * 10 + 1 AS STRING)", "'60'", "concat('5M', 2 * 1, 'I', o_custkey % 7 + 0, 'D3M')", "if(o_custkey % 2 = 0, '=', '*')", "'0'", "'0'", "'ACGT'", "'*'", "concat('NM:i:', o_custkey)", "concat('RG:Z:g', o_custkey % 2)", "'XT:Z:a:b'")
-    sam = read_sam(spark, _text(spark, _SAM_HEADER, _table(spark, sf_dir, "orders").select(F.expr(f"concat_ws('\t', {', '.join(fields)})").alias("value"))))
+    sam = _sam(spark, sf_dir)
     rows = sam.reads.join(sam.seqs, "rowid").join(sam.tags, "rowid")
     return rows.select("qname", "flag", "rid", "pos", "endpos", "rnext", "rg_id", "seq", F.col("tags_json").alias("tags"))
 
 
+@_query("SELECT 'r' || o_orderkey AS qname, CAST(o_custkey % 24 AS BIGINT) AS rid, o_orderkey * 10 AS pos FROM orders WHERE o_orderkey IN (SELECT max(o_orderkey) // 3 FROM orders)")
+def sam_read_by_name(spark, sf_dir):
+    """A read looked up by its name in tables laid out by place, through Bloom filters."""
+    folder = f"{shared_dir(spark)}/reads-{uuid.uuid4().hex}"
+    write_tables(_sam(spark, sf_dir), folder, named={"seqs": ["qname"]})
+    tables = read_tables(spark, folder, ["reads", "seqs"])
+    name = f"r{_table(spark, sf_dir, 'orders').agg(F.max('o_orderkey')).first()[0] // 3}"
+    return tables["seqs"].filter(F.col("qname") == name).join(tables["reads"], "rowid").select("qname", "rid", "pos")
+
+
 @_query("SELECT 'c' || o_custkey % 24 AS chrom, count(*) AS n, CAST(sum(o_orderkey * 10) AS BIGINT) AS begins FROM orders GROUP BY 1")
 def bed_features(spark, sf_dir):
     lines = _table(spark, sf_dir, "orders").select(F.expr("concat_ws('\t', concat('c', o_custkey % 24), o_orderkey * 10 + 1, o_orderkey * 10 + 9, 'x', '0', '+')").alias("value"))

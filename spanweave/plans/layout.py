@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,13 @@ from .staging import staged
 _LEVEL = re.compile(rf"/{LVL}=(-?\d+)/")
 
 
-def write_indexed(indexed: DataFrame, path: str, partitions: int | None = None, mode: str = "errorifexists") -> None:
+def bloom_options(columns: Iterable[str]) -> dict[str, str]:
+    """Parquet options for Bloom filters of columns, of a size that suits each row group's values."""
+    found = {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
+    return found and found | {"parquet.bloom.filter.adaptive.enabled": "true"}
+
+
+def write_indexed(indexed: DataFrame, path: str, partitions: int | None = None, mode: str = "errorifexists", options: Mapping[str, str] | None = None) -> None:
     """Writes a table with range columns so that lookups prune.
 
     Levels become partitions; within them files hold ranges of (sequence,
@@ -22,7 +29,7 @@ def write_indexed(indexed: DataFrame, path: str, partitions: int | None = None,
     """
     by = (F.col(LVL), F.col(RID), F.col(BEG), F.col(LEN))
     dealt = indexed.repartitionByRange(partitions, *by) if partitions else indexed.repartitionByRange(*by)
-    dealt.sortWithinPartitions(*by).write.mode(mode).partitionBy(LVL).option("compression", "zstd").parquet(path)
+    dealt.sortWithinPartitions(*by).write.mode(mode).options(**options or {}).partitionBy(LVL).option("compression", "zstd").parquet(path)
 
 
 def read_indexed(spark: SparkSession, path: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import re
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import __version__
 from ..functions import json_docs
@@ -50,7 +52,50 @@ class EngineConfig:
         return found | ({"spark.sql.shuffle.partitions": str(self.shuffle_partitions)} if self.shuffle_partitions > 0 else {})
 
 
-class Engine:
+class Attached:
+    """Folders of tables as databases of a session, whose settings stay as they are."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def attach_schema(self, folder: str, schema: str) -> list[str]:
+        """The Parquet tables of a folder as tables of a database of their own; their names, such as ``db2.exons``.
+
+        Tables stay where they are; `detach_schema` forgets them.  What is in
+        the folder is asked of Spark's own reader, so any store that it reads will do.
+        """
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder).select("path")
+        root = re.escape(folder.rstrip("/").rpartition("/")[2])
+        names = files.select(F.regexp_extract("path", rf"/{root}/([^/]+)\.parquet(?:/|$)", 1).alias("name")).filter("name <> ''").distinct().collect()
+        found = sorted(r["name"] for r in names)
+        for name in found:
+            place = f"{folder.rstrip('/')}/{name}.parquet"
+            self.spark.sql(f"CREATE TABLE {schema}.{name} USING parquet LOCATION '{place}'")
+            if any(c.isPartition for c in self.spark.catalog.listColumns(f"{schema}.{name}")):
+                self.spark.catalog.recoverPartitions(f"{schema}.{name}")
+        return [f"{schema}.{name}" for name in found]
+
+    def detach_schema(self, schema: str) -> None:
+        """Forgets a database of `attach_schema`; its files stay."""
+        self.spark.sql(f"DROP DATABASE IF EXISTS {schema} CASCADE")
+
+    def index_table(self, table: str, rid: str, beg: str, end: str, floor: int | None = None) -> str:
+        """A view `table`_gri of a table of a schema with range columns, in that schema, and table functions over it; the view's name.
+
+        Table functions can't have a schema in their names, so those of
+        ``db2.exons`` are ``db2_exons_rowids`` and ``db2_exons_levels``, for the session.
+        """
+        view = f"{table}_gri"
+        self.spark.sql(f"CREATE OR REPLACE VIEW {view} AS {intervals.range_columns_sql(table, rid, beg, end, floor)}")
+        indexed = self.spark.table(view)
+        if "_rowid_" in indexed.columns:
+            intervals.register_lookup(self.spark, f"{table.replace('.', '_')}_rowids", view, dict(indexed.dtypes)[intervals.RID])
+        intervals.register_levels(self.spark, f"{table.replace('.', '_')}_levels", view)
+        return view
+
+
+class Engine(Attached):
     """A session with the options set and the functions registered."""
 
     version = __version__

@@ -22,23 +22,27 @@ def create_views(tables: NamedTuple, prefix: str = "") -> list[str]:
     return list(named)
 
 
-def write_tables(tables: NamedTuple, folder: str, prefix: str = "", by: dict[str, list[str]] | None = None) -> list[str]:
+def write_tables(tables: NamedTuple, folder: str, prefix: str = "", by: dict[str, list[str]] | None = None, named: dict[str, list[str]] | None = None) -> list[str]:
     """Writes the tables to `folder`/`prefix`name.parquet; their names.
 
     Tables with range columns are laid out for lookups.  `by` names columns to
     order a table by, such as {"seqs": ["qname"]}: a row group's statistics then
-    find a read by its name.
+    find a read by its name.  `named` names columns that a table has Bloom
+    filters of, such as {"seqs": ["qname"]}: a row is then found by its name
+    in a table that is ordered by something else, reading the row groups that may hold it.
     """
-    named = _named(tables, prefix)
-    for name, df in named.items():
-        path, order = f"{folder.rstrip('/')}/{name}.parquet", (by or {}).get(name.removeprefix(prefix))
+    blooms = named or {}
+    found = _named(tables, prefix)
+    for name, df in found.items():
+        plain = name.removeprefix(prefix)
+        path, order, options = f"{folder.rstrip('/')}/{name}.parquet", (by or {}).get(plain), layout.bloom_options(blooms.get(plain, ()))
         if order:
-            df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(path)
+            df.repartitionByRange(*order).sortWithinPartitions(*order).write.options(**options).option("compression", "zstd").parquet(path)
         elif set(GRI_COLUMNS) <= set(df.columns):
-            layout.write_indexed(df, path)
+            layout.write_indexed(df, path, options=options)
         else:
-            df.write.option("compression", "zstd").parquet(path)
-    return list(named)
+            df.write.options(**options).option("compression", "zstd").parquet(path)
+    return list(found)
 
 
 def read_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
