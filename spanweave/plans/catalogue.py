@@ -71,6 +71,13 @@ def _split(columns: str) -> list[str]:
     return [*out, columns[last:]]
 
 
+def _view(df: DataFrame, name: str) -> str:
+    """A temporary view under a name of its own, so that queries that run at once don't meet."""
+    own = f"{name}_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(own)
+    return own
+
+
 def _indexed(spark: SparkSession, sf_dir: str, name: str, floor: int | None = None) -> DataFrame:
     return iv.with_range_columns(_features(spark, sf_dir, name), "rid", "beg", "stop", floor)
 
@@ -135,8 +142,8 @@ def gri_index_levels_empty(spark, sf_dir):
 @_query(f"SELECT rid, -({_level_sql('stop - beg', 1)}) AS lvl, count(*) AS n, CAST(sum(beg) AS BIGINT) AS begins FROM long GROUP BY 1, 2", "long")
 def gri_columns_sql(spark, sf_dir):
     """Range columns by SQL text."""
-    _features(spark, sf_dir, "long").createOrReplaceTempView("long_plain")
-    df = spark.sql(iv.range_columns_sql("long_plain", "rid", "beg", "stop", 1))
+    plain = _view(_features(spark, sf_dir, "long"), "long_plain")
+    df = spark.sql(iv.range_columns_sql(plain, "rid", "beg", "stop", 1))
     return df.groupBy(F.col(iv.RID).alias("rid"), F.col(iv.LVL).alias("lvl")).agg(_count(), F.sum(iv.BEG).alias("begins"))
 
 
@@ -164,16 +171,16 @@ def gri_lookup_bounded(spark, sf_dir):
 @_query("SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM medium WHERE rid = 'F' AND beg <= 9500 AND stop >= 9490", "medium")
 def gri_lookup_sql(spark, sf_dir):
     df = _indexed(spark, sf_dir, "medium")
-    df.withColumn("_rowid_", F.xxhash64("l_orderkey", "l_linenumber", "beg", "stop")).createOrReplaceTempView("medium_features")
-    ids = iv.rowids_sql("medium_features", spark=spark)
-    return spark.sql(f"SELECT count(*) AS n, sum(l_orderkey) AS keys FROM medium_features WHERE _rowid_ IN {ids}", args={"qrid": "F", "qbeg": 9490, "qend": 9500})
+    view = _view(df.withColumn("_rowid_", F.xxhash64("l_orderkey", "l_linenumber", "beg", "stop")), "medium_features")
+    ids = iv.rowids_sql(view, spark=spark)
+    return spark.sql(f"SELECT count(*) AS n, sum(l_orderkey) AS keys FROM {view} WHERE _rowid_ IN {ids}", args={"qrid": "F", "qbeg": 9490, "qend": 9500})
 
 
 @_query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM long WHERE rid = 5 AND beg <= 600000 AND stop >= 500000", "long")
 def gri_lookup_tvf(spark, sf_dir):
-    _indexed(spark, sf_dir, "long").withColumn("_rowid_", F.col("o_orderkey")).createOrReplaceTempView("long_features")
-    iv.register_lookup(spark, "long_rowids", "long_features", "BIGINT")
-    return spark.sql("SELECT count(*) AS n, sum(_rowid_) AS keys FROM long_rowids(5, 500000, 600000)")
+    view = _view(_indexed(spark, sf_dir, "long").withColumn("_rowid_", F.col("o_orderkey")), "long_features")
+    iv.register_lookup(spark, f"{view}_rowids", view, "BIGINT")
+    return spark.sql(f"SELECT count(*) AS n, sum(_rowid_) AS keys FROM {view}_rowids(5, 500000, 600000)")
 
 
 @_query("SELECT o_orderkey AS _rowid_ FROM long WHERE rid = 7 AND beg <= 900000 AND stop >= 800000", "long")
@@ -309,12 +316,12 @@ def range_hist(spark, sf_dir):
 
 @_query("SELECT w.window_id, count(s.o_orderkey) AS n FROM (SELECT window_id, window_id % 24 AS rid, window_id * 5000 AS b FROM windows) w LEFT JOIN long s ON w.rid = s.rid AND s.beg <= w.b + 20000 AND s.stop >= w.b GROUP BY 1", "windows", "long")
 def range_lateral_tvf(spark, sf_dir):
-    _indexed(spark, sf_dir, "long").withColumn("_rowid_", F.col("o_orderkey")).createOrReplaceTempView("long_features")
-    iv.register_lookup(spark, "long_rowids", "long_features", "BIGINT")
-    _features(spark, sf_dir, "windows").createOrReplaceTempView("query_windows")
+    view = _view(_indexed(spark, sf_dir, "long").withColumn("_rowid_", F.col("o_orderkey")), "long_features")
+    iv.register_lookup(spark, f"{view}_rowids", view, "BIGINT")
+    windows = _view(_features(spark, sf_dir, "windows"), "query_windows")
     return spark.sql(
-        "SELECT w.window_id, count(t._rowid_) AS n FROM (SELECT window_id, window_id % 24 AS rid, window_id * 5000 AS b FROM query_windows) w "
-        "LEFT JOIN LATERAL long_rowids(w.rid, w.b, w.b + 20000) AS t GROUP BY w.window_id"
+        f"SELECT w.window_id, count(t._rowid_) AS n FROM (SELECT window_id, window_id % 24 AS rid, window_id * 5000 AS b FROM {windows}) w "
+        f"LEFT JOIN LATERAL {view}_rowids(w.rid, w.b, w.b + 20000) AS t GROUP BY w.window_id"
     )
 
 

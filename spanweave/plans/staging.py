@@ -28,6 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+class scope:  # noqa: N801
+    """What is staged within the block is deleted at its end, but for what `keep` is given.
+
+    For callers that know when they are done with a result::
+
+        with scope():
+            range_join(reads, features, how="left").write.parquet(target)
+    """
+
+    _open: list[scope] = []
+
+    def __enter__(self) -> scope:
+        self.tables: list[DataFrame] = []
+        scope._open.append(self)
+        return self
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        self.tables = [t for t in self.tables if t is not rows]
+        return rows
+
+    def __exit__(self, *_) -> None:
+        scope._open.remove(self)
+        for rows in self.tables:
+            discard(rows)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: cuts lineage."""
     spark = df.sparkSession
@@ -35,6 +61,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     rows = spark.read.schema(df.schema).parquet(path)
     rows._staged_at = path
+    if scope._open:
+        scope._open[-1].tables.append(rows)
     return rows
 
 

@@ -143,3 +143,14 @@ def test_levels_are_told_without_a_job(spark):
     layout.write_indexed(intervals.with_range_columns(spark.createDataFrame([("a", 0, 10_000)], "rid string, b long, e long"), "rid", "b", "e"), path, mode="append")
     assert intervals.detect_levels(layout.read_indexed(spark, path)) == (4, 0)
     assert intervals.detect_levels(layout.read_indexed(spark, path).filter("e = 15")) == (1, 1)
+
+
+def test_what_is_staged_in_a_scope_goes(spark):
+    from spanweave.plans.staging import scope, staged
+
+    with scope() as held:
+        gone, kept = staged(spark.range(3).toDF("id"), "gone"), held.keep(staged(spark.range(4).toDF("id"), "kept"))
+        assert gone.count() == 3
+    assert kept.count() == 4
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        gone.count()
