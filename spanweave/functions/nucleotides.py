@@ -26,19 +26,18 @@ def dna_revcomp(s: Column | str) -> Column:
     return F.when(s.rlike("[^ACGTacgt]"), bad).otherwise(F.reverse(F.translate(s, "ACGTacgt", "TGCAtgca")))
 
 
+#: Two base-4 digits read as one UTF-16 character, and the hexadecimal digit that they make: one pass over a text of any length.
+HEX = "0123456789ABCDEF"
+PAIRS = "".join(chr(ord(HEX[k // 4]) << 8 | ord(HEX[k % 4])) for k in range(16))
+
+
 def nucleotides_twobit(s: Column | str) -> Column:
-    """Codes DNA or RNA text; thirty-two nucleotides at a time become one hexadecimal number."""
+    """Codes DNA or RNA text; each pair of nucleotides becomes one hexadecimal digit."""
     s = _col(s)
     n = F.length(s)
     digits = F.translate(F.upper(s), "TUCAG", "00123")
-
-    def chunk(c: Column) -> Column:
-        places = (F.ceil(F.length(c) / 4) * 4).cast("int")
-        number = F.conv(F.call_function("rpad", c, places, F.lit("0")), 4, 16)
-        return F.call_function("lpad", number, (places / 2).cast("int"), F.lit("0"))
-
-    # Cut once: a substr for each chunk would read the whole text again.
-    body = F.array_join(F.transform(F.regexp_extract_all(digits, F.lit(".{1,32}"), F.lit(0)), chunk), "")
+    padded = F.call_function("rpad", digits, (F.ceil(n / 4) * 4).cast("int"), F.lit("0"))
+    body = F.translate(F.decode(F.encode(padded, "US-ASCII"), "UTF-16BE"), PAIRS, HEX)
     head = F.lpad(F.hex(F.pmod(4 - n % 4, F.lit(4))), 2, "0")
     bits = F.unhex(F.when(n == 1, F.lpad(digits, 2, "0")).otherwise(F.concat(head, body)))
     code, kept = (lambda v: F.struct(v.alias("bits"), F.lit(None).cast("string").alias("txt"))), F.struct(F.lit(None).cast("binary").alias("bits"), s.alias("txt"))
@@ -57,12 +56,9 @@ def twobit_length(x: Column | str) -> Column:
 
 def _decoded(bits: Column, letters: str) -> Column:
     size = F.octet_length(bits)
-
-    def chunk(c: Column) -> Column:
-        return F.translate(F.call_function("lpad", F.conv(c, 16, 4), 2 * F.length(c), F.lit("0")), "0123", letters)
-
     pad = F.conv(F.hex(F.substring(bits, 1, 1)), 16, 10).cast("int")
-    full = F.array_join(F.transform(F.regexp_extract_all(F.substr(F.hex(bits), F.lit(3)), F.lit(".{1,16}"), F.lit(0)), chunk), "")
+    pairs = F.translate(F.substr(F.hex(bits), F.lit(3)), HEX, PAIRS)
+    full = F.translate(F.decode(F.encode(pairs, "UTF-16BE"), "US-ASCII"), "0123", letters)
     single = F.translate(F.conv(F.hex(bits), 16, 10), "0123", letters)
     return F.when(size < 2, single).otherwise(F.substr(full, F.lit(1), 4 * (size - 1) - pad))
 

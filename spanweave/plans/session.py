@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 from ..functions import json_docs
+from ..functions.nucleotides import HEX, PAIRS
 from ..operators import intervals
 
 
@@ -152,13 +153,13 @@ _CODES = "translate(upper(s), 'TUCAG', '00123')"
 _CODED = f"""CASE WHEN s IS NULL THEN NULL WHEN s RLIKE '[^\\\\x01-\\\\x7F]' THEN CAST(raise_error("nucleotides_twobit(): text isn't ASCII") AS {_TWOBIT})
   WHEN s = '' OR s RLIKE '[^ACGTUacgtu]' THEN named_struct('bits', CAST(NULL AS BINARY), 'txt', s)
   ELSE named_struct('bits', unhex(CASE WHEN length(s) = 1 THEN lpad({_CODES}, 2, '0') ELSE concat(lpad(hex(pmod(4 - length(s) % 4, 4)), 2, '0'),
-    array_join(transform(regexp_extract_all({_CODES}, '.{{1,32}}', 0), c -> lpad(conv(rpad(c, CAST(ceil(length(c) / 4) * 4 AS INT), '0'), 4, 16), CAST(ceil(length(c) / 4) * 2 AS INT), '0')), '')) END), 'txt', CAST(NULL AS STRING)) END"""
+    translate(decode(encode(rpad({_CODES}, CAST(ceil(length(s) / 4) * 4 AS INT), '0'), 'US-ASCII'), 'UTF-16BE'), '{PAIRS}', '{HEX}')) END), 'txt', CAST(NULL AS STRING)) END"""
 
 
 def _decoding(letters: str) -> str:
     """Text of a two-bit value x, or the part of it that starts at y and has z places."""
     whole = f"""CASE WHEN x.bits IS NULL THEN x.txt WHEN octet_length(x.bits) < 2 THEN translate(conv(hex(x.bits), 16, 10), '0123', '{letters}')
-      ELSE substr(array_join(transform(regexp_extract_all(substr(hex(x.bits), 3), '.{{1,16}}', 0), c -> translate(lpad(conv(c, 16, 4), 2 * length(c), '0'), '0123', '{letters}')), ''), 1, {_LENGTH}) END"""
+      ELSE substr(translate(decode(encode(translate(substr(hex(x.bits), 3), '{HEX}', '{PAIRS}'), 'UTF-16BE'), 'US-ASCII'), '0123', '{letters}'), 1, {_LENGTH}) END"""
     places = "SELECT t, n, y, z, CASE WHEN y > 0 THEN y - 1 WHEN y < 0 THEN greatest(0, y + n) ELSE 0 END AS o, CASE WHEN y = 0 THEN 1 WHEN y < 0 AND -y > n THEN -y - n ELSE 0 END AS lost"
     return f"""(SELECT CASE WHEN y IS NULL THEN t WHEN z IS NULL THEN substr(t, CAST(o + 1 AS INT)) WHEN z < 0 THEN substr(t, CAST(o - least(o, -z) + 1 AS INT), CAST(least(o, -z, n) AS INT)) ELSE substr(t, CAST(o + 1 AS INT), CAST(greatest(0, z - lost) AS INT)) END
       FROM ({places} FROM (SELECT {whole} AS t, CAST({_LENGTH} AS BIGINT) AS n, y, z)))"""
