@@ -65,5 +65,5 @@ def test_empty_tables(spark):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {f"op{i}_" for i in range(1, 11)} == {n.split("_")[0] + "_" for n in names if n.startswith("op")}
+    assert "pipeline" in names and {f"op{i}_" for i in range(1, 14)} == {n.split("_")[0] + "_" for n in names if n.startswith("op")}
     assert set(__spark_entry__.oracle_sql()) <= set(names)
