@@ -53,6 +53,10 @@ SAMPLE_ONE_IN = 8
 MOST_COMMON = 400_000
 FRAGMENT_SHINGLES = 4_000_000
 LEAST_FRAGMENTS = 64
+#: About as many shingles of a fragment are brought together at a time, and counted at a time for the order.
+MEET_SHINGLES = 1 << 18
+#: Texts whose prefixes are gathered before they are sent on.
+BLOCK_TEXTS = 2048
 #: A shingle of more sets than this is hot: its pairs aren't listed at once.
 POSTING = 32
 #: Centres that a hot shingle's sets are held against in a round; rounds end once fewer than SETTLED of them find a link.
@@ -100,6 +104,19 @@ def _signature(found: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(mix(found)).view(np.int64)) if len(found) else 0, int(np.add.reduce(mix(found ^ _STEP)).view(np.int64)) if len(found) else 0
 
 
+def _pieces(sets: Iterator[np.ndarray], most: int) -> Iterator[list[np.ndarray]]:
+    """The sets in lists that end once they hold `most` shingles."""
+    piece, size = [], 0
+    for found in sets:
+        piece.append(found)
+        size += len(found)
+        if size >= most:
+            yield piece
+            piece, size = [], 0
+    if piece:
+        yield piece
+
+
 def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     """Up to MOST_COMMON shingles that recur in a sample, rarest first.
 
@@ -108,9 +125,9 @@ def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(0), words))
-            if sets:
-                values, counts = np.unique(np.concatenate(sets), return_counts=True)
+            sets = shingle_sets(batch.column(0), words)
+            for piece in _pieces(sets, MEET_SHINGLES):
+                values, counts = np.unique(np.concatenate(piece), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["shingle", "n"])
 
     sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_ONE_IN)) == 0)
@@ -156,7 +173,7 @@ def _measure(docs: DataFrame, common_in_order: np.ndarray, fragments: int, words
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(65 - int(fragments).bit_length())
-        for batch in batches:
+        for batch in (b.slice(k, BLOCK_TEXTS) for b in batches for k in range(0, b.num_rows, BLOCK_TEXTS)):
             ids, rows, blocks, seen, hot = batch.column(0).to_pylist(), [], {}, set(), []
             for doc_id, found in zip(ids, shingle_sets(batch.column(1), words), strict=True):
                 n = len(found)
@@ -197,21 +214,25 @@ def _measure(docs: DataFrame, common_in_order: np.ndarray, fragments: int, words
 _MET = ["a", "b", "n_a", "n_b", "shared", "first_a", "first_b", "last_a", "last_b"]
 
 
+def _runs(u: np.ndarray, v: np.ndarray, shared: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    """A row for each pair (u, v): what it shares summed, the least of both first places and the greatest of both last ones."""
+    order = np.lexsort((v, u))
+    u, v, shared, ends = u[order], v[order], shared[order], [c[order] for c in ends]
+    cut = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))) if len(u) else np.zeros(0, np.int64)
+    if not len(cut):
+        return [u, v, shared, *ends]
+    folds = (np.minimum, np.minimum, np.maximum, np.maximum)
+    return [u[cut], v[cut], np.add.reduceat(shared, cut), *(f.reduceat(c, cut) for f, c in zip(folds, ends, strict=True))]
+
+
 def _met(blocks: DataFrame, percent: int) -> DataFrame:
     """Of each fragment the pairs of sets that share its plain shingles, a row each, and the rows of its hot shingles."""
     fields = [*_MET, "shingle", "sig", "n", "pos"]
 
-    def meet(group: pa.Table) -> pa.Table:
-        heads = np.frombuffer(b"".join(group.column("heads").to_pylist()), _HEAD)
-        shingle = np.frombuffer(b"".join(group.column("shingles").to_pylist()), np.uint64)
-        count = heads["count"].astype(np.int64)
-        sigs, first, which = np.unique(heads["sig1"], return_index=True, return_inverse=True)
-        sizes = heads["n"][first].astype(np.int64)
-        row = np.repeat(np.arange(len(heads)), count)
-        pos = np.arange(len(shingle)) - np.repeat(np.cumsum(count) - count, count) + heads["start"][row]
-        of = which[row]
-        order = np.lexsort((of, shingle))
-        value, of, pos = shingle[order], of[order], pos[order]
+    def turn_of(value: np.ndarray, of: np.ndarray, pos: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of some of the shingles all rows: the pairs (u, v, shared, ends), and the hot rows (shingle, of, pos)."""
+        order = np.lexsort((of, value))
+        value, of, pos = value[order], of[order], pos[order]
         # A set that is there twice counts once.
         fresh = np.ones(len(value), bool)
         fresh[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
@@ -228,17 +249,30 @@ def _met(blocks: DataFrame, percent: int) -> DataFrame:
                 near = 100 * small >= percent * large
                 lefts.append(x[near]), rights.append(y[near])
         x, y = np.concatenate(lefts), np.concatenate(rights)
-        order = np.lexsort((x, of[y], of[x]))
-        x, y = x[order], y[order]
-        u, v = of[x], of[y]
-        cut = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))) if len(x) else np.zeros(0, np.int64)
-        last = np.append(cut[1:], len(x)) - 1 if len(x) else cut
         hot = np.repeat(held > POSTING, held)
-        k, h = len(cut), int(hot.sum())
-        # Positions grow with the order of the shingles, so a pair's first and last meeting stand at the ends of its run.
-        pairs = [sigs[u[cut]], sigs[v[cut]], sizes[u[cut]], sizes[v[cut]], last - cut + 1, pos[x[cut]], pos[y[cut]], pos[x[last]], pos[y[last]]]
-        kept = [value[hot].view(np.int64), sigs[of[hot]], sizes[of[hot]], pos[hot]]
-        columns = [pa.chunked_array([pa.array(c.astype(np.int64)), pa.nulls(h, pa.int64())]) for c in pairs] + [pa.chunked_array([pa.nulls(k, pa.int64()), pa.array(c.astype(np.int64))]) for c in kept]
+        return _runs(of[x], of[y], np.ones(len(x), np.int64), pos[x], pos[y], pos[x], pos[y]), [value[hot], of[hot], pos[hot]]
+
+    def meet(group: pa.Table) -> pa.Table:
+        heads = np.frombuffer(b"".join(group.column("heads").to_pylist()), _HEAD)
+        shingle = np.frombuffer(b"".join(group.column("shingles").to_pylist()), np.uint64)
+        count = heads["count"].astype(np.int64)
+        sigs, first, which = np.unique(heads["sig1"], return_index=True, return_inverse=True)
+        sizes = heads["n"][first].astype(np.int64)
+        of = np.repeat(which.astype(np.int32), count)
+        pos = np.arange(len(shingle), dtype=np.int32) + np.repeat((heads["start"] - (np.cumsum(count) - count)).astype(np.int32), count)
+        # All rows of a shingle fall in one turn, so that a worker's memory doesn't follow the fragment's size.
+        turns = 1 << (len(shingle) // MEET_SHINGLES).bit_length()
+        met, kept = [], []
+        for turn in range(turns):
+            at = np.flatnonzero((shingle & np.uint64(turns - 1)) == turn)
+            pairs, rows = turn_of(shingle[at], of[at], pos[at], sizes)
+            met.append(pairs), kept.append(rows)
+        u, v, *sums = _runs(*(np.concatenate(c) for c in zip(*met, strict=True)))
+        value, of, pos = (np.concatenate(c) for c in zip(*kept, strict=True))
+        k, h = len(u), len(value)
+        pairs = [sigs[u], sigs[v], sizes[u], sizes[v], *sums]
+        rows = [value.view(np.int64), sigs[of], sizes[of], pos]
+        columns = [pa.chunked_array([pa.array(c.astype(np.int64)), pa.nulls(h, pa.int64())]) for c in pairs] + [pa.chunked_array([pa.nulls(k, pa.int64()), pa.array(c.astype(np.int64))]) for c in rows]
         return pa.Table.from_arrays(columns, fields)
 
     return blocks.groupBy("frag").applyInArrow(meet, ", ".join(f"{f} long" for f in fields))

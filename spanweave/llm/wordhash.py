@@ -15,7 +15,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _POSITIONS = 4096
 
 WHITESPACE = np.zeros(256, dtype=bool)
