@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from spanweave.llm import ngram_join
+from spanweave.llm import ngram_join, quality_gbt
 
 
 class _Caught:
@@ -52,3 +52,13 @@ def test_a_large_fragment_takes_bounded_memory():
     _, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert peak < 60 * 1_200_000
+
+
+def test_statistics_of_a_batch_take_bounded_memory():
+    rng = np.random.default_rng(1)
+    column = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 10_000, 350)) for _ in range(2000)])
+    tracemalloc.start()
+    quality_gbt.statistics(column)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 60_000_000
