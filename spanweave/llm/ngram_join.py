@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, renamed, sent
 from .storage import discard, staged
 from .wordhash import hashed_slices, mix
 
@@ -59,8 +59,10 @@ MEET_SHINGLES = 1 << 18
 BLOCK_TEXTS = 2048
 #: A shingle of more sets than this is hot: its pairs aren't listed at once.
 POSTING = 32
-#: Centres that a hot shingle's sets are held against in a round; rounds end once fewer than SETTLED of them find a link.
+#: Centres that a hot shingle's sets are held against in the first round, twice as many in each further one up to
+#: MOST_CENTRES; rounds end once fewer than SETTLED of the sets find a link.
 CENTRES = 3
+MOST_CENTRES = 24
 SETTLED = 0.1
 #: Efficiency only: pairs still apart are verified up to these places of likelihood in turn, then all others.
 TURNS = (2, 16, 64, 256)
@@ -413,38 +415,45 @@ class _Linker:
         self.doc_of = staged(classes.groupBy(F.col("sig1").alias("sig")).agg(F.min("class_id").alias("doc_id")), "ngram-docs")
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
+        # Broadcasts of names and counts: a join with a few of them shuffles nothing.
+        self.of_held = sent(self.held, self.held.count())
 
     def verify(self, pairs: DataFrame) -> tuple[int, int]:
-        """Adds the links among `pairs` (hub, member); how many members there were, and how many links."""
+        """Adds the links among `pairs` (hub, member); about how many members there were, and how many of them found a link."""
         pairs = staged(pairs.filter("hub <> member").groupBy(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b")).agg(F.min("hub").alias("hub"), F.min_by("member", "hub").alias("member")).select("hub", "member"), "ngram-pairs")
         # How many members there are only says when rounds have settled, so that about is enough.
         count, members = pairs.agg(F.count("member"), F.approx_count_distinct("member")).first()
         if not count:
             return 0, 0
-        bundles = pairs.groupBy("hub").agg(F.ceil(F.count("member") / BUNDLE).alias("bundles"))
-        placed = pairs.join(bundles, "hub").withColumn("bundle", F.pmod(F.xxhash64("member"), "bundles"))
-        placed = placed.withColumn("bucket", F.pmod(F.xxhash64("hub", "bundle"), F.lit(-(-count // GROUP_SETS))).cast("int"))
-        seats = placed.select(F.col("member").alias("sig"), "bucket", "hub").union(placed.select(F.col("hub").alias("sig"), "bucket", "hub").distinct())
-        seats = staged(seats.join(self.doc_of, "sig"), "ngram-seats")
+        bundles = staged(pairs.groupBy("hub").agg(F.ceil(F.count("member") / BUNDLE).alias("bundles")), "ngram-bundles")
+        groups = -(-count // GROUP_SETS)
+        bucket = F.pmod(F.xxhash64("hub", "bundle"), F.lit(groups)).cast("int").alias("bucket")
+        placed = pairs.join(sent(bundles, count), "hub").withColumn("bundle", F.pmod(F.xxhash64("member"), "bundles")).select(F.col("member").alias("sig"), bucket, "hub")
+        # Bundles of one hub may fall in one bucket; its set is needed there once.
+        numbers = F.transform(F.sequence(F.lit(0).cast("long"), F.col("bundles") - 1), lambda k: F.pmod(F.xxhash64("hub", k), F.lit(groups)).cast("int"))
+        own = bundles.select(F.col("hub").alias("sig"), F.explode(F.array_distinct(numbers)).alias("bucket"), "hub")
+        seats = placed.union(own)
+        seats = staged(self.doc_of.join(sent(seats, 2 * count), "sig").select("sig", "bucket", "hub", "doc_id"), "ngram-seats")
         # Names of a few numbers each are sent to all tasks only while they are few; beyond that both sides are shuffled.
         named = F.broadcast(seats) if seats.count() <= BROADCAST_ROWS else seats
         texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(named, "doc_id").select("sig", "bucket", "hub", "text")
         partial = _cut_sets(texts, self.common, self.words).groupBy("bucket", "frag").applyInArrow(_partial_overlaps, "a long, b long, n_a long, n_b long, overlap long")
         total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
         found = staged(total.filter(100 * F.col("overlap") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b"), "ngram-links")
-        gained = found.count()
-        discard(seats), discard(pairs)
+        gained = found.agg(F.approx_count_distinct("b")).first()[0]
+        discard(seats), discard(pairs), discard(bundles)
         if gained:
             # Known components and the new links connect what all links so far connect.
             held = found if self.labels is None else found.union(self.labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-            self.labels = staged(connected_components(held, "ngram-round"), "ngram-labels")
+            self.labels = connected_components(held, "ngram-round")
+            self.names = sent(self.labels, self.labels.count())
         return members, gained
 
     def grouped(self, rows: DataFrame, name: str, group: str) -> DataFrame:
         """`rows` with the component of the set in column `name`."""
         if self.labels is None:
             return rows.withColumn(group, F.col(name))
-        return rows.join(self.labels.select(F.col("node").alias(name), F.col("component").alias(group)), name, "left").withColumn(group, F.coalesce(group, name))
+        return renamed(rows.withColumn(group, F.col(name)), group, self.names)
 
     def main_groups(self) -> DataFrame:
         """Hot rows that share their shingle with another group, with its largest group."""
@@ -455,10 +464,11 @@ class _Linker:
 
     def star_pairs(self, marked: DataFrame, step: int) -> DataFrame:
         """The sets outside a hot shingle's largest group against a few of that group, the same few wherever it meets them."""
-        turns = [F.min(F.struct(F.xxhash64("sig", F.lit(step * CENTRES + j)).alias("turn"), "sig", "n")).alias(f"c{j}") for j in range(CENTRES)]
+        count = min(CENTRES << max(step - 1, 0), max(CENTRES, MOST_CENTRES))
+        turns = [F.min(F.struct(F.xxhash64("sig", F.lit(step), F.lit(j)).alias("turn"), "sig", "n")).alias(f"c{j}") for j in range(count)]
         # While each set is its own group, any set is as good as a centre.
         inside = marked if self.labels is None else marked.filter("group = main")
-        centres = inside.groupBy("shingle").agg(*turns).select("shingle", F.array(*[f"c{j}" for j in range(CENTRES)]).alias("c"))
+        centres = inside.groupBy("shingle").agg(*turns).select("shingle", F.array(*[f"c{j}" for j in range(count)]).alias("c"))
         outside = marked if self.labels is None else marked.filter("group <> main")
         near = outside.join(centres, "shingle").select(F.col("sig").alias("member"), F.col("n").alias("n_a"), F.explode(F.array_distinct("c")).alias("c"))
         return near.select(F.col("c.sig").alias("hub"), "member", "n_a", F.col("c.n").alias("n_b")).filter(_near(self.percent)).select("hub", "member")
@@ -478,13 +488,13 @@ class _Linker:
         swap = F.col("hub") > F.col("member")
         pairs = met.select("hub", "member", "group_b", "met", F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"), F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"))
         pairs = pairs.join(self.met.drop("n_a", "n_b"), ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-        left = _possible(pairs, self.held, self.percent)
+        left = _possible(pairs, self.of_held, self.percent)
         share = (F.col("met") + F.col("shared")) / (F.col("n_a") + F.col("n_b"))
         return left.select("hub", "member", F.row_number().over(Window.partitionBy("hub", "group_b").orderBy(share.desc(), "member")).alias("place"))
 
     def components(self) -> DataFrame:
         """Rows (node, component)."""
-        pairs = staged(_possible(self.met, self.held, self.percent).select("a", "b", (F.col("shared") / (F.col("n_a") + F.col("n_b"))).alias("share")), "ngram-possible")
+        pairs = staged(_possible(self.met, self.of_held, self.percent).select("a", "b", (F.col("shared") / (F.col("n_a") + F.col("n_b"))).alias("share")), "ngram-possible")
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
         # Of the partners that share about as much as any, the one that most sets have for a partner: few hubs then serve many.
         wanted = both.groupBy(F.col("a").alias("b")).agg(F.count("b").alias("partners"))
