@@ -19,7 +19,7 @@ def sent(rows: DataFrame, count: int) -> DataFrame:
 def renamed(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
     """`rows` with the component of `column` by `names` (node, component), where it has one."""
     found = names.select(F.col("node").alias(column), F.col("component").alias("_component"))
-    return rows.join(found, column, "left").withColumn(column, F.coalesce("_component", column)).drop("_component")
+    return rows.join(found, column, "left").withColumn(column, F.coalesce("_component", column)).select(rows.columns)
 
 
 def _followed(hooks: DataFrame, count: int, label: str) -> DataFrame:
