@@ -24,7 +24,7 @@ def crowded(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["range_self_join_residual"])
+@pytest.mark.parametrize("name", ["range_self_join_residual", "range_self_join_whole"])
 def test_self_join_deals_no_pair(spark, crowded, name):
     before = shuffled_mb(spark)
     found = {r.o_orderkey: r.n for r in __spark_entry__.queries()[name](spark, crowded).collect()}
