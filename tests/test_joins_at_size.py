@@ -45,9 +45,10 @@ def test_counts_of_other_keys(spark, seed, keys):
     assert len(found) == len(expected) and {r.id: r.n_overlaps for r in found} == expected
 
 
-def test_left_join_deals_no_pair(spark, crowded):
+@pytest.mark.parametrize("name", ["range_left_join", "range_left_join_whole"])
+def test_left_join_deals_no_pair(spark, crowded, name):
     before = shuffled_mb(spark)
-    rows = __spark_entry__.queries()["range_left_join"](spark, crowded)
+    rows = __spark_entry__.queries()[name](spark, crowded)
     found = {r.event_id: (r.n, r.keys) for r in rows.groupBy("event_id").agg(F.count("o_orderkey").alias("n"), F.sum("o_orderkey").alias("keys")).collect()}
     keys = [min(k, 2998) for k in range(3000)]
     met = {e: [k for k in keys if k * 100 <= e * 150 <= k * 100 + 24_000_000] for e in (e + 300_000 * (e % 5 == 0) for e in range(2000))}
